@@ -33,7 +33,7 @@ def hit(line: Column, text: Column | None = None, number: Column | None = None)
     ).cast(HIT)
 
 
-def marked_hits(marked: Column) -> Column:
+def marked_hits(marked_text: Column) -> Column:
     """All markers of a marked text as (line, identifier that follows the marker)."""
     word = MARK + r"([\w\\|]*)"
 
@@ -43,14 +43,14 @@ def marked_hits(marked: Column) -> Column:
         )
         return F.when(F.contains(line, F.lit(MARK)), found).otherwise(no_hits())
 
-    return F.flatten(F.transform(F.split(marked, "\n", -1), of_line))
+    return F.flatten(F.transform(F.split(marked_text, "\n", -1), of_line))
 
 
-def matches(text: Column, lead: str, body: str, trail: str, flags: str = "") -> Column:
-    """Matches of lead+body+trail, reported at the line where the body begins."""
+def marked(text: Column, lead: str, body: str, trail: str, flags: str = "") -> Column:
+    """Text with a marker in front of the body of each match of lead+body+trail."""
     # Named groups, so capturing groups inside the parts do not matter.
     pattern = f"(?d{flags})(?<lead>{lead})(?<rest>{body}{trail})"
-    return marked_hits(F.regexp_replace(text, pattern, "${lead}" + MARK + "${rest}"))
+    return F.regexp_replace(text, pattern, "${lead}" + MARK + "${rest}")
 
 
 def found(text: Column, lowered: Column, tokens: Iterable[str], pattern: str) -> Column:
@@ -59,3 +59,8 @@ def found(text: Column, lowered: Column, tokens: Iterable[str], pattern: str) ->
     for token in tokens:
         test = test & F.contains(lowered, F.lit(token))
     return test & F.rlike(text, F.lit(pattern))
+
+
+def line_starts_with(text: Column, lead: str) -> Column:
+    """Whether some line of the text starts with a literal."""
+    return F.startswith(text, F.lit(lead)) | F.contains(text, F.lit("\n" + lead))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codegauge.functions.bytesview import byte_view
 from codegauge.functions.labels import SEVERITIES
-from codegauge.functions.matching import HITS, found, matches, no_hits
+from codegauge.functions.matching import found, marked, marked_hits
 from codegauge.functions.text import snake_to_camel
 from codegauge.operators import metrics as M
 from codegauge.operators import scoring, structural
@@ -24,68 +24,98 @@ HIT_TYPE = (
     "struct<rule_order:int,pattern_order:int,match_index:int,line:int,text:string,number:int>"
 )
 
-VIEW, LOW = F.col("__view"), F.col("__low")
 METRIC_COLUMNS = (
     "cyclomatic_complexity", "code_length", "lines_of_code",
     "function_count", "class_count", "complexity_level",
 )
 COUNT_COLUMNS = tuple(f"{s}_count" for s in SEVERITIES)
 
-# Extra conditions on the captured name of a pattern rule.
-_KEEP = {
-    "NAMING_CONVENTION_CLASS": lambda name: ~F.rlike(name, F.lit("^[A-Z][a-zA-Z0-9]*$")),
-    "SHORT_VARIABLE_NAME": lambda name: ~name.isin(*SHORT_NAMES_ALLOWED),
+
+def _view() -> Column:
+    return F.col("__view")
+
+
+def _lowered() -> Column:
+    return F.col("__low")
+
+
+# Names that a pattern rule captures but does not report.
+_SKIP = {
+    "NAMING_CONVENTION_CLASS": lambda name: F.rlike(name, F.lit("^[A-Z][a-zA-Z0-9]*$")),
+    "SHORT_VARIABLE_NAME": lambda name: name.isin(*SHORT_NAMES_ALLOWED),
 }
 
 
 def _structural(rule_id: str) -> Column | None:
     builders = {
-        "FUNCTION_TOO_LONG": lambda: structural.long_functions(VIEW, LOW),
+        "FUNCTION_TOO_LONG": lambda: structural.long_functions(_view(), _lowered()),
         "FILE_TOO_LONG": lambda: structural.long_file(F.col("lines_of_code")),
         "HIGH_COMPLEXITY": lambda: structural.high_complexity(F.col("cyclomatic_complexity")),
-        "MISSING_DOCUMENTATION": lambda: structural.undocumented_functions(VIEW, LOW),
-        "MISSING_CLASS_DOCUMENTATION": lambda: structural.undocumented_classes(VIEW, LOW),
-        "INCONSISTENT_INDENTATION": lambda: structural.mixed_indentation(VIEW),
-        "DEEP_NESTING": lambda: structural.deep_nesting(VIEW),
-        "LINE_TOO_LONG": lambda: structural.long_lines(VIEW),
-        "MISSING_STRICT_TYPES": lambda: structural.missing_strict_types(F.col("path"), VIEW),
-        "UNUSED_IMPORT": lambda: structural.unused_imports(VIEW),
-        "TRAILING_WHITESPACE": lambda: structural.trailing_whitespace(VIEW),
+        "MISSING_DOCUMENTATION": lambda: structural.undocumented_functions(_view(), _lowered()),
+        "MISSING_CLASS_DOCUMENTATION": lambda: structural.undocumented_classes(_view(), _lowered()),
+        "INCONSISTENT_INDENTATION": lambda: structural.mixed_indentation(_view()),
+        "DEEP_NESTING": lambda: structural.deep_nesting(_view()),
+        "LINE_TOO_LONG": lambda: structural.long_lines(_view()),
+        "MISSING_STRICT_TYPES": lambda: structural.missing_strict_types(F.col("path"), _view()),
+        "UNUSED_IMPORT": lambda: structural.unused_imports(_view()),
+        "TRAILING_WHITESPACE": lambda: structural.trailing_whitespace(_view()),
     }
     return builders[rule_id]() if rule_id in builders else None
 
 
-def _ordered(hits: Column, rule_order: int, pattern_order: int) -> Column:
-    return F.transform(
-        hits,
-        lambda h, i: F.struct(
-            F.lit(rule_order).alias("rule_order"),
-            F.lit(pattern_order).alias("pattern_order"),
-            i.alias("match_index"),
-            h["line"].alias("line"),
-            h["text"].alias("text"),
-            h["number"].alias("number"),
-        ).cast(HIT_TYPE),
-    )
+def _placed(rule_order: Column, pattern_order: Column, i: Column, h: Column) -> Column:
+    return F.struct(
+        rule_order.alias("rule_order"),
+        pattern_order.alias("pattern_order"),
+        i.alias("match_index"),
+        h["line"].alias("line"),
+        h["text"].alias("text"),
+        h["number"].alias("number"),
+    ).cast(HIT_TYPE)
 
 
-def _hits_of(rule: Rule, rule_order: int) -> list[Column]:
-    built = _structural(rule.rule_id)
-    if built is not None:
-        return [_ordered(built, rule_order, 0)]
-    if not rule.patterns:
-        raise ValueError(f"rule {rule.rule_id} has no patterns")
+def _structural_hits(rules: Sequence[Rule]) -> list[Column]:
     arrays = []
-    for order, p in enumerate(rule.patterns):
-        hits = matches(VIEW, p.lead, p.body, p.trail, p.flags)
-        if rule.rule_id in _KEEP:
-            keep = _KEEP[rule.rule_id]
-            hits = F.filter(hits, lambda h: keep(h["text"]))
-        test = found(VIEW, LOW, p.tokens, p.regex())
-        arrays.append(_ordered(F.when(test, hits).otherwise(no_hits()), rule_order, order))
+    for order, rule in enumerate(rules):
+        if rule.on and not rule.patterns:
+            built = _structural(rule.rule_id)
+            if built is None:
+                raise ValueError(f"rule {rule.rule_id} has no patterns")
+            at = F.lit(order)
+            arrays.append(F.transform(built, lambda h, i: _placed(at, F.lit(0), i, h)))
     return arrays
 
 
+def _pattern_hits(rules: Sequence[Rule]) -> list[Column]:
+    """Hits of all pattern rules: mark the text per pattern, then locate the marks once.
+
+    A text is only marked where the cheap tests pass, so few entries are left.
+    """
+    entries = []
+    for order, rule in enumerate(rules):
+        for k, p in enumerate(rule.patterns if rule.on else ()):
+            test = found(_view(), _lowered(), p.tokens, p.regex())
+            text = F.when(test, marked(_view(), p.lead, p.body, p.trail, p.flags))
+            entries.append(
+                F.struct(F.lit(order).alias("rule"), F.lit(k).alias("pattern"), text.alias("text"))
+            )
+    if not entries:
+        return []
+    hits = F.flatten(
+        F.transform(
+            F.filter(F.array(*entries), lambda e: e["text"].isNotNull()),
+            lambda e: F.transform(
+                marked_hits(e["text"]), lambda h, i: _placed(e["rule"], e["pattern"], i, h)
+            ),
+        )
+    )
+    for order, rule in enumerate(rules):
+        if rule.on and rule.rule_id in _SKIP:
+            skip, at = _SKIP[rule.rule_id], order
+            hits = F.filter(hits, lambda h: (h["rule_order"] != at) | ~skip(h["text"]))
+    return [hits]
+
+
 def hits_of_rules(hits: Column, orders: Sequence[int]) -> Column:
     return F.filter(hits, lambda h: h["rule_order"].isin(*orders))
 
@@ -97,11 +127,11 @@ def with_metrics(files: DataFrame) -> DataFrame:
     )
     measured = viewed.withColumns(
         {
-            "cyclomatic_complexity": M.cyclomatic_complexity(VIEW),
-            "code_length": M.code_length(VIEW),
-            "lines_of_code": M.lines_of_code(VIEW),
-            "function_count": M.function_count(VIEW, LOW),
-            "class_count": M.class_count(VIEW, LOW),
+            "cyclomatic_complexity": M.cyclomatic_complexity(_view()),
+            "code_length": M.code_length(_view()),
+            "lines_of_code": M.lines_of_code(_view()),
+            "function_count": M.function_count(_view(), _lowered()),
+            "class_count": M.class_count(_view(), _lowered()),
         }
     )
     return measured.withColumn(
@@ -119,7 +149,7 @@ def analyze_files(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> Da
     ``files`` needs ``path`` and ``content``; all its other columns but the
     content are kept.
     """
-    arrays = [a for i, r in enumerate(rules) if r.on for a in _hits_of(r, i)]
+    arrays = _pattern_hits(rules) + _structural_hits(rules)
     hits = F.concat(*arrays) if arrays else F.array()
     with_hits = with_metrics(files).withColumn("hits", hits.cast(f"array<{HIT_TYPE}>"))
     by_severity = {s: [i for i, r in enumerate(rules) if r.severity == s] for s in SEVERITIES}

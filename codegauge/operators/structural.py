@@ -10,7 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codegauge.functions.bytesview import WORD_END, WORD_START, newlines
-from codegauge.functions.matching import HITS, MARK, STOP, found, hit, marked_hits, no_hits
+from codegauge.functions.matching import (
+    HITS,
+    MARK,
+    STOP,
+    found,
+    hit,
+    line_starts_with,
+    marked_hits,
+    no_hits,
+)
 from codegauge.operators.catalog import (
     DOC_WINDOW,
     INDENT_WIDTH,
@@ -142,8 +151,8 @@ def mixed_indentation(view: Column) -> Column:
     def first_line(lead: str) -> Column:
         return newlines(F.split(view, f"(?dm)^{lead}", 2)[0]) + 1
 
-    spaces, tab = "    ", r"\t"
-    both = F.rlike(view, F.lit(f"(?dm)^{tab}")) & F.rlike(view, F.lit(f"(?dm)^{spaces}"))
+    spaces, tab = "    ", "\t"
+    both = line_starts_with(view, tab) & line_starts_with(view, spaces)
     at = F.greatest(first_line(spaces), first_line(tab))
     return F.when(both, F.array(hit(at))).otherwise(no_hits())
 
@@ -170,12 +179,17 @@ def deep_nesting(view: Column) -> Column:
         indent = F.length(F.regexp_extract(line, f"(?d)^{blank}*+", 0))
         return F.floor(indent / INDENT_WIDTH).cast("int")
 
-    test = F.rlike(view, F.lit(f"(?dm)^{blank}{{{least}}}"))
+    led = F.lit(False)
+    for c in " \t\r\x00\x0B":
+        led = led | line_starts_with(view, c)
+    test = led & F.rlike(view, F.lit(f"(?dm)^{blank}{{{least}}}"))
     return _line_hits(view, test, level, lambda n: n > MAX_NESTING)
 
 
 def long_lines(view: Column) -> Column:
-    test = F.rlike(view, F.lit(rf"[^\n]{{{MAX_LINE_BYTES + 1}}}"))
+    test = (F.length(view) > MAX_LINE_BYTES) & F.rlike(
+        view, F.lit(rf"(?dm)^[^\n]{{{MAX_LINE_BYTES + 1}}}")
+    )
     return _line_hits(view, test, F.length, lambda n: n > MAX_LINE_BYTES)
 
 
@@ -204,7 +218,7 @@ def unused_imports(view: Column) -> Column:
     ``use`` and one white space); an import is unused if its alias, or else the
     last part of its name, is not among them.
     """
-    test = F.rlike(view, F.lit(r"(?dm)^use\s"))
+    test = line_starts_with(view, "use") & F.rlike(view, F.lit(r"(?dm)^use\s"))
     statement = r"(?dm)(?<all>^use\s+(?<full>[\w\\]+)(?:\s+as\s+(?<alias>\w+))?\s*;)"
     imports = marked_hits(
         F.regexp_replace(view, statement, f"{MARK}${{full}}|${{alias}}{STOP}${{all}}")
