@@ -120,19 +120,33 @@ def hits_of_rules(hits: Column, orders: Sequence[int]) -> Column:
     return F.filter(hits, lambda h: h["rule_order"].isin(*orders))
 
 
+def _computed_once(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated exactly once per row.
+
+    The values come out of a one-row generator. A later filter on them stays
+    above it (through a plain projection the optimizer would push the filter
+    down and compute the expression a second time), while filters on the other
+    columns still reach the scan.
+    """
+    values = F.struct(*[c.alias(n) for n, c in columns.items()])
+    rows = frame.select("*", F.explode(F.array(values)).alias("__computed"))
+    return rows.withColumns({n: F.col("__computed")[n] for n in columns}).drop("__computed")
+
+
 def with_metrics(files: DataFrame) -> DataFrame:
     """Files plus their metrics (and the two working columns)."""
     viewed = files.withColumns(
         {"__view": byte_view(F.col("content")), "__low": F.lower(F.col("content"))}
     )
-    measured = viewed.withColumns(
+    measured = _computed_once(
+        viewed,
         {
             "cyclomatic_complexity": M.cyclomatic_complexity(_view()),
             "code_length": M.code_length(_view()),
             "lines_of_code": M.lines_of_code(_view()),
             "function_count": M.function_count(_view(), _lowered()),
             "class_count": M.class_count(_view(), _lowered()),
-        }
+        },
     )
     return measured.withColumn(
         "complexity_level", M.complexity_level(F.col("cyclomatic_complexity"))
@@ -151,7 +165,9 @@ def analyze_files(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> Da
     """
     arrays = _pattern_hits(rules) + _structural_hits(rules)
     hits = F.concat(*arrays) if arrays else F.array()
-    with_hits = with_metrics(files).withColumn("hits", hits.cast(f"array<{HIT_TYPE}>"))
+    with_hits = _computed_once(
+        with_metrics(files), {"hits": hits.cast(f"array<{HIT_TYPE}>")}
+    )
     by_severity = {s: [i for i, r in enumerate(rules) if r.severity == s] for s in SEVERITIES}
     counted = with_hits.drop("__view", "__low", "content").withColumns(
         {
@@ -169,13 +185,7 @@ def issues_of(
     keep: Sequence[str] = ("run_id", "path"),
 ) -> DataFrame:
     """One row per hit with the texts of its rule. No join: the table is literal arrays."""
-    # explode_outer and the test above it: an inner explode would make the
-    # optimizer test the size of the array below it and so build the array twice.
-    rows = (
-        analyzed.select(*keep, F.explode_outer("hits").alias("hit"))
-        .where(F.col("hit").isNotNull())
-        .select(*keep, "hit.*")
-    )
+    rows = analyzed.select(*keep, F.inline("hits"))
 
     def by_rule(values: Sequence[str]) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_order") + 1)
