@@ -1 +1,217 @@
-"""Queries."""
+"""Queries of the readers and of file selection."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codegauge.functions.labels import file_class
+from codegauge.operators import selection as B
+from codegauge.sources import files as A
+from suite.mapping import mapped, with_sql
+from suite.registry import query
+
+_EXTS = ", ".join(f"'{e}'" for e in B.ANALYZED_EXTENSIONS)
+_PARTS = ", ".join(f"'{p}'" for p in B.IGNORED_PARTS)
+_EXT = r"lower(regexp_extract(path, '(\.[^./]+)$', 1))"
+_IGNORED = f"list_has_any(string_split(lower(path), '/'), [{_PARTS}])"
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered files packed into zip payloads of at most 40 files each."""
+    files = mapped(spark, sf_dir, "code_files").withColumn(
+        "archive", F.concat(F.lit("batch-"), F.floor(F.col("entry_index") / 40).cast("string"))
+    )
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("root-1/", b"")
+            for path, text in zip(batch["path"], batch["content"], strict=True):
+                z.writestr(f"root-1/{path}", b"\xef\xbb\xbf" + text.encode())
+        return pd.DataFrame({"archive": [batch["archive"].iloc[0]], "content": [out.getvalue()]})
+
+    return (
+        files.select("archive", "path", "content")
+        .groupBy("archive")
+        .applyInPandas(pack, "archive string, content binary")
+    )
+
+
+@query(
+    "A1", "B1", "B2", "B3", "B4", "J19",
+    sql=with_sql("code_files", body=f"""
+SELECT concat('batch-', CAST(entry_index // 40 AS VARCHAR)) AS archive, path,
+  CAST(strlen(content) AS BIGINT) AS n_bytes, md5(content) AS digest
+FROM code_files WHERE {_EXT} IN ({_EXTS}) AND NOT {_IGNORED}"""),
+)
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = A.archive_entries(_archives(spark, sf_dir))
+    return entries.where("error IS NULL").select(
+        "archive",
+        "path",
+        F.octet_length("content").cast("long").alias("n_bytes"),
+        F.md5("content").alias("digest"),
+    )
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON requests of 45 and 55 files, some fields missing."""
+    files = mapped(spark, sf_dir, "document_files")
+    k = F.col("entry_index")
+    batch = F.floor(k / 100) * 2 + F.when(k % 100 < 45, 0).otherwise(1)
+    file = F.struct(
+        k.alias("k"),
+        F.when(k % 9 != 0, F.col("path")).alias("path"),
+        F.when(k % 13 != 0, F.col("content")).alias("content"),
+    )
+    listed = files.groupBy(batch.cast("long").alias("batch_id")).agg(
+        F.array_sort(F.collect_list(file)).alias("files")
+    )
+    fields = F.transform("files", lambda f: F.struct(f["path"].alias("path"), f["content"].alias("content")))
+    return listed.select("batch_id", F.to_json(F.struct(fields.alias("files"))).alias("body"))
+
+
+_BATCH_SQL = """
+SELECT CAST((entry_index // 100) * 2 + CASE WHEN entry_index % 100 < 45 THEN 0 ELSE 1 END AS BIGINT) AS batch_id,
+  CAST(row_number() OVER (PARTITION BY entry_index // 100, entry_index % 100 < 45 ORDER BY entry_index) - 1 AS INT) AS entry_index,
+  CASE WHEN entry_index % 9 <> 0 THEN path ELSE 'unknown' END AS path,
+  CASE WHEN entry_index % 13 <> 0 THEN content ELSE '' END AS content
+FROM document_files"""
+
+
+@query("A3", "J20", sql=with_sql("document_files", body=_BATCH_SQL))
+def request_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.parse_batches(_batches(spark, sf_dir))
+
+
+@query(
+    "B8",
+    sql=with_sql("document_files", body=f"""
+SELECT batch_id, CAST(count(*) AS INT) AS n_files,
+  CASE WHEN count(*) > 50 THEN 'FILE_LIMIT_EXCEEDED'
+       WHEN max(strlen(content)) > 60000 THEN 'FILE_SIZE_EXCEEDED' END AS error_code
+FROM ({_BATCH_SQL}) GROUP BY 1"""),
+)
+def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.validate_batches(A.parse_batches(_batches(spark, sf_dir)), max_bytes=60000)
+
+
+@query(
+    "A4", "B9",
+    sql="""
+SELECT conv_id * 1000 + turn AS request_id,
+  CASE WHEN turn % 2 = 0 THEN concat(role, '.txt') ELSE 'unknown' END AS path,
+  CASE WHEN conv_id % 5 = 0 THEN '0' WHEN conv_id % 7 = 0 THEN NULL ELSE text END AS content,
+  CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 OR text = '' THEN 'MISSING_REQUIRED_FIELD' END AS error_code
+FROM conversations""",
+)
+def single_snippet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegauge.sources.tables import read_table
+
+    bodies = read_table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id * 1000 + turn AS request_id",
+        """to_json(named_struct(
+             'code', CASE WHEN conv_id % 5 = 0 THEN '0' WHEN conv_id % 7 = 0 THEN NULL ELSE text END,
+             'file_path', CASE WHEN turn % 2 = 0 THEN concat(role, '.txt') END)) AS body""",
+    )
+    return A.parse_snippets(bodies)
+
+
+@query(
+    "B1", "B2", "B3", "B4", "J18",
+    sql=with_sql("code_files", body=f"""
+SELECT path, {_EXT} AS extension, {_EXT} IN ({_EXTS}) AS allowed, {_IGNORED} AS ignored,
+  strlen(content) <= 800 AS small FROM code_files"""),
+)
+def file_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return mapped(spark, sf_dir, "code_files").select(
+        "path",
+        B.extension(path).alias("extension"),
+        B.has_extension(path).alias("allowed"),
+        B.in_ignored_part(path).alias("ignored"),
+        B.within_size(F.octet_length("content"), 800).alias("small"),
+    )
+
+
+@query(
+    "B1", "B2", "B3", "B4", "B5",
+    sql=with_sql("code_files", "page_files", body=f"""
+SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes
+FROM (SELECT path, content FROM code_files UNION ALL SELECT path, content FROM page_files)
+WHERE {_EXT} IN ({_EXTS}) AND NOT {_IGNORED} AND strlen(content) <= 512000
+  AND len(regexp_replace(substr(content, 1, 1024), '[^\\p{{Cc}}]|[\\n\\r\\t]', '', 'g'))
+      <= 0.3 * least(1024, len(content))"""),
+)
+def file_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = mapped(spark, sf_dir, "code_files").select("path", "content")
+    pages = mapped(spark, sf_dir, "page_files").select("path", "content")
+    return B.select_files(A.with_size(code.unionByName(pages))).select("path", "size_bytes")
+
+
+@query(
+    "B5", "B6",
+    sql=with_sql("document_files", body=r"""
+SELECT path,
+  len(regexp_replace(substr(content, 1, 1024), '[^\p{Cc}]|[\n\r\t]', '', 'g')) / least(1024, len(content)) > 0.3
+    AND regexp_matches(content, '\S') AS is_binary,
+  len(content) >= 50 AND regexp_matches(content, '\S') AND
+    len(regexp_replace(substr(content, 1, 100), '[^\p{L}\p{Nd}+/=]', '', 'g')) / least(100, len(content)) > 0.9
+    AS is_base64
+FROM document_files"""),
+)
+def content_sniffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.col("content")
+    return mapped(spark, sf_dir, "document_files").select(
+        "path", B.is_binary(content).alias("is_binary"), B.is_base64(content).alias("is_base64")
+    )
+
+
+@query(
+    "B7", "G7",
+    sql=with_sql("document_files", body="""
+SELECT run_id, entry_index, path FROM document_files
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY entry_index, path) <= 50"""),
+)
+def first_files_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = mapped(spark, sf_dir, "document_files").select("run_id", "entry_index", "path")
+    return B.first_files(files, 50)
+
+
+@query(
+    "B10",
+    sql=with_sql("repositories", body="""
+SELECT id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'REPO_URL_REQUIRED'
+  WHEN NOT regexp_matches(url, '(?i)^(https?|ftp)://') THEN 'REPO_URL_INVALID'
+  WHEN branch = '' THEN 'BRANCH_REQUIRED' END AS error_code
+FROM (SELECT id, CASE WHEN id % 17 = 0 THEN '  ' ELSE clone_url END AS url,
+        CASE WHEN id % 19 = 0 THEN '' ELSE 'main' END AS branch FROM repositories)"""),
+)
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = mapped(spark, sf_dir, "repositories").selectExpr(
+        "id",
+        "CASE WHEN id % 17 = 0 THEN '  ' ELSE clone_url END AS repo_url",
+        "CASE WHEN id % 19 = 0 THEN '' ELSE 'main' END AS branch",
+    )
+    return B.checked_requests(requests).select("id", "error_code")
+
+
+@query(
+    "B19",
+    sql=with_sql("code_files", "page_files", body="""
+SELECT path, CASE WHEN e IN ('js', 'jsx', 'ts', 'tsx') THEN 'script' WHEN e IN ('html', 'css') THEN 'markup'
+  WHEN e IN ('json', 'yml', 'yaml', 'xml') THEN 'data' WHEN e = 'php' THEN 'php' WHEN e = 'py' THEN 'python'
+  WHEN e IN ('png', 'jpg', 'jpeg', 'svg') THEN 'image' ELSE 'other' END AS class
+FROM (SELECT path, lower(list_last(string_split(path, '.'))) AS e
+      FROM (SELECT path FROM code_files UNION ALL SELECT path FROM page_files))"""),
+)
+def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = mapped(spark, sf_dir, "code_files").select("path").unionByName(
+        mapped(spark, sf_dir, "page_files").select("path")
+    )
+    return paths.select("path", file_class(F.col("path")).alias("class"))
