@@ -176,11 +176,11 @@ def content_sniffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "B7", "G7",
     sql=with_sql("document_files", body="""
 SELECT run_id, entry_index, path FROM document_files
-QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY entry_index, path) <= 50"""),
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY entry_index, path) <= 30"""),
 )
 def first_files_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mapped(spark, sf_dir, "document_files").select("run_id", "entry_index", "path")
-    return B.first_files(files, 50)
+    return B.first_files(files, 30)
 
 
 @query(
