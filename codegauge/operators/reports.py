@@ -165,8 +165,41 @@ def histogram_quantile(buckets: DataFrame, q: float = 0.95, labels: Sequence[str
     )
 
 
-def exact_quantile(samples: DataFrame, value: str, q: float = 0.95) -> DataFrame:
-    return samples.agg(F.percentile(value, F.lit(q)).alias("quantile"))
+def exact_quantile(
+    samples: DataFrame, value: str, q: float = 0.95, width: float = 1.0
+) -> DataFrame:
+    """Exact quantile (linear between neighbours) without gathering the values.
+
+    Values are counted, then the counts are summed per chunk of ``width``; only
+    the chunks that hold the wanted ranks are ordered value by value.
+    """
+    counted = (
+        samples.where(F.col(value).isNotNull())
+        .groupBy(F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("chunk", F.floor(F.col("v") / width))
+    )
+    along = Window.orderBy("chunk")
+    chunks = counted.groupBy("chunk").agg(F.sum("n").alias("chunk_n")).withColumns(
+        {
+            "before": F.coalesce(
+                F.sum("chunk_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ),
+            "rank": (F.sum("chunk_n").over(Window.partitionBy()) - 1) * q,
+        }
+    )
+    low, high = F.floor("rank"), F.ceil("rank")
+    needed = chunks.where((F.col("before") <= high) & (F.col("before") + F.col("chunk_n") > low))
+    inside = Window.partitionBy("chunk").orderBy("v")
+    placed = counted.join(needed, "chunk").withColumn(
+        "upto", F.col("before") + F.sum("n").over(inside)
+    )
+    at = placed.agg(
+        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
+        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
+        F.max(F.col("rank") - low).alias("share"),
+    )
+    return at.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("quantile"))
 
 
 def share_of_total(counts: DataFrame, key: str, n: str = "n") -> DataFrame:

@@ -179,38 +179,46 @@ def analyze_files(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> Da
     return scoring.with_score(counted)
 
 
-def issues_of(
-    analyzed: DataFrame,
-    rules: Sequence[Rule] = DEFAULT_RULES,
-    keep: Sequence[str] = ("run_id", "path"),
-) -> DataFrame:
-    """One row per hit with the texts of its rule. No join: the table is literal arrays."""
-    rows = analyzed.select(*keep, F.inline("hits"))
+def issue_texts(hit: dict[str, Column], rules: Sequence[Rule]) -> dict[str, Column]:
+    """The texts of a hit, given its fields. No join: the rule table is literal arrays."""
 
     def by_rule(values: Sequence[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rule_order") + 1)
+        return F.element_at(F.array(*[F.lit(v) for v in values]), hit["rule_order"] + 1)
 
     per_pattern = [
         F.array(*[F.lit(r.message_of(p)) for p in range(max(1, len(r.patterns)))]) for r in rules
     ]
     template = F.element_at(
-        F.element_at(F.array(*per_pattern), F.col("rule_order") + 1), F.col("pattern_order") + 1
+        F.element_at(F.array(*per_pattern), hit["rule_order"] + 1), hit["pattern_order"] + 1
     )
-    number = F.col("number").cast("string")
     message = F.replace(
-        F.replace(template, F.lit("{text}"), F.col("text")), F.lit("{number}"), number
-    )
-    fix = F.replace(
-        by_rule([r.fix for r in rules]), F.lit("{camel}"), snake_to_camel(F.col("text"))
+        F.replace(template, F.lit("{text}"), hit["text"]),
+        F.lit("{number}"),
+        hit["number"].cast("string"),
     )
+    fix = F.replace(by_rule([r.fix for r in rules]), F.lit("{camel}"), snake_to_camel(hit["text"]))
+    return {
+        "severity": by_rule([r.severity for r in rules]),
+        "category": by_rule([r.category for r in rules]),
+        "message": message,
+        "rule_id": by_rule([r.rule_id for r in rules]),
+        "suggested_fix": fix,
+    }
+
+
+def issues_of(
+    analyzed: DataFrame,
+    rules: Sequence[Rule] = DEFAULT_RULES,
+    keep: Sequence[str] = ("run_id", "path"),
+) -> DataFrame:
+    """One row per hit with the texts of its rule."""
+    rows = analyzed.select(*keep, F.inline("hits"))
+    fields = ("rule_order", "pattern_order", "match_index", "line", "text", "number")
+    texts = issue_texts({f: F.col(f) for f in fields}, rules)
     return rows.select(
         *keep,
         F.col("line").alias("line_number"),
-        by_rule([r.severity for r in rules]).alias("severity"),
-        by_rule([r.category for r in rules]).alias("category"),
-        message.alias("message"),
-        by_rule([r.rule_id for r in rules]).alias("rule_id"),
-        fix.alias("suggested_fix"),
+        *[c.alias(n) for n, c in texts.items()],
         "rule_order",
         "pattern_order",
         "match_index",

@@ -92,5 +92,5 @@ def snapshot_files(parsed: DataFrame) -> DataFrame:
         F.col("m.ComplexityLevel").alias("quality_level"),
         F.col("m.FunctionCount").alias("function_count"),
         F.col("m.LinesOfCode").alias("lines_of_code"),
-        F.element_at("texts", F.col("path")).alias("content"),
+        F.try_element_at("texts", F.col("path")).alias("content"),
     )

@@ -1 +1,89 @@
-"""Queries."""
+"""Queries of the audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codegauge.operators import audit as L
+from suite.mapping import mapped, with_sql
+from suite.registry import query
+
+
+@query(
+    "L1",
+    sql=with_sql("runs", body="""
+SELECT repository_id, base_commit_sha, head_commit_sha, count(*) AS n FROM runs GROUP BY 1, 2, 3 HAVING count(*) > 1"""),
+)
+def duplicate_commit_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.duplicate_keys(mapped(spark, sf_dir, "runs"), L.UNIQUE_KEYS["analysis_runs"])
+
+
+@query(
+    "L1",
+    sql=with_sql("repositories", body="SELECT github_repo_id, count(*) AS n FROM repositories GROUP BY 1 HAVING count(*) > 1"),
+)
+def duplicate_repository_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.duplicate_keys(mapped(spark, sf_dir, "repositories"), L.UNIQUE_KEYS["repositories"])
+
+
+# A tenth of the customers is taken for deleted, which leaves orphans behind.
+_GONE = "id % 10 = 3"
+
+
+@query(
+    "L2",
+    sql=with_sql("runs", body="SELECT id, repository_id FROM runs WHERE repository_id % 10 = 3"),
+)
+def orphan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mapped(spark, sf_dir, "repositories").where(f"NOT ({_GONE})")
+    return L.orphans(mapped(spark, sf_dir, "runs"), "repository_id", kept).select("id", "repository_id")
+
+
+@query(
+    "L2",
+    sql=with_sql("issues", "runs", body="""
+SELECT id, run_id FROM issues WHERE run_id NOT IN (SELECT id FROM runs WHERE status <> 'failed')"""),
+)
+def orphan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of runs that failed, taken as removed."""
+    kept = mapped(spark, sf_dir, "runs").where("status <> 'failed'")
+    return L.orphans(mapped(spark, sf_dir, "issues"), "run_id", kept).select("id", "run_id")
+
+
+@query(
+    "L3",
+    sql=with_sql("issues", "runs", "repositories", body="""
+SELECT 'repositories' AS table_name, count(*) AS n FROM repositories WHERE id % 10 <> 3
+UNION ALL SELECT 'analysis_runs', count(*) FROM runs WHERE repository_id % 10 <> 3
+UNION ALL SELECT 'analysis_issues', count(*) FROM issues
+  WHERE run_id NOT IN (SELECT id FROM runs WHERE repository_id % 10 = 3)"""),
+)
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {
+        "repositories": mapped(spark, sf_dir, "repositories"),
+        "analysis_runs": mapped(spark, sf_dir, "runs"),
+        "analysis_issues": mapped(spark, sf_dir, "issues"),
+    }
+    kept = L.cascade_delete(tables, "repositories", F.expr(_GONE))
+    merged = None
+    for name, rows in kept.items():
+        counted = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        merged = counted if merged is None else merged.unionByName(counted)
+    return merged
+
+
+@query(
+    "L4",
+    sql=with_sql("runs", body="""
+SELECT id, 'summary' AS column, 'missing' AS problem FROM runs WHERE summary IS NULL
+UNION ALL SELECT id, 'completed_at', 'missing' FROM runs WHERE completed_at IS NULL
+UNION ALL SELECT id, 'summary', 'longer than 48' FROM runs WHERE len(summary) > 48"""),
+)
+def column_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rules, and two stricter ones that some rows break."""
+    return L.violations(
+        mapped(spark, sf_dir, "runs"),
+        (*L.REQUIRED["analysis_runs"], "summary", "completed_at"),
+        {**L.MAX_LENGTH["analysis_runs"], "summary": 48},
+    )

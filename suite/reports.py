@@ -216,7 +216,8 @@ def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "H1", "G7",
     sql=with_sql("runs", body="""
 SELECT repository_id, id, CAST(row_number() OVER w AS INT) AS recency FROM runs
-QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY repository_id ORDER BY created_at DESC, id DESC)"""),
+WINDOW w AS (PARTITION BY repository_id ORDER BY created_at DESC, id DESC)
+QUALIFY row_number() OVER w <= 5"""),
 )
 def recent_runs_per_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.recent_runs_per(mapped(spark, sf_dir, "runs"), "repository_id", 5).select(

@@ -1 +1,241 @@
-"""Queries."""
+"""Queries of the request limits, and of the streaming jobs run over what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codegauge.operators import ordered as G
+from codegauge.operators import ratelimit as K
+from codegauge.sources.tables import read_table
+from codegauge.streaming import counters, intake, limits, status
+from codegauge.streaming.tables import run_to_table, stream_table
+from codegauge.workspace import shared_folder
+from suite.mapping import MAPPED, mapped, with_sql
+from suite.registry import query
+from suite.rules import _DOC_ISSUES, ISSUE_COLUMNS
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A mapped table as a stream over the files of its table."""
+    table, columns = MAPPED[name]
+    # A pattern, because a stream cannot be opened on a path that is a single file.
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet*"
+    schema = read_table(spark, sf_dir, table).schema
+    return stream_table(spark, path, schema).selectExpr(*columns)
+
+
+@query(
+    "G6", "K5",
+    sql=with_sql("requests", body="""
+SELECT event_id, client_id, count(*) OVER (PARTITION BY client_id ORDER BY ts
+  RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM requests"""),
+)
+def sliding_request_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = mapped(spark, sf_dir, "requests")
+    return G.sliding_count(requests, "client_id", "ts", 6 * 3600).select("event_id", "client_id", "n")
+
+
+@query(
+    "K5",
+    sql=with_sql("requests", body="""
+SELECT event_id, client_id, n FROM (
+  SELECT event_id, client_id, count(*) OVER (PARTITION BY client_id ORDER BY ts
+    RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS n FROM requests) WHERE n > 3"""),
+)
+def requests_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = K.over_limit(mapped(spark, sf_dir, "requests"), 3, 6 * 3600)
+    return found.select("event_id", "client_id", "n")
+
+
+def _admission_sql(limit: int, seconds: int) -> str:
+    """Every client step by step: the list of admitted times is carried along."""
+    recent = f"list_filter(h, lambda x: epoch_us(ts) - x <= {seconds}000000)"
+    return with_sql("requests", body="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+r AS MATERIALIZED (SELECT client_id, event_id, ts, row_number() OVER (PARTITION BY client_id ORDER BY ts, event_id) AS i FROM requests),
+walk(client_id, i, h, event_id, admitted) AS (
+  SELECT client_id, 1::BIGINT, [epoch_us(ts)], event_id, true FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.client_id, r.i, CASE WHEN len({recent}) < {limit} THEN list_append({recent}, epoch_us(ts)) ELSE {recent} END,
+    r.event_id, len({recent}) < {limit}
+  FROM walk w JOIN r ON r.client_id = w.client_id AND r.i = w.i + 1)
+SELECT event_id, client_id, admitted FROM walk"""
+
+
+@query("K6", sql=_admission_sql(3, 6 * 3600))
+def request_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = K.admission(mapped(spark, sf_dir, "requests"), 3, 6 * 3600)
+    return decided.select("event_id", "client_id", "admitted")
+
+
+@query("K6", "K8", sql=_admission_sql(3, 6 * 3600))
+def request_admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _stream(spark, sf_dir, "requests")
+    decided = limits.admission_stream(requests, 3, 6 * 3600, idle_seconds=12 * 3600)
+    return run_to_table(spark, decided, "admission").select("event_id", "client_id", "admitted")
+
+
+@query(
+    "K7",
+    sql="""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN coalesce(ip, 'unknown')
+  ELSE concat(coalesce(ip, 'unknown'), ':user:', CAST(user_id AS VARCHAR)) END AS client_id
+FROM (SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN concat('10.0.0.', CAST(user_id % 256 AS VARCHAR)) END AS ip FROM events)""",
+)
+def client_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "CASE WHEN event_id % 7 <> 0 THEN concat('10.0.0.', CAST(user_id % 256 AS STRING)) END AS ip",
+        "CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS STRING) ELSE '' END AS user_id",
+    )
+    return events.select("event_id", K.client_key(F.col("ip"), F.col("user_id")).alias("client_id"))
+
+
+@query(
+    "K8",
+    sql=with_sql("requests", body="""
+SELECT client_id, max(ts) AS last_request FROM requests GROUP BY 1
+HAVING max(ts) < (SELECT max(ts) FROM requests) - INTERVAL 12 HOUR"""),
+)
+def idle_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = mapped(spark, sf_dir, "requests")
+    now = requests.agg(F.max("ts")).scalar()
+    return K.idle_clients(requests, now, 12 * 3600)
+
+
+@query(
+    "K5",
+    sql=with_sql("requests", body="""
+SELECT client_id, epoch_ms(s * 1000) AS window_start, count(*) AS n
+FROM (SELECT client_id, unnest(range(CAST(epoch(ts) // 3600 AS BIGINT) * 3600 - 5 * 3600, CAST(epoch(ts) // 3600 AS BIGINT) * 3600 + 1, 3600)) AS s FROM requests)
+GROUP BY 1, 2"""),
+)
+def request_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per client in 6-hour windows that slide by an hour; the last update of each counts."""
+    rates = limits.request_rates(_stream(spark, sf_dir, "requests"), 6 * 3600, 3600, "1 day")
+    written = run_to_table(spark, rates, "rates", mode="update")
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return written.groupBy("client_id", start).agg(F.max_by("n", "batch_id").alias("n"))
+
+
+@query("K1", "I1", sql=with_sql("document_files", body=_DOC_ISSUES))
+def analyze_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "analysis")
+    files = _stream(spark, sf_dir, "document_files")
+    intake.start_analysis(files, folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/issues").select(*ISSUE_COLUMNS)
+
+
+@query(
+    "K1",
+    sql="SELECT DISTINCT source AS run_id, 'completed' AS status FROM documents",
+)
+def analyze_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "analysis")
+    files = _stream(spark, sf_dir, "document_files")
+    intake.start_analysis(files, folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/states").select("run_id", "status").distinct()
+
+
+@query(
+    "K2", "F6",
+    sql=with_sql("runs", body="""
+SELECT DISTINCT repository_id, base_commit_sha, head_commit_sha FROM runs WHERE created_at >= TIMESTAMP '1998-01-01'
+EXCEPT SELECT repository_id, base_commit_sha, head_commit_sha FROM runs WHERE created_at < TIMESTAMP '1998-01-01'"""),
+)
+def new_submissions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.lit("1998-01-01").cast("timestamp_ntz")
+    history = mapped(spark, sf_dir, "runs").where(F.col("created_at") < day)
+    submitted = _stream(spark, sf_dir, "runs").where(F.col("created_at") >= day)
+    folder = shared_folder(spark, "submissions")
+    fresh, unknown = intake.new_submissions(
+        spark, submitted.select(*intake.COMMIT_KEY, "created_at"), history, "30 days", f"{folder}/out"
+    )
+    from codegauge.streaming.tables import write_batches
+
+    write_batches(fresh, f"{folder}/out", f"{folder}/checkpoint", unknown).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(*intake.COMMIT_KEY)
+
+
+# Status events of a run: one per line item, in the order of the ship dates.
+_EVENTS = (
+    "lineitem",
+    [
+        "l_orderkey AS run_id",
+        """CASE WHEN l_linenumber = 7 THEN 'completed' WHEN l_linenumber = 6 THEN 'failed'
+           WHEN l_linenumber <= 2 THEN 'queued' ELSE 'running' END AS status""",
+        "l_shipdate AS ts",
+    ],
+)
+MAPPED["status_events"] = _EVENTS
+_STATUS = """
+SELECT run_id, CASE WHEN bool_or(t) THEN min(s) FILTER (WHERE t) ELSE max(s) END AS s
+FROM (SELECT run_id, status IN ('completed', 'failed') AS t, {'ts': ts, 'status': status} AS s FROM status_events) GROUP BY 1"""
+
+
+@query("K3", sql=with_sql("status_events", body=f"SELECT run_id, s.status AS status, s.ts AS ts FROM ({_STATUS})"))
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.latest_status(mapped(spark, sf_dir, "status_events"))
+
+
+@query(
+    "K3", "B15",
+    sql=with_sql("status_events", body=f"SELECT run_id, s.status AS status, s.ts AS ts FROM ({_STATUS})"),
+)
+def latest_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tracked = status.latest_status(_stream(spark, sf_dir, "status_events"))
+    written = run_to_table(spark, tracked, "status", mode="update")
+    last = F.max_by(F.struct("status", "ts"), "batch_id").alias("s")
+    return written.groupBy("run_id").agg(last).select("run_id", "s.*")
+
+
+@query(
+    "K4",
+    sql=with_sql("runs", body="""
+SELECT id, CASE WHEN stale THEN 'failed' ELSE status END AS status, CASE WHEN stale THEN 'timed out' ELSE summary END AS summary
+FROM (SELECT *, status = 'running' AND created_at < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 10 MINUTE AS stale FROM runs)"""),
+)
+def stale_runs_timed_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
+    return status.time_out_stale(mapped(spark, sf_dir, "runs"), now).select("id", "status", "summary")
+
+
+@query(
+    "K4",
+    sql=with_sql("status_events", body="""
+SELECT run_id, CASE WHEN ended IS NULL THEN 'failed' ELSE ended.status END AS status,
+  CASE WHEN ended IS NULL THEN 'timed out' ELSE '' END AS summary
+FROM (SELECT run_id, min({'ts': ts, 'status': status}) FILTER (WHERE status IN ('completed', 'failed')) AS ended, min(ts) AS started
+      FROM status_events GROUP BY 1)
+WHERE ended IS NOT NULL OR started + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM status_events) - INTERVAL 1 DAY"""),
+)
+def run_time_out_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stream(spark, sf_dir, "status_events")
+    return run_to_table(spark, status.watch_runs(events, "1 day"), "watch").select(
+        "run_id", "status", "summary"
+    )
+
+
+@query(
+    "K9", "E8", "E9",
+    sql=with_sql("issues", body="SELECT lower(severity) AS severity, lower(category) AS category, count(*) AS n FROM issues GROUP BY 1, 2"),
+)
+def live_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = counters.live_counts(_stream(spark, sf_dir, "issues"), "severity", "category")
+    written = run_to_table(spark, counts, "counts", mode="complete")
+    return written.groupBy("severity", "category").agg(F.max_by("n", "batch_id").alias("n"))
+
+
+@query(
+    "K9", "E11",
+    sql=with_sql("requests", body="""
+SELECT event_type, count(*) FILTER (WHERE value <= 1) AS le_1, count(*) FILTER (WHERE value <= 16) AS le_16,
+  count(*) FILTER (WHERE value <= 128) AS le_128, count(*) AS count, round(sum(value), 4) AS sum FROM requests GROUP BY 1"""),
+)
+def live_duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = counters.live_histogram(_stream(spark, sf_dir, "requests"), "value", "event_type")
+    written = run_to_table(spark, kept, "histogram", mode="complete")
+    last = F.max_by(F.struct("le_1", "le_16", "le_128", "count", "sum"), "batch_id").alias("s")
+    return written.groupBy("event_type").agg(last).select(
+        "event_type", "s.le_1", "s.le_16", "s.le_128", "s.count", F.round("s.sum", 4).alias("sum")
+    )
