@@ -107,7 +107,7 @@ def idle_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     "K5",
     sql=with_sql("requests", body="""
 SELECT client_id, epoch_ms(s * 1000) AS window_start, count(*) AS n
-FROM (SELECT client_id, unnest(range(CAST(epoch(ts) // 3600 AS BIGINT) * 3600 - 5 * 3600, CAST(epoch(ts) // 3600 AS BIGINT) * 3600 + 1, 3600)) AS s FROM requests)
+FROM (SELECT client_id, unnest(range(CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 - 5 * 3600, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 + 1, 3600)) AS s FROM requests)
 GROUP BY 1, 2"""),
 )
 def request_rates_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
