@@ -63,7 +63,10 @@ def run_detail(runs: DataFrame, repositories: DataFrame, issues: DataFrame) -> D
     """Runs with their repository and, one row per issue, all their issues.
 
     The rows stay flat: a run may hold any number of issues, so they are not
-    gathered into one row. A run without issues keeps one row.
+    gathered into one row. A run without issues keeps one row. The matching part
+    is an inner join, where a run with very many issues can be split over tasks
+    (in an outer join only the side that is kept whole could be); the runs
+    without issues are found against the distinct run ids.
     """
     kept = issues.select(
         F.col("run_id").alias("id"),
@@ -71,7 +74,9 @@ def run_detail(runs: DataFrame, repositories: DataFrame, issues: DataFrame) -> D
         F.col("line_number").alias("line_start"),
         "severity", "category", "message", "rule_id",
     )
-    return runs_with_repository(runs, repositories).join(kept, "id", "left")
+    owned = runs_with_repository(runs, repositories)
+    without = owned.join(kept.select("id").distinct(), "id", "left_anti")
+    return owned.join(kept, "id").unionByName(without, allowMissingColumns=True)
 
 
 def owned_issues(

@@ -1,8 +1,7 @@
 """Positions and neighbours in ordered groups of any size.
 
 A group may hold a large share of all rows, so no window runs over a whole
-group. Rows are cut into chunks that follow the order (a function of the first
-order column); windows run inside a chunk, and a small table with one row per
+group. Rows are cut into chunks that follow the order; windows run inside a chunk, and a small table with one row per
 chunk carries what a chunk must know about the ones before and after it.
 """
 
@@ -19,7 +18,10 @@ def with_neighbours(
 ) -> DataFrame:
     """Adds position, group_size, next and previous ``value`` with wrap-around.
 
-    ``order`` must be total within a group; ``chunk`` must not decrease along it.
+    ``order`` must be total within a group; ``chunk`` must not decrease along it
+    and should hold some thousands of rows. Where many rows of a group share the
+    first order column, a struct of it and a coarse form of the second one (a
+    prefix, a quotient) is a chunk too.
     """
     keys = list(keys)
     cut = rows.withColumn("__chunk", chunk)

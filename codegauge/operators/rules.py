@@ -196,7 +196,10 @@ def issue_texts(hit: dict[str, Column], rules: Sequence[Rule]) -> dict[str, Colu
         F.lit("{number}"),
         hit["number"].cast("string"),
     )
-    fix = F.replace(by_rule([r.fix for r in rules]), F.lit("{camel}"), snake_to_camel(hit["text"]))
+    plain = by_rule([r.fix for r in rules])
+    shows_name = hit["rule_order"].isin(*[i for i, r in enumerate(rules) if "{camel}" in r.fix])
+    named = F.replace(plain, F.lit("{camel}"), snake_to_camel(hit["text"]))
+    fix = F.when(shows_name, named).otherwise(plain)
     return {
         "severity": by_rule([r.severity for r in rules]),
         "category": by_rule([r.category for r in rules]),

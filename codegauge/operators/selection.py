@@ -51,7 +51,7 @@ def has_name(path: Column) -> Column:
 def is_binary(content: Column) -> Column:
     """More than the allowed share of control characters in the first characters."""
     sample = F.substring(content, 1, BINARY_SAMPLE)
-    control = F.length(F.regexp_replace(sample, r"[^\p{Cc}]|[\n\r\t]", ""))
+    control = F.regexp_count(sample, F.lit(r"[\p{Cc}&&[^\n\r\t]]"))
     return has_name(content) & (control / F.length(sample) > BINARY_SHARE)
 
 

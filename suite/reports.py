@@ -306,11 +306,10 @@ SELECT path, id, row_number() OVER w AS position, count(*) OVER (PARTITION BY pa
 FROM issues WINDOW w AS (PARTITION BY path ORDER BY line_number, id)"""),
 )
 def issue_neighbours_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the issues of a path in all runs, where groups span several chunks."""
+    """The same over the issues of a path in all runs, where groups span many chunks."""
     issues = mapped(spark, sf_dir, "issues").select("path", "line_number", "id")
-    placed = G.with_neighbours(
-        issues, ["path"], ["line_number", "id"], "id", F.floor(F.col("line_number") / 4)
-    )
+    chunk = F.struct("line_number", F.substring("id", 1, 1))
+    placed = G.with_neighbours(issues, ["path"], ["line_number", "id"], "id", chunk)
     return placed.drop("line_number")
 
 
