@@ -1,8 +1,9 @@
 """Positions and neighbours in ordered groups of any size.
 
 A group may hold a large share of all rows, so no window runs over a whole
-group. Rows are cut into chunks that follow the order; windows run inside a chunk, and a small table with one row per
-chunk carries what a chunk must know about the ones before and after it.
+group. Rows are cut into chunks that follow the order; windows run inside a
+chunk, and a small table with one row per chunk carries what a chunk must know
+about the ones before and after it.
 """
 
 from __future__ import annotations

@@ -49,17 +49,17 @@ def admission_stream(
             return
         recent = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        micros = rows["ts"].astype("datetime64[us]").astype("int64")
+        micros = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
         admitted = []
         for now in micros:
             while recent and now - recent[0] > width:
                 recent.popleft()
             ok = len(recent) < limit
             if ok:
-                recent.append(int(now))
+                recent.append(now)
             admitted.append(ok)
         state.update((list(recent),))
-        last_ms = int(micros.max()) // 1000
+        last_ms = micros[-1] // 1000
         state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {"client_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "admitted": admitted}

@@ -65,15 +65,16 @@ def watch_runs(events: DataFrame, delay: str, minutes: int = TIMEOUT_MINUTES) ->
             return
         ended = None
         for batch in batches:
-            first_ms = int(batch["ts"].min().timestamp() * 1000)
+            micros = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            first_ms = min(micros) // 1000
             started = first_ms if started is None else min(started, first_ms)
-            terminal = batch[batch["status"].isin(TERMINAL)]
-            for row in terminal.nsmallest(1, ["ts"], keep="all").itertuples():
-                seen = (row.ts, row.status)
-                ended = seen if ended is None else min(ended, seen)
+            for seen in zip(micros, batch["status"].tolist(), strict=True):
+                if seen[1] in TERMINAL and (ended is None or seen < ended):
+                    ended = seen
         if ended is not None:
             state.update((done,))
-            yield pd.DataFrame([(key[0], ended[1], "", ended[0])], columns=columns)
+            at = pd.Timestamp(ended[0], unit="us")
+            yield pd.DataFrame([(key[0], ended[1], "", at)], columns=columns)
             return
         state.update((started,))
         state.setTimeoutTimestamp(max(started + limit_ms, state.getCurrentWatermarkMs() + 1))
