@@ -202,3 +202,17 @@ def test_metric_text(spark, tmp_path):
     X.write_text(lines, str(tmp_path / "m"))
     text = [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()]
     assert text == ["# HELP m_total Help.", "# TYPE m_total counter", 'm_total{a="1",b="2"} 3', "# HELP up Up.", "# TYPE up gauge", "up 1"]
+
+
+def test_analysis_job_writes_a_store(spark, tmp_path):
+    from codegauge.plans.analysis import analyze_to_store, summarize_store
+
+    files = spark.createDataFrame(
+        [(1, "a.php", "<?php rand();"), (1, "b.js", "ok"), (2, "c.js", "mt_rand(1)")],
+        "run_id long, path string, content string",
+    )
+    for _ in range(2):
+        tables = analyze_to_store(files, str(tmp_path / "store"))
+        assert {tuple(r) for r in summarize_store(tables).collect()} == {(1, 2, 2), (2, 1, 1)}
+        assert tables["analysis_issues"].select("id").distinct().count() == 3
+        assert "content" not in tables["file_metrics"].columns
