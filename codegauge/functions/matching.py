@@ -33,9 +33,9 @@ def hit(line: Column, text: Column | None = None, number: Column | None = None)
     ).cast(HIT)
 
 
-def marked_hits(marked_text: Column) -> Column:
-    """All markers of a marked text as (line, identifier that follows the marker)."""
-    word = MARK + r"([\w\\|]*)"
+def marked_hits(marked_text: Column, word: str = r"\w*") -> Column:
+    """All markers of a marked text as (line, word that follows the marker)."""
+    word = f"{MARK}({word})"
 
     def of_line(line: Column, i: Column) -> Column:
         found = F.transform(
@@ -48,19 +48,26 @@ def marked_hits(marked_text: Column) -> Column:
 
 def marked(text: Column, lead: str, body: str, trail: str, flags: str = "") -> Column:
     """Text with a marker in front of the body of each match of lead+body+trail."""
+    if not lead:
+        return F.regexp_replace(text, f"(?d{flags}){body}{trail}", MARK + "$0")
     # Named groups, so capturing groups inside the parts do not matter.
     pattern = f"(?d{flags})(?<lead>{lead})(?<rest>{body}{trail})"
     return F.regexp_replace(text, pattern, "${lead}" + MARK + "${rest}")
 
 
-def found(text: Column, lowered: Column, tokens: Iterable[str], pattern: str) -> Column:
-    """Cheap literal tests first; the pattern is only tried where all tokens occur."""
+def has_all(lowered: Column, tokens: Iterable[str]) -> Column:
+    """Cheap literal tests, tried in order."""
     test = F.lit(True)
     for token in tokens:
         test = test & F.contains(lowered, F.lit(token))
-    return test & F.rlike(text, F.lit(pattern))
+    return test
 
 
 def line_starts_with(text: Column, lead: str) -> Column:
     """Whether some line of the text starts with a literal."""
     return F.startswith(text, F.lit(lead)) | F.contains(text, F.lit("\n" + lead))
+
+
+def has_indented_line(text: Column) -> Column:
+    """Whether some line starts with a blank byte (white space that ends no line, or NUL)."""
+    return F.rlike(text, F.lit(r"(?:\A|\n)[ \t\r\x00\x0B]"))

@@ -4,7 +4,8 @@ A pattern rule is data: users add rows to ``DEFAULT_RULES`` and pass the list on
 A structural rule has no patterns here; its hits are built in ``structural``.
 
 A pattern row is (tokens, lead, body, trail). ``tokens`` are lower-case literals
-that every match contains; ``lead`` is matched but the report points to the line
+that every match contains; patterns with the same first token are skipped
+together where a text lacks it, so the rarest shared one comes first. ``lead`` is matched but the report points to the line
 where ``body`` begins; ``trail`` is matched after it. In texts ``{text}`` stands
 for the captured identifier, ``{number}`` for the measured number and ``{camel}``
 for the camel-case form of the identifier.
@@ -89,8 +90,8 @@ DEFAULT_RULES: tuple[Rule, ...] = (
             Pattern(("$", "insert"), rf"\$\w+\s*=\s*{_Q}INSERT.*?\$\w+.*?{_Q}"),
             Pattern(("$", "update"), rf"\$\w+\s*=\s*{_Q}UPDATE.*?\$\w+.*?{_Q}"),
             Pattern(("$", "delete"), rf"\$\w+\s*=\s*{_Q}DELETE.*?\$\w+.*?{_Q}"),
-            Pattern(("mysql_query", "$"), rf"mysql_query\s*\(\s*{_Q}.*?\$\w+"),
-            Pattern(("mysqli_query", "$"), rf"mysqli_query\s*\(.*?{_Q}.*?\$\w+"),
+            Pattern(("$", "mysql_query"), rf"mysql_query\s*\(\s*{_Q}.*?\$\w+"),
+            Pattern(("$", "mysqli_query"), rf"mysqli_query\s*\(.*?{_Q}.*?\$\w+"),
         ),
     ),
     Rule(
@@ -98,9 +99,9 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         "Potential XSS vulnerability. User input is echoed without sanitization.",
         "Use htmlspecialchars() or htmlentities() to escape output.",
         (
-            Pattern(("echo", "$_"), rf"echo\s+{_INPUT4}\["),
-            Pattern(("print", "$_"), rf"print\s+{_INPUT4}\["),
-            Pattern(("?>", "$_"), rf"\?>\s*{_INPUT4}\["),
+            Pattern(("$", "$_", "echo"), rf"echo\s+{_INPUT4}\["),
+            Pattern(("$", "$_", "print"), rf"print\s+{_INPUT4}\["),
+            Pattern(("$", "$_", "?>"), rf"\?>\s*{_INPUT4}\["),
         ),
     ),
     Rule(
@@ -108,15 +109,15 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         f"Hardcoded secret detected. {_SECRET}",
         "Move secrets to .env file and use getenv() or $_ENV to access them.",
         (
-            Pattern(("password",), rf"password\s*=\s*{_Q}{_NQ}{{3,}}{_Q}",
+            Pattern(("=", "password"), rf"password\s*=\s*{_Q}{_NQ}{{3,}}{_Q}",
                     message=f"Hardcoded password detected. {_SECRET}"),
-            Pattern(("api", "key"), rf"api[_-]?key\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
+            Pattern(("=", "api", "key"), rf"api[_-]?key\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
                     message=f"Hardcoded API key detected. {_SECRET}"),
-            Pattern(("secret",), rf"secret\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
+            Pattern(("=", "secret"), rf"secret\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
                     message=f"Hardcoded secret detected. {_SECRET}"),
-            Pattern(("token",), rf"token\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
+            Pattern(("=", "token"), rf"token\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
                     message=f"Hardcoded token detected. {_SECRET}"),
-            Pattern(("private", "key"), rf"private[_-]?key\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
+            Pattern(("=", "private", "key"), rf"private[_-]?key\s*=\s*{_Q}{_NQ}{{10,}}{_Q}",
                     message=f"Hardcoded private key detected. {_SECRET}"),
         ),
     ),
@@ -126,7 +127,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         "Replace rand()/mt_rand() with random_int() for cryptographic purposes.",
         (
             Pattern(("rand",), rf"{WORD_START}rand\s*\("),
-            Pattern(("mt_rand",), rf"{WORD_START}mt_rand\s*\("),
+            Pattern(("rand", "mt_rand"), rf"{WORD_START}mt_rand\s*\("),
         ),
     ),
     Rule(
@@ -134,10 +135,10 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         "Potential path traversal vulnerability. User input used in file operations.",
         "Validate and sanitize file paths. Use basename() and realpath() to prevent directory traversal.",
         (
-            Pattern(("file_get_contents", "$_"), rf"file_get_contents\s*\(\s*{_INPUT3}"),
-            Pattern(("fopen", "$_"), rf"fopen\s*\(\s*{_INPUT3}"),
-            Pattern(("include", "$_"), rf"include\s+{_INPUT3}"),
-            Pattern(("require", "$_"), rf"require\s+{_INPUT3}"),
+            Pattern(("$", "$_", "file_get_contents"), rf"file_get_contents\s*\(\s*{_INPUT3}"),
+            Pattern(("$", "$_", "fopen"), rf"fopen\s*\(\s*{_INPUT3}"),
+            Pattern(("$", "$_", "include"), rf"include\s+{_INPUT3}"),
+            Pattern(("$", "$_", "require"), rf"require\s+{_INPUT3}"),
         ),
     ),
     Rule(
@@ -145,10 +146,10 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         "Potential command injection vulnerability. User input used in system command.",
         "Use escapeshellarg() and escapeshellcmd() or avoid shell commands entirely.",
         (
-            Pattern(("exec", "$"), rf"exec\s*\(\s*{_Q}.*?\$\w+"),
-            Pattern(("shell_exec", "$"), rf"shell_exec\s*\(\s*{_Q}.*?\$\w+"),
-            Pattern(("system", "$"), rf"system\s*\(\s*{_Q}.*?\$\w+"),
-            Pattern(("passthru", "$"), rf"passthru\s*\(\s*{_Q}.*?\$\w+"),
+            Pattern(("$", "exec"), rf"exec\s*\(\s*{_Q}.*?\$\w+"),
+            Pattern(("$", "shell_exec"), rf"shell_exec\s*\(\s*{_Q}.*?\$\w+"),
+            Pattern(("$", "system"), rf"system\s*\(\s*{_Q}.*?\$\w+"),
+            Pattern(("$", "passthru"), rf"passthru\s*\(\s*{_Q}.*?\$\w+"),
         ),
     ),
     Rule(
@@ -156,10 +157,10 @@ DEFAULT_RULES: tuple[Rule, ...] = (
         "Potential file inclusion vulnerability. User input used in include/require.",
         "Never use user input directly in include/require. Use a whitelist of allowed files.",
         (
-            Pattern(("include", "$_"), rf"include\s*\(\s*{_INPUT4}"),
-            Pattern(("require", "$_"), rf"require\s*\(\s*{_INPUT4}"),
-            Pattern(("include_once", "$_"), rf"include_once\s*\(\s*{_INPUT4}"),
-            Pattern(("require_once", "$_"), rf"require_once\s*\(\s*{_INPUT4}"),
+            Pattern(("$", "$_", "include"), rf"include\s*\(\s*{_INPUT4}"),
+            Pattern(("$", "$_", "require"), rf"require\s*\(\s*{_INPUT4}"),
+            Pattern(("$", "$_", "include_once"), rf"include_once\s*\(\s*{_INPUT4}"),
+            Pattern(("$", "$_", "require_once"), rf"require_once\s*\(\s*{_INPUT4}"),
         ),
     ),
     Rule(

@@ -25,7 +25,8 @@ _HEREDOC = (
 _SINGLE = r"\x27(?:[^\x27\\]|\\.)*+(?:\x27|\z)"
 _DOUBLE = r"\x22(?:[^\x22\\]|\\.)*+(?:\x22|\z)"
 _KEYWORD = (
-    r"(?<![a-z0-9_\x80-\xff\$\\])(?<!->)(?:" + "|".join(DECISION_KEYWORDS) + r")(?![a-z0-9_\x80-\xff\\])"
+    # The first letters are tested first, then what stands before.
+    r"(?=[cefisw])(?<![a-z0-9_\x80-\xff\$\\])(?<!->)(?:" + "|".join(DECISION_KEYWORDS) + r")(?![a-z0-9_\x80-\xff\\])"
 )
 _DECISION = (
     "(?isd)" + "|".join([_OUTSIDE, _BLOCK_COMMENT, _LINE_COMMENT, _HEREDOC, _SINGLE, _DOUBLE])
@@ -51,22 +52,14 @@ def lines_of_code(view: Column) -> Column:
     return line_count(view)
 
 
-def function_count(view: Column, lowered: Column) -> Column:
+def function_count(view: Column, possible: Column) -> Column:
     pattern = rf"(?i){WORD_START}function\s+\w+\s*\("
-    return (
-        F.when(F.contains(lowered, F.lit("function")), F.regexp_count(view, F.lit(pattern)))
-        .otherwise(0)
-        .cast("int")
-    )
+    return F.when(possible, F.regexp_count(view, F.lit(pattern))).otherwise(0).cast("int")
 
 
-def class_count(view: Column, lowered: Column) -> Column:
+def class_count(view: Column, possible: Column) -> Column:
     pattern = rf"(?i){WORD_START}class\s+\w+"
-    return (
-        F.when(F.contains(lowered, F.lit("class")), F.regexp_count(view, F.lit(pattern)))
-        .otherwise(0)
-        .cast("int")
-    )
+    return F.when(possible, F.regexp_count(view, F.lit(pattern))).otherwise(0).cast("int")
 
 
 def complexity_level(complexity: Column) -> Column:

@@ -8,13 +8,20 @@ the place of their rule in the table; texts are filled in when hits are exploded
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.functions.bytesview import byte_view
 from codegauge.functions.labels import SEVERITIES
-from codegauge.functions.matching import found, marked, marked_hits
+from codegauge.functions.matching import (
+    MARK,
+    has_all,
+    has_indented_line,
+    marked,
+    marked_hits,
+)
 from codegauge.functions.text import snake_to_camel
 from codegauge.operators import metrics as M
 from codegauge.operators import scoring, structural
@@ -24,6 +31,7 @@ HIT_TYPE = (
     "struct<rule_order:int,pattern_order:int,match_index:int,line:int,text:string,number:int>"
 )
 
+WORKING_COLUMNS = ("__view", "__low", "__functions", "__classes", "__indented")
 METRIC_COLUMNS = (
     "cyclomatic_complexity", "code_length", "lines_of_code",
     "function_count", "class_count", "complexity_level",
@@ -47,14 +55,19 @@ _SKIP = {
 
 
 def _structural(rule_id: str) -> Column | None:
+    lines, functions, classes, indented = (
+        F.col(c) for c in ("lines_of_code", "__functions", "__classes", "__indented")
+    )
     builders = {
-        "FUNCTION_TOO_LONG": lambda: structural.long_functions(_view(), _lowered()),
-        "FILE_TOO_LONG": lambda: structural.long_file(F.col("lines_of_code")),
+        "FUNCTION_TOO_LONG": lambda: structural.long_functions(_view(), lines, functions),
+        "FILE_TOO_LONG": lambda: structural.long_file(lines),
         "HIGH_COMPLEXITY": lambda: structural.high_complexity(F.col("cyclomatic_complexity")),
-        "MISSING_DOCUMENTATION": lambda: structural.undocumented_functions(_view(), _lowered()),
-        "MISSING_CLASS_DOCUMENTATION": lambda: structural.undocumented_classes(_view(), _lowered()),
-        "INCONSISTENT_INDENTATION": lambda: structural.mixed_indentation(_view()),
-        "DEEP_NESTING": lambda: structural.deep_nesting(_view()),
+        "MISSING_DOCUMENTATION": lambda: structural.undocumented_functions(
+            _view(), functions & F.contains(_lowered(), F.lit("public"))
+        ),
+        "MISSING_CLASS_DOCUMENTATION": lambda: structural.undocumented_classes(_view(), classes),
+        "INCONSISTENT_INDENTATION": lambda: structural.mixed_indentation(_view(), indented),
+        "DEEP_NESTING": lambda: structural.deep_nesting(_view(), indented),
         "LINE_TOO_LONG": lambda: structural.long_lines(_view()),
         "MISSING_STRICT_TYPES": lambda: structural.missing_strict_types(F.col("path"), _view()),
         "UNUSED_IMPORT": lambda: structural.unused_imports(_view()),
@@ -89,21 +102,31 @@ def _structural_hits(rules: Sequence[Rule]) -> list[Column]:
 def _pattern_hits(rules: Sequence[Rule]) -> list[Column]:
     """Hits of all pattern rules: mark the text per pattern, then locate the marks once.
 
-    A text is only marked where the cheap tests pass, so few entries are left.
+    Patterns are grouped by their first token, so a text without it skips the
+    whole group with one literal test; the other tokens are tested per pattern.
     """
-    entries = []
+    entry_type = "struct<rule:int,pattern:int,text:string>"
+    groups: dict[str, list[Column]] = {}
     for order, rule in enumerate(rules):
         for k, p in enumerate(rule.patterns if rule.on else ()):
-            test = found(_view(), _lowered(), p.tokens, p.regex())
-            text = F.when(test, marked(_view(), p.lead, p.body, p.trail, p.flags))
-            entries.append(
-                F.struct(F.lit(order).alias("rule"), F.lit(k).alias("pattern"), text.alias("text"))
+            first, *others = p.tokens or ("",)
+            text = F.when(
+                has_all(_lowered(), others), marked(_view(), p.lead, p.body, p.trail, p.flags)
             )
-    if not entries:
+            entry = F.struct(F.lit(order).alias("rule"), F.lit(k).alias("pattern"), text.alias("text"))
+            groups.setdefault(first, []).append(entry.cast(entry_type))
+    if not groups:
         return []
+    nothing = F.array().cast(f"array<{entry_type}>")
+    candidates = F.concat(
+        *[
+            F.when(F.contains(_lowered(), F.lit(first)), F.array(*entries)).otherwise(nothing)
+            for first, entries in groups.items()
+        ]
+    )
     hits = F.flatten(
         F.transform(
-            F.filter(F.array(*entries), lambda e: e["text"].isNotNull()),
+            F.filter(candidates, lambda e: F.contains(e["text"], F.lit(MARK))),
             lambda e: F.transform(
                 marked_hits(e["text"]), lambda h, i: _placed(e["rule"], e["pattern"], i, h)
             ),
@@ -116,6 +139,14 @@ def _pattern_hits(rules: Sequence[Rule]) -> list[Column]:
     return [hits]
 
 
+@lru_cache(maxsize=32)
+def _hits(application: str, rules: tuple[Rule, ...]) -> Column:
+    """The expression of a rule table; built once per application, since it is large."""
+    arrays = _pattern_hits(rules) + _structural_hits(rules)
+    hits = F.concat(*arrays) if arrays else F.array()
+    return hits.cast(f"array<{HIT_TYPE}>")
+
+
 def hits_of_rules(hits: Column, orders: Sequence[int]) -> Column:
     return F.filter(hits, lambda h: h["rule_order"].isin(*orders))
 
@@ -134,18 +165,27 @@ def _computed_once(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def with_metrics(files: DataFrame) -> DataFrame:
-    """Files plus their metrics (and the two working columns)."""
+    """Files plus their metrics (and the working columns)."""
     viewed = files.withColumns(
         {"__view": byte_view(F.col("content")), "__low": F.lower(F.col("content"))}
     )
-    measured = _computed_once(
+    # Tests that several metrics and rules share.
+    tested = _computed_once(
         viewed,
+        {
+            "__functions": F.contains(_lowered(), F.lit("function")),
+            "__classes": F.contains(_lowered(), F.lit("class")),
+            "__indented": has_indented_line(_view()),
+        },
+    )
+    measured = _computed_once(
+        tested,
         {
             "cyclomatic_complexity": M.cyclomatic_complexity(_view()),
             "code_length": M.code_length(_view()),
             "lines_of_code": M.lines_of_code(_view()),
-            "function_count": M.function_count(_view(), _lowered()),
-            "class_count": M.class_count(_view(), _lowered()),
+            "function_count": M.function_count(_view(), F.col("__functions")),
+            "class_count": M.class_count(_view(), F.col("__classes")),
         },
     )
     return measured.withColumn(
@@ -154,7 +194,7 @@ def with_metrics(files: DataFrame) -> DataFrame:
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
-    return with_metrics(files).drop("__view", "__low", "content")
+    return with_metrics(files).drop(*WORKING_COLUMNS, "content")
 
 
 def analyze_files(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
@@ -163,13 +203,10 @@ def analyze_files(files: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> Da
     ``files`` needs ``path`` and ``content``; all its other columns but the
     content are kept.
     """
-    arrays = _pattern_hits(rules) + _structural_hits(rules)
-    hits = F.concat(*arrays) if arrays else F.array()
-    with_hits = _computed_once(
-        with_metrics(files), {"hits": hits.cast(f"array<{HIT_TYPE}>")}
-    )
+    hits = _hits(files.sparkSession.sparkContext.applicationId, tuple(rules))
+    with_hits = _computed_once(with_metrics(files), {"hits": hits})
     by_severity = {s: [i for i, r in enumerate(rules) if r.severity == s] for s in SEVERITIES}
-    counted = with_hits.drop("__view", "__low", "content").withColumns(
+    counted = with_hits.drop(*WORKING_COLUMNS, "content").withColumns(
         {
             f"{s}_count": F.size(hits_of_rules(F.col("hits"), own)) if own else F.lit(0)
             for s, own in by_severity.items()

@@ -14,7 +14,6 @@ from codegauge.functions.matching import (
     HITS,
     MARK,
     STOP,
-    found,
     hit,
     line_starts_with,
     marked_hits,
@@ -33,7 +32,7 @@ from codegauge.operators.catalog import (
 _OPEN_FUNCTIONS = "array<struct<name:string,line:int,at:int>>"
 
 
-def long_functions(view: Column, lowered: Column) -> Column:
+def long_functions(view: Column, lines: Column, possible: Column) -> Column:
     """Functions whose body spans more than the allowed newlines.
 
     Headers get a marker where they start and one with the name before their
@@ -92,8 +91,8 @@ def long_functions(view: Column, lowered: Column) -> Column:
         lambda state: F.concat(state["ended"], closed(state, state["open"])),
     )
     in_order = F.array_sort(hits)
-    possible = (newlines(view) > MAX_FUNCTION_LINES) & F.contains(lowered, F.lit("function"))
-    return F.when(possible, in_order).otherwise(no_hits())
+    long_enough = (lines > MAX_FUNCTION_LINES + 1) & possible
+    return F.when(long_enough, in_order).otherwise(no_hits())
 
 
 def long_file(lines: Column) -> Column:
@@ -133,26 +132,26 @@ def _undocumented(view: Column, test: Column, pattern: str) -> Column:
     return F.when(test, missing).otherwise(no_hits())
 
 
-def undocumented_functions(view: Column, lowered: Column) -> Column:
+def undocumented_functions(view: Column, possible: Column) -> Column:
     pattern = r"public\s+function\s+(?<name>\w+)\s*\([^)]*\)"
-    test = found(view, lowered, ("public", "function"), r"(?i)public\s+function\s+\w+\s*\(")
+    test = possible & F.rlike(view, F.lit(r"(?i)public\s+function\s+\w+\s*\("))
     return _undocumented(view, test, pattern)
 
 
-def undocumented_classes(view: Column, lowered: Column) -> Column:
+def undocumented_classes(view: Column, possible: Column) -> Column:
     pattern = r"class\s+(?<name>\w+)"
-    test = found(view, lowered, ("class",), r"(?i)class\s+\w")
+    test = possible & F.rlike(view, F.lit(r"(?i)class\s+\w"))
     return _undocumented(view, test, pattern)
 
 
-def mixed_indentation(view: Column) -> Column:
+def mixed_indentation(view: Column, indented: Column) -> Column:
     """First line at which a line led by 4 spaces and one led by a tab were both seen."""
 
     def first_line(lead: str) -> Column:
         return newlines(F.split(view, f"(?dm)^{lead}", 2)[0]) + 1
 
     spaces, tab = "    ", "\t"
-    both = line_starts_with(view, tab) & line_starts_with(view, spaces)
+    both = indented & line_starts_with(view, tab) & line_starts_with(view, spaces)
     at = F.greatest(first_line(spaces), first_line(tab))
     return F.when(both, F.array(hit(at))).otherwise(no_hits())
 
@@ -170,7 +169,7 @@ def _line_hits(view: Column, test: Column, number, fires) -> Column:
     return F.when(test, hits).otherwise(no_hits())
 
 
-def deep_nesting(view: Column) -> Column:
+def deep_nesting(view: Column, indented: Column) -> Column:
     """Lines whose leading whitespace is worth more than the allowed levels."""
     blank = r"[ \t\r\x00\x0B]"
     least = (MAX_NESTING + 1) * INDENT_WIDTH
@@ -179,10 +178,7 @@ def deep_nesting(view: Column) -> Column:
         indent = F.length(F.regexp_extract(line, f"(?d)^{blank}*+", 0))
         return F.floor(indent / INDENT_WIDTH).cast("int")
 
-    led = F.lit(False)
-    for c in " \t\r\x00\x0B":
-        led = led | line_starts_with(view, c)
-    test = led & F.rlike(view, F.lit(f"(?dm)^{blank}{{{least}}}"))
+    test = indented & F.rlike(view, F.lit(f"(?dm)^{blank}{{{least}}}"))
     return _line_hits(view, test, level, lambda n: n > MAX_NESTING)
 
 
@@ -221,7 +217,8 @@ def unused_imports(view: Column) -> Column:
     test = line_starts_with(view, "use") & F.rlike(view, F.lit(r"(?dm)^use\s"))
     statement = r"(?dm)(?<all>^use\s+(?<full>[\w\\]+)(?:\s+as\s+(?<alias>\w+))?\s*;)"
     imports = marked_hits(
-        F.regexp_replace(view, statement, f"{MARK}${{full}}|${{alias}}{STOP}${{all}}")
+        F.regexp_replace(view, statement, f"{MARK}${{full}}|${{alias}}{STOP}${{all}}"),
+        word=f"[^{STOP}]*",
     )
     words = F.regexp_extract_all(view, F.lit(rf"(?<!use\s){WORD_START}\w+{WORD_END}"), F.lit(0))
 

@@ -27,13 +27,14 @@ def duplicate_repository_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.duplicate_keys(mapped(spark, sf_dir, "repositories"), L.UNIQUE_KEYS["repositories"])
 
 
-# A tenth of the customers is taken for deleted, which leaves orphans behind.
-_GONE = "id % 10 = 3"
+# The repositories of one owner are taken for deleted, which leaves orphans behind.
+_GONE = "user_id = 3"
 
 
 @query(
     "L2",
-    sql=with_sql("runs", body="SELECT id, repository_id FROM runs WHERE repository_id % 10 = 3"),
+    sql=with_sql("runs", "repositories", body="""
+SELECT id, repository_id FROM runs WHERE repository_id IN (SELECT id FROM repositories WHERE user_id = 3)"""),
 )
 def orphan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mapped(spark, sf_dir, "repositories").where(f"NOT ({_GONE})")
@@ -54,10 +55,11 @@ def orphan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "L3",
     sql=with_sql("issues", "runs", "repositories", body="""
-SELECT 'repositories' AS table_name, count(*) AS n FROM repositories WHERE id % 10 <> 3
-UNION ALL SELECT 'analysis_runs', count(*) FROM runs WHERE repository_id % 10 <> 3
-UNION ALL SELECT 'analysis_issues', count(*) FROM issues
-  WHERE run_id NOT IN (SELECT id FROM runs WHERE repository_id % 10 = 3)"""),
+SELECT 'repositories' AS table_name, count(*) AS n FROM repositories WHERE user_id <> 3
+UNION ALL SELECT 'analysis_runs', count(*) FROM runs
+  WHERE repository_id NOT IN (SELECT id FROM repositories WHERE user_id = 3)
+UNION ALL SELECT 'analysis_issues', count(*) FROM issues WHERE run_id NOT IN (
+  SELECT r.id FROM runs r JOIN repositories p ON repository_id = p.id WHERE user_id = 3)"""),
 )
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {

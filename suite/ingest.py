@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from codegauge.functions.labels import file_class
 from codegauge.operators import selection as B
 from codegauge.sources import files as A
+from codegauge.workspace import shared_folder
 from suite.mapping import mapped, with_sql
 from suite.registry import query
 
@@ -84,6 +85,26 @@ SELECT CAST((entry_index // 100) * 2 + CASE WHEN entry_index % 100 < 45 THEN 0 E
 FROM document_files"""
 
 
+@query(
+    "A2", "J18",
+    sql="""
+SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS size_bytes, md5(concat(html, chr(10))) AS digest FROM pages""",
+)
+def loose_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as one text file each (which ends in a newline), read back as files."""
+    from codegauge.sources.tables import read_table
+
+    folder = shared_folder(spark, "loose")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.write.partitionBy("page_id").text(folder)
+    files = A.read_files(spark, folder, extensions=(".txt",))
+    return files.select(
+        F.regexp_extract("path", r"^page_id=(\d+)/", 1).cast("long").alias("page_id"),
+        "size_bytes",
+        F.md5("content").alias("digest"),
+    )
+
+
 @query("A3", "J20", sql=with_sql("document_files", body=_BATCH_SQL))
 def request_batch_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.parse_batches(_batches(spark, sf_dir))

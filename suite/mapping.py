@@ -115,7 +115,20 @@ PAGES = (
     ],
 )
 
+# Short texts, some of whose lines end in blanks or tabs.
+PARTS = (
+    "part",
+    [
+        "'parts' AS run_id",
+        "CAST(p_partkey AS INT) AS entry_index",
+        "concat('parts/', CAST(p_partkey AS STRING), '.txt') AS path",
+        """concat(rpad(p_name, 12, ' '), chr(10), p_type,
+           CASE WHEN p_size > 25 THEN chr(9) ELSE '' END, chr(10), p_brand) AS content""",
+    ],
+)
+
 MAPPED = {
+    "part_files": PARTS,
     "repositories": REPOSITORIES,
     "runs": RUNS,
     "issues": ISSUES,

@@ -147,7 +147,7 @@ _STYLE_SQL = {
     ),
     "TRAILING_WHITESPACE": _row_sql(
         "TRAILING_WHITESPACE", "no",
-        _lines("document_files") + r" WHERE regexp_matches(line, '[ \t\x0B\f\r]$')",
+        _lines("part_files") + r" WHERE regexp_matches(line, '[ \t\x0B\f\r]$')",
     ),
 }
 
@@ -166,7 +166,7 @@ _RULE_IDS = {
 }
 
 for _rule_id, _id in _RULE_IDS.items():
-    _files = "document_files" if _rule_id == "TRAILING_WHITESPACE" else _F
+    _files = "part_files" if _rule_id == "TRAILING_WHITESPACE" else _F
     _body = _pattern_sql(_rule_id, _files) if _rule_id in _SECURITY else _STYLE_SQL[_rule_id]
     query(_id, sql=with_sql(_files, body=_body), name=f"rule_{_rule_id.lower()}")(
         _detect(_files, _rule_id)

@@ -216,3 +216,10 @@ def test_analysis_job_writes_a_store(spark, tmp_path):
         assert {tuple(r) for r in summarize_store(tables).collect()} == {(1, 2, 2), (2, 1, 1)}
         assert tables["analysis_issues"].select("id").distinct().count() == 3
         assert "content" not in tables["file_metrics"].columns
+
+
+def test_written_tables_go_to_the_shared_folder(spark):
+    from codegauge.workspace import SETTING, shared_folder
+
+    one, two = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert one.startswith(spark.conf.get(SETTING)) and one != two
