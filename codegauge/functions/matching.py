@@ -30,7 +30,7 @@ def hit(line: Column, text: Column | None = None, number: Column | None = None)
         line.cast("int").alias("line"),
         (F.lit("") if text is None else text).cast("string").alias("text"),
         (F.lit(0) if number is None else number).cast("int").alias("number"),
-    ).cast(HIT)
+    )
 
 
 def marked_hits(marked_text: Column, word: str = r"\w*") -> Column:

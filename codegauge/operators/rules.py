@@ -84,7 +84,7 @@ def _placed(rule_order: Column, pattern_order: Column, i: Column, h: Column) ->
         h["line"].alias("line"),
         h["text"].alias("text"),
         h["number"].alias("number"),
-    ).cast(HIT_TYPE)
+    )
 
 
 def _structural_hits(rules: Sequence[Rule]) -> list[Column]:
@@ -114,7 +114,7 @@ def _pattern_hits(rules: Sequence[Rule]) -> list[Column]:
                 has_all(_lowered(), others), marked(_view(), p.lead, p.body, p.trail, p.flags)
             )
             entry = F.struct(F.lit(order).alias("rule"), F.lit(k).alias("pattern"), text.alias("text"))
-            groups.setdefault(first, []).append(entry.cast(entry_type))
+            groups.setdefault(first, []).append(entry)
     if not groups:
         return []
     nothing = F.array().cast(f"array<{entry_type}>")
@@ -143,8 +143,7 @@ def _pattern_hits(rules: Sequence[Rule]) -> list[Column]:
 def _hits(application: str, rules: tuple[Rule, ...]) -> Column:
     """The expression of a rule table; built once per application, since it is large."""
     arrays = _pattern_hits(rules) + _structural_hits(rules)
-    hits = F.concat(*arrays) if arrays else F.array()
-    return hits.cast(f"array<{HIT_TYPE}>")
+    return F.concat(*arrays) if arrays else F.array().cast(f"array<{HIT_TYPE}>")
 
 
 def hits_of_rules(hits: Column, orders: Sequence[int]) -> Column:

@@ -156,48 +156,44 @@ def mixed_indentation(view: Column, indented: Column) -> Column:
     return F.when(both, F.array(hit(at))).otherwise(no_hits())
 
 
-def _line_hits(view: Column, test: Column, number, fires) -> Column:
-    """Hits of a per-line measure: ``number(line)`` where ``fires(line, number)``."""
-    measured = F.transform(
-        F.split(view, "\n", -1),
-        lambda line, i: F.struct((i + 1).alias("line"), number(line).alias("number")),
-    )
-    hits = F.transform(
-        F.filter(measured, lambda m: fires(m["number"])),
-        lambda m: hit(m["line"], None, m["number"]),
-    )
-    return F.when(test, hits).otherwise(no_hits())
+def _line_hits(view: Column, test: Column, fires, number=None) -> Column:
+    """Hits on the lines that fire, with a measured number; nothing is built for the others."""
+
+    def of_line(line: Column, i: Column) -> Column:
+        return F.when(fires(line), hit(i + 1, None, None if number is None else number(line)))
+
+    found = F.filter(F.transform(F.split(view, "\n", -1), of_line), lambda h: h.isNotNull())
+    return F.when(test, found).otherwise(no_hits())
 
 
 def deep_nesting(view: Column, indented: Column) -> Column:
     """Lines whose leading whitespace is worth more than the allowed levels."""
-    blank = r"[ \t\r\x00\x0B]"
+    blanks = " \t\r\x00\x0B"
     least = (MAX_NESTING + 1) * INDENT_WIDTH
+    test = indented & F.rlike(view, F.lit(rf"(?dm)^[{blanks}]{{{least}}}"))
 
-    def level(line: Column) -> Column:
-        indent = F.length(F.regexp_extract(line, f"(?d)^{blank}*+", 0))
-        return F.floor(indent / INDENT_WIDTH).cast("int")
+    def indent(line: Column) -> Column:
+        return F.length(line) - F.length(F.ltrim(line, F.lit(blanks)))
 
-    test = indented & F.rlike(view, F.lit(f"(?dm)^{blank}{{{least}}}"))
-    return _line_hits(view, test, level, lambda n: n > MAX_NESTING)
+    return _line_hits(
+        view,
+        test,
+        lambda line: indent(line) >= least,
+        lambda line: F.floor(indent(line) / INDENT_WIDTH),
+    )
 
 
 def long_lines(view: Column) -> Column:
     test = (F.length(view) > MAX_LINE_BYTES) & F.rlike(
         view, F.lit(rf"(?dm)^[^\n]{{{MAX_LINE_BYTES + 1}}}")
     )
-    return _line_hits(view, test, F.length, lambda n: n > MAX_LINE_BYTES)
+    return _line_hits(view, test, lambda line: F.length(line) > MAX_LINE_BYTES, F.length)
 
 
 def trailing_whitespace(view: Column) -> Column:
     # A line holds no newline, so the rest of the white space is what can end it.
     test = F.rlike(view, F.lit(r"(?d)[ \t\x0B\f\r](?:\n|\z)"))
-
-    def ends_blank(line: Column) -> Column:
-        return F.rlike(line, F.lit(r"(?d)[ \t\x0B\f\r]\z")).cast("int")
-
-    hits = _line_hits(view, test, ends_blank, lambda n: n == 1)
-    return F.transform(hits, lambda h: hit(h["line"]))
+    return _line_hits(view, test, lambda line: F.rlike(line, F.lit(r"[ \t\x0B\f\r]\z")))
 
 
 def missing_strict_types(path: Column, view: Column) -> Column:
