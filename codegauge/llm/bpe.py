@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from codegauge.llm.tables import in_batches, key_and_text
 
 SHORT = 128
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 # Fixed values of the vocabulary file's kind: pattern that splits text before the merges,
 # and white space as that pattern means it.
 SPACE = "\t-\r \x85\xa0  -     　"

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.llm.bpe import encoded
+from codegauge.llm.digest import edited_likeness
 from codegauge.llm.langid import identify, learn_profiles
 from codegauge.llm.lengths import encoded_lengths, length_table
+from codegauge.llm.lm import score
 from codegauge.llm.packing import pack
 from codegauge.llm.quality import rate_quality
 from codegauge.llm.tables import fold_of
@@ -31,6 +33,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 10) != 0)
+
+
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_table(encoded_lengths(read_table(spark, sf_dir, "documents")))
@@ -68,6 +75,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read_table(spark, sf_dir, "pages"), rules).drop("matched")
 
 
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
