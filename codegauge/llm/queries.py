@@ -15,6 +15,7 @@ from codegauge.llm.lm import score
 from codegauge.llm.packing import pack
 from codegauge.llm.quality import rate_quality
 from codegauge.llm.tables import fold_of
+from codegauge.llm.toxicity import toxicity
 from codegauge.llm.urlrules import host_rule, judge_urls, word_rule
 from codegauge.sources.tables import read_table
 
@@ -38,6 +39,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 10) != 0)
 
 
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity(docs, labels, lambda key: fold_of(key, 4) == 2)
+
+
 @query()
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_table(encoded_lengths(read_table(spark, sf_dir, "documents")))
