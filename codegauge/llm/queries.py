@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codegauge.llm.bpe import encoded
 from codegauge.llm.digest import edited_likeness
+from codegauge.llm.jaccard import similar_groups
 from codegauge.llm.langid import identify, learn_profiles
 from codegauge.llm.lengths import encoded_lengths, length_table
 from codegauge.llm.lm import score
@@ -87,6 +88,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(read_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(read_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 @query()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
