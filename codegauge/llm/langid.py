@@ -158,3 +158,21 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
             )
 
     return in_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, lang_pred string, score double")
+
+
+def of_known_language(docs: DataFrame, profiles: dict[str, list[int]], least: float, size: int = PROFILE) -> DataFrame:
+    """The documents, with all their columns, whose language is found with at least the given score.
+
+    Null texts and texts without letters go.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("text").alias("text"))
+
+    def run(batches):
+        model = Profiles(profiles, size)
+        for batch in batches:
+            got = [model.guess(t) for t in batch.column(1).to_pylist()]
+            good = pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(good)
+
+    return in_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
