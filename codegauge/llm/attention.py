@@ -104,6 +104,7 @@ def start(texts: list[np.ndarray], counts: dict[int, int], size: int, seed: int
     out_token[:, -1][of_class[1:], slot[1:]] = np.log(freq + 1)
     out_class = np.zeros((2 * WIDTH + 1, CLASSES + 1), np.float32)
     out_class[-1] = np.log(np.append(np.bincount(of_class[1:], freq, CLASSES), sum(counts.values()) - freq.sum()) + 1)
+    out_class[-1, :CLASSES][~filled.any(1)] = MASK  # a class without ids is never predicted
     draw = lambda *s: rng.standard_normal(s).astype(np.float32)
     bias = np.zeros((HEADS, REACH), np.float32)
     bias[0] = -1.0 * np.arange(REACH)
