@@ -18,18 +18,22 @@ TOP_LEVEL = "very_high"
 _OUTSIDE = r"(?:\A|\?>)(?:(?!<\?(?:php(?=\s|\z)|=)).)*+(?:<\?(?:php|=)|\z)"
 _BLOCK_COMMENT = r"/\*.*?(?:\*/|\z)"
 _LINE_COMMENT = r"(?://|#(?!\[))(?:(?!\?>)[^\n])*+"
+_BREAK = r"(?:\r\n|\n|\r)"
 _HEREDOC = (
-    r"<<<[ \t]*[\x22\x27]?(?<tag>[a-z_][a-z0-9_]*)[\x22\x27]?\n"
-    r".*?\n[ \t]*\k<tag>(?![a-z0-9_])"
+    r"<<<[ \t]*[\x22\x27]?(?<tag>[a-z_][a-z0-9_]*)[\x22\x27]?" + _BREAK
+    + r"(?:[ \t]*|.*?" + _BREAK + r"[ \t]*)\k<tag>(?![a-z0-9_])"
 )
 _SINGLE = r"\x27(?:[^\x27\\]|\\.)*+(?:\x27|\z)"
-_DOUBLE = r"\x22(?:[^\x22\\]|\\.)*+(?:\x22|\z)"
+# An expression in braces may hold quotes of its own.
+_INSERTED = r"\{\$[^{}\n]*+\}"
+_DOUBLE = rf"\x22(?:[^\x22\\{{]|\\.|{_INSERTED}|\{{)*+(?:\x22|\z)"
+_SHELL = rf"\x60(?:[^\x60\\{{]|\\.|{_INSERTED}|\{{)*+(?:\x60|\z)"
 _KEYWORD = (
     # The first letters are tested first, then what stands before.
     r"(?=[cefisw])(?<![a-z0-9_\x80-\xff\$\\])(?<!->)(?:" + "|".join(DECISION_KEYWORDS) + r")(?![a-z0-9_\x80-\xff\\])"
 )
 _DECISION = (
-    "(?isd)" + "|".join([_OUTSIDE, _BLOCK_COMMENT, _LINE_COMMENT, _HEREDOC, _SINGLE, _DOUBLE])
+    "(?isd)" + "|".join([_OUTSIDE, _BLOCK_COMMENT, _LINE_COMMENT, _HEREDOC, _SINGLE, _DOUBLE, _SHELL])
     + "|(?<point>" + _KEYWORD + r"|&&|\|\|)"
 )
 # The here-document tag is group 1, the decision point group 2.

@@ -25,6 +25,10 @@ FILE_SIZE_EXCEEDED = "FILE_SIZE_EXCEEDED"
 INVALID_ENCODING = "INVALID_ENCODING"
 MISSING_REQUIRED_FIELD = "MISSING_REQUIRED_FIELD"
 
+# Reasons for leaving a file out.
+NO_NAME, IGNORED_FOLDER, OTHER_EXTENSION = "no_name", "ignored_folder", "other_extension"
+TOO_LARGE, BINARY = "too_large", "binary"
+
 
 def extension(path: Column) -> Column:
     """Lower-case extension with its dot; '' without one or with a bare trailing dot."""
@@ -40,8 +44,9 @@ def in_ignored_part(path: Column, ignored: Sequence[str] = IGNORED_PARTS) -> Col
     return F.arrays_overlap(F.split(F.lower(path), "/", -1), F.array(*[F.lit(p) for p in ignored]))
 
 
-def within_size(size: Column, limit: int = MAX_FILE_BYTES) -> Column:
-    return size.isNull() | (size <= limit)
+def within_size(size: Column, limit: int | None = None) -> Column:
+    """Without a limit every size is within it; so is an unknown size."""
+    return F.lit(True) if limit is None else size.isNull() | (size <= limit)
 
 
 def has_name(path: Column) -> Column:
@@ -62,26 +67,47 @@ def is_base64(content: Column) -> Column:
     return long_enough & (kept / F.length(sample) > BASE64_SHARE)
 
 
-def wanted(
+def reject_reason(
     path: Column,
     size: Column | None = None,
-    limit: int = MAX_FILE_BYTES,
+    limit: int | None = None,
     extensions: Sequence[str] = ANALYZED_EXTENSIONS,
     ignored: Sequence[str] = IGNORED_PARTS,
 ) -> Column:
-    """The tests that need no content: name, size, folders, extension."""
-    test = has_name(path) & ~in_ignored_part(path, ignored) & has_extension(path, extensions)
-    return test if size is None else test & within_size(size, limit)
+    """Why a file is left out, from tests that need no content; NULL where it is kept."""
+    reason = (
+        F.when(~has_name(path), NO_NAME)
+        .when(in_ignored_part(path, ignored), IGNORED_FOLDER)
+        .when(~has_extension(path, extensions), OTHER_EXTENSION)
+    )
+    return reason if size is None or limit is None else reason.when(~within_size(size, limit), TOO_LARGE)
 
 
-def select_files(files: DataFrame, **options) -> DataFrame:
-    """Files worth analysing: the cheap tests first, then the binary test on the content."""
-    return files.where(wanted(F.col("path"), F.col("size_bytes"), **options)).where(
-        ~is_binary(F.col("content"))
-    )
+def wanted(path: Column, size: Column | None = None, **options) -> Column:
+    """The tests that need no content: name, folders, extension, and size where a limit is given."""
+    return reject_reason(path, size, **options).isNull()
+
+
+def with_reject_reason(files: DataFrame, drop_binary: bool = False, **options) -> DataFrame:
+    """Files with ``reject_reason``; the content is only looked at if ``drop_binary`` asks for it."""
+    reason = reject_reason(F.col("path"), F.col("size_bytes"), **options)
+    if drop_binary:
+        reason = F.coalesce(reason, F.when(is_binary(F.col("content")), F.lit(BINARY)))
+    return files.withColumn("reject_reason", reason)
+
+
+def select_files(files: DataFrame, drop_binary: bool = False, **options) -> DataFrame:
+    """Files worth analysing; no size limit and no look at the content unless asked for."""
+    kept = with_reject_reason(files, drop_binary, **options).where(F.col("reject_reason").isNull())
+    return kept.drop("reject_reason")
+
+
+def rejected_files(files: DataFrame, drop_binary: bool = False, **options) -> DataFrame:
+    """The files that ``select_files`` leaves out, with the first reason that holds."""
+    return with_reject_reason(files, drop_binary, **options).where(F.col("reject_reason").isNotNull())
 
 
-def first_files(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
+def first_files(files: DataFrame, n: int) -> DataFrame:
     """The first n files of each run in archive order.
 
     The rank is cut per task before the shuffle, so a run with very many files
@@ -92,9 +118,7 @@ def first_files(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
     return ranked.where(F.col("__rank") <= n).drop("__rank")
 
 
-def validate_batches(
-    files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_FILE_BYTES
-) -> DataFrame:
+def validate_batches(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     """Error code per batch (NULL where valid); the first failing test and file win.
 
     ``files`` has one row per file of a batch (an empty batch has one row with a

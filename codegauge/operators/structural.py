@@ -29,16 +29,17 @@ from codegauge.operators.catalog import (
     MAX_NESTING,
 )
 
-_OPEN_FUNCTIONS = "array<struct<name:string,line:int,at:int>>"
+_OPEN_FUNCTIONS = "array<struct<name:string,line:int,at:int,depth:int>>"
 
 
 def long_functions(view: Column, lines: Column, possible: Column) -> Column:
     """Functions whose body spans more than the allowed newlines.
 
     Headers get a marker where they start and one with the name before their
-    brace; then one pass over braces, newlines and markers keeps a stack of open
-    braces (bounded by the nesting depth). A function ends at its own closing
-    brace or at the end of the text. Braces in quotes count, as do braces of
+    brace; then one pass over braces, newlines and markers counts the open braces and
+    keeps the functions that are open, each with the depth of its brace, so braces of
+    other kinds cost nothing however many stay open. A function ends at its own
+    closing brace or at the end of the text. Braces in quotes count, as do braces of
     functions nested inside.
     """
     header = r"(?id)(?<start>function\s+)(?<name>\w+)(?<args>\s*\([^)]*\)\s*)\{"
@@ -49,37 +50,46 @@ def long_functions(view: Column, lines: Column, possible: Column) -> Column:
     start = F.struct(
         F.lit(0).alias("nl"),
         F.lit(0).alias("header"),
+        F.lit(0).alias("depth"),
         F.array().cast(_OPEN_FUNCTIONS).alias("open"),
         no_hits().alias("ended"),
     )
     state_type = (
-        f"struct<nl:int,header:int,open:{_OPEN_FUNCTIONS},ended:{HITS}>"
+        f"struct<nl:int,header:int,depth:int,open:{_OPEN_FUNCTIONS},ended:{HITS}>"
     )
 
-    def pushed(state: Column, name: Column) -> Column:
-        entry = F.struct(name.alias("name"), state["header"].alias("line"), state["nl"].alias("at"))
+    def opened(state: Column, name: Column) -> Column:
+        entry = F.struct(
+            name.alias("name"), state["header"].alias("line"), state["nl"].alias("at"),
+            (state["depth"] + 1).alias("depth"),
+        )
         return F.concat(state["open"], F.array(entry).cast(_OPEN_FUNCTIONS))
 
     def closed(state: Column, entries: Column) -> Column:
         return F.transform(
-            F.filter(entries, lambda e: (e["name"] != "") & (state["nl"] - e["at"] > MAX_FUNCTION_LINES)),
+            F.filter(entries, lambda e: state["nl"] - e["at"] > MAX_FUNCTION_LINES),
             lambda e: hit(e["line"], e["name"], state["nl"] - e["at"]),
         )
 
     def step(state: Column, token: Column) -> Column:
-        depth = F.size(state["open"])
-        top = F.slice(state["open"], F.greatest(depth, F.lit(1)), 1)
-        rest = F.slice(state["open"], 1, F.greatest(depth - 1, F.lit(0)))
+        count = F.size(state["open"])
         is_header = F.startswith(token, F.lit(STOP))
+        last = F.try_element_at(state["open"], F.lit(-1))
+        ends = (token == "}") & (count > 0) & (last["depth"] == state["depth"])
+        top = F.slice(state["open"], F.greatest(count, F.lit(1)), 1)
+        rest = F.slice(state["open"], 1, F.greatest(count - 1, F.lit(0)))
         return F.struct(
             F.when(token == "\n", state["nl"] + 1).otherwise(state["nl"]).alias("nl"),
             F.when(token == MARK, state["nl"] + 1).otherwise(state["header"]).alias("header"),
-            F.when(token == "{", pushed(state, F.lit("")))
-            .when(is_header, pushed(state, F.regexp_extract(token, r"\w+", 0)))
-            .when(token == "}", rest)
+            F.when((token == "{") | is_header, state["depth"] + 1)
+            .when(token == "}", F.greatest(state["depth"] - 1, F.lit(0)))
+            .otherwise(state["depth"])
+            .alias("depth"),
+            F.when(is_header, opened(state, F.regexp_extract(token, r"\w+", 0)))
+            .when(ends, rest)
             .otherwise(state["open"])
             .alias("open"),
-            F.when(token == "}", F.concat(state["ended"], closed(state, top)))
+            F.when(ends, F.concat(state["ended"], closed(state, top)))
             .otherwise(state["ended"])
             .alias("ended"),
         ).cast(state_type)

@@ -7,19 +7,22 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.operators.selection import (
     ANALYZED_EXTENSIONS,
+    IGNORED_FOLDER,
     IGNORED_PARTS,
     INVALID_ENCODING,
-    MAX_FILE_BYTES,
     MISSING_REQUIRED_FIELD,
+    NO_NAME,
+    OTHER_EXTENSION,
+    TOO_LARGE,
     wanted,
 )
 
-# The largest archive read, names for missing fields.
+# The usual limit of an archive, names for missing fields.
 MAX_ARCHIVE_BYTES = 25 * 1024 * 1024
 UNKNOWN_PATH = "unknown"
 
@@ -29,52 +32,58 @@ ENTRY_SCHEMA = (
 _FLUSH_BYTES = 16 * 1024 * 1024
 
 
-def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Entries of all zip archives below a folder; archives over the size limit are not opened."""
-    archives = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .where(F.col("length") <= MAX_ARCHIVE_BYTES)
-        .select(F.col("path").alias("archive"), "content")
-    )
-    return archive_entries(archives, **options)
-
+def read_archives(
+    spark: SparkSession, folder: str, max_archive_bytes: int | None = None, **options
+) -> DataFrame:
+    """Entries of all zip archives below a folder.
 
-def refused_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Archives over the size limit; only their names and sizes are read."""
-    return (
+    With a limit, an archive over it is not opened: it comes out as one row with its
+    size and ``error``.
+    """
+    found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.zip")
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .where(F.col("length") > MAX_ARCHIVE_BYTES)
-        .select(F.col("path").alias("archive"), F.col("length").alias("size_bytes"))
     )
+    small = found if max_archive_bytes is None else found.where(F.col("length") <= max_archive_bytes)
+    entries = archive_entries(small.select(F.col("path").alias("archive"), "content"), **options)
+    if max_archive_bytes is None:
+        return entries
+    none = F.lit(None)
+    refused = found.where(F.col("length") > max_archive_bytes).select(
+        F.col("path").alias("archive"), none.cast("int").alias("entry_index"), none.cast("string").alias("path"),
+        none.cast("string").alias("content"), F.col("length").alias("size_bytes"), F.lit(TOO_LARGE).alias("error"),
+    )
+    return entries.unionByName(refused)
 
 
 def archive_entries(
     archives: DataFrame,
-    max_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
     extensions: tuple[str, ...] = ANALYZED_EXTENSIONS,
     ignored: tuple[str, ...] = IGNORED_PARTS,
+    rejects: bool = False,
 ) -> DataFrame:
     """(archive, content) rows to one row per wanted entry.
 
-    Unwanted names are left out before anything is unpacked. The root folder
-    (first part of the first entry) is taken off the paths. An entry that cannot
-    be unpacked becomes a row with ``error`` and no content; so does an archive.
+    Unwanted names are left out before anything is unpacked; with ``rejects`` they come
+    out as rows with the reason as ``error``, as an entry over a given size always does.
+    The root folder (first part of the first entry) is taken off the paths. An entry that
+    cannot be unpacked becomes a row with ``error`` and no content; so does an archive.
     """
     allowed, skipped = set(extensions), set(ignored)
 
-    def is_wanted(path: str, size: int) -> bool:
+    def reason(path: str, size: int) -> str | None:
         parts = path.lower().split("/")
         stem, dot, ext = parts[-1].rpartition(".")
-        return (
-            bool(path.strip()) and size <= max_bytes and skipped.isdisjoint(parts)
-            and dot + ext in allowed
-        )
+        if not path.strip():
+            return NO_NAME
+        if not skipped.isdisjoint(parts):
+            return IGNORED_FOLDER
+        if dot + ext not in allowed:
+            return OTHER_EXTENSION
+        return TOO_LARGE if max_bytes is not None and size > max_bytes else None
 
     def entries(name: str, payload: bytes) -> Iterator[tuple]:
         try:
@@ -86,7 +95,11 @@ def archive_entries(
         root = infos[0].filename.split("/")[0] + "/" if infos else ""
         for i, info in enumerate(infos):
             path = info.filename.removeprefix(root)
-            if info.filename.endswith("/") or not is_wanted(path, info.file_size):
+            if info.filename.endswith("/"):
+                continue
+            if why := reason(path, info.file_size):
+                if rejects or why == TOO_LARGE:
+                    yield name, i, path, None, info.file_size, why
                 continue
             try:
                 text = archive.read(info).decode("utf-8-sig", errors="replace")
@@ -112,17 +125,26 @@ def archive_entries(
     return archives.select("archive", "content").mapInPandas(unpack, ENTRY_SCHEMA)
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text: a byte order mark goes, bad bytes become the replacement character."""
+    marked = F.substring(content, 1, 3) == F.lit(b"\xef\xbb\xbf")
+    plain = F.when(marked, F.substring(content, F.lit(4), F.length(content))).otherwise(content)
+    return F.make_valid_utf8(plain.cast("string"))
+
+
 def read_files(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """Loose files below a folder as rows; unwanted names and sizes are not read at all."""
-    source = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    # The file listing gives path:// URIs; the part below the folder is the path.
-    base = folder.rstrip("/").split("://")[-1]
-    uri = F.col("_metadata.file_path")
-    path = F.url_decode(F.regexp_replace(F.substring_index(uri, base + "/", -1), r"\+", "%2B"))
-    size = F.col("_metadata.file_size")
-    return source.where(wanted(path, size, **options)).select(
-        path.alias("path"), F.col("value").alias("content"), size.alias("size_bytes")
-    )
+    """Loose files below a folder as rows, with the same text an archive of them gives.
+
+    Paths start below the folder. Unwanted names and sizes are not read at all; the file
+    source passes over files of no length.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path = F.substring("path", F.lit(len(root.rstrip("/")) + 2), F.length("path"))
+    size = F.col("length")
+    kept = source.where(wanted(path, size, **options))
+    return kept.select(path.alias("path"), decoded(F.col("content")).alias("content"), size.alias("size_bytes"))
 
 
 def parse_batches(requests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codegauge.functions.text import round2, run_summary_text
 from codegauge.operators.catalog import DEFAULT_RULES, Rule
 from codegauge.operators.joins import COMMIT_KEY
 from codegauge.operators.rules import analyze_files, issues_of
@@ -27,29 +28,63 @@ def start_analysis(
     rules: Sequence[Rule] = DEFAULT_RULES,
     interval: str | None = None,
 ):
-    """Analyses arriving files; writes issues and run states per micro-batch.
+    """Analyses arriving files; writes issues and what each micro-batch adds to its runs.
 
-    The analysed rows of a batch are written once and the issues are derived from
-    the written rows. A batch that cannot be analysed marks its runs as failed
-    and the intake goes on.
+    The analysed rows of a batch are written once; issues and the runs' parts are derived
+    from the written rows. Files without content could not be read: they count as failed
+    and the others of their run are analysed. Any other failure (a lost executor, a full
+    disk, a broken rule) fails the micro-batch, which the stream then repeats as a whole,
+    replacing its folders. ``run_states`` gives one state per run over all batches.
     """
 
     def analyze(batch: DataFrame, batch_id: int) -> DataFrame:
         spark = batch.sparkSession
         analyzed_at = f"{out}/analyzed/batch_id={batch_id}"
-        runs = batch.select("run_id").distinct()
-        try:
-            analyze_files(batch, rules).write.mode("overwrite").parquet(analyzed_at)
-            issues = issues_of(spark.read.parquet(analyzed_at), rules)
-            issues.write.mode("overwrite").parquet(f"{out}/issues/batch_id={batch_id}")
-        except Exception as e:  # noqa: BLE001 - a failing batch must not end the intake
-            reason = f"{type(e).__name__}: {e}"[:500]
-            return runs.select("run_id", F.lit("failed").alias("status"), F.lit(reason).alias("summary"))
-        return runs.select("run_id", F.lit("completed").alias("status"), F.lit(None).cast("string").alias("summary"))
+        readable = batch.where(F.col("content").isNotNull())
+        analyze_files(readable, rules).write.mode("overwrite").parquet(analyzed_at)
+        analyzed = spark.read.parquet(analyzed_at)
+        issues_of(analyzed, rules).write.mode("overwrite").parquet(f"{out}/issues/batch_id={batch_id}")
+        done = analyzed.select("run_id", F.lit(0).alias("failed"), "score", "total_issues")
+        lost = batch.where(F.col("content").isNull()).select(
+            "run_id", F.lit(1).alias("failed"), F.lit(None).cast("int").alias("score"), F.lit(0).alias("total_issues")
+        )
+        return done.unionByName(lost).groupBy("run_id").agg(
+            F.count("score").alias("files"),
+            F.sum("score").cast("long").alias("score_sum"),
+            F.sum("total_issues").cast("long").alias("issues"),
+            F.sum("failed").cast("long").alias("failed"),
+        )
 
     return write_batches(files, f"{out}/states", checkpoint, analyze, interval=interval)
 
 
+def run_states(spark: SparkSession, out: str) -> DataFrame:
+    """One row per run over all micro-batches: status, files, issues, mean score and summary.
+
+    The parts that the batches wrote (a row per run and batch) are summed, so a run whose
+    files arrive in many batches has the same result as one that arrives at once. A run with
+    a file that could not be read has failed.
+    """
+    parts = spark.read.parquet(f"{out}/states")
+    runs = parts.groupBy("run_id").agg(
+        F.sum("files").cast("int").alias("files_analyzed"),
+        F.sum("issues").cast("long").alias("total_issues"),
+        round2(F.sum("score_sum") / F.sum("files")).cast("decimal(5,2)").alias("average_score"),
+        F.sum("failed").alias("failed"),
+    )
+    text = run_summary_text(F.col("files_analyzed"), F.col("average_score"), F.col("total_issues"))
+    lost = F.concat(F.col("failed").cast("string"), F.lit(" files could not be read"))
+    failed = F.col("failed") > 0
+    return runs.select(
+        "run_id",
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        "files_analyzed",
+        "total_issues",
+        "average_score",
+        F.when(failed, lost).otherwise(text).alias("summary"),
+    )
+
+
 def new_submissions(
     spark: SparkSession, submissions: DataFrame, history: DataFrame, delay: str, out: str
 ):

@@ -51,7 +51,7 @@ SELECT concat('batch-', CAST(entry_index // 40 AS VARCHAR)) AS archive, path,
 FROM code_files WHERE {_EXT} IN ({_EXTS}) AND NOT {_IGNORED}"""),
 )
 def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = A.archive_entries(_archives(spark, sf_dir))
+    entries = A.archive_entries(_archives(spark, sf_dir), max_bytes=B.MAX_FILE_BYTES)
     return entries.where("error IS NULL").select(
         "archive",
         "path",
@@ -119,7 +119,7 @@ SELECT batch_id, CAST(count(*) AS INT) AS n_files,
 FROM ({_BATCH_SQL}) GROUP BY 1"""),
 )
 def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.validate_batches(A.parse_batches(_batches(spark, sf_dir)), max_bytes=60000)
+    return B.validate_batches(A.parse_batches(_batches(spark, sf_dir)), B.MAX_FILES, max_bytes=60000)
 
 
 @query(
@@ -172,7 +172,70 @@ WHERE {_EXT} IN ({_EXTS}) AND NOT {_IGNORED} AND strlen(content) <= 512000
 def file_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = mapped(spark, sf_dir, "code_files").select("path", "content")
     pages = mapped(spark, sf_dir, "page_files").select("path", "content")
-    return B.select_files(A.with_size(code.unionByName(pages))).select("path", "size_bytes")
+    files = A.with_size(code.unionByName(pages))
+    return B.select_files(files, drop_binary=True, limit=B.MAX_FILE_BYTES).select("path", "size_bytes")
+
+
+@query(
+    "B1", "B2", "B3", "B4", "B5", "B10",
+    sql=with_sql("code_files", "page_files", body=f"""
+SELECT path, CAST(strlen(content) AS BIGINT) AS size_bytes,
+  CASE WHEN {_IGNORED} THEN 'ignored_folder' WHEN NOT {_EXT} IN ({_EXTS}) THEN 'other_extension'
+       WHEN strlen(content) > 1500 THEN 'too_large' ELSE 'binary' END AS reject_reason
+FROM (SELECT path, content FROM code_files UNION ALL SELECT path, content FROM page_files)
+WHERE {_IGNORED} OR NOT {_EXT} IN ({_EXTS}) OR strlen(content) > 1500
+  OR len(regexp_replace(substr(content, 1, 1024), '[^\\p{{Cc}}]|[\\n\\r\\t]', '', 'g'))
+      > 0.3 * least(1024, len(content))"""),
+)
+def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file that the tests leave out, with the reason."""
+    code = mapped(spark, sf_dir, "code_files").select("path", "content")
+    pages = mapped(spark, sf_dir, "page_files").select("path", "content")
+    files = A.with_size(code.unionByName(pages))
+    return B.rejected_files(files, drop_binary=True, limit=1500).select("path", "size_bytes", "reject_reason")
+
+
+@query(
+    "A1", "A2", "J18", "J19",
+    sql=with_sql("document_files", body="""
+SELECT source, path, CAST(strlen(content) AS BIGINT) AS n_bytes, md5(content) AS digest
+FROM document_files, (VALUES ('zip'), ('loose')) AS s(source)"""),
+)
+def stored_file_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as zip archives and as loose files; both readers give paths and texts."""
+    files = mapped(spark, sf_dir, "document_files")
+    zips, loose = shared_folder(spark, "my archives"), shared_folder(spark, "loose+files")
+    packed = files.select(F.concat("run_id", F.lit(".zip")).alias("archive"), "path", "content")
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, text in zip(batch["path"], batch["content"], strict=True):
+                z.writestr(f"root/{path}", text.encode())
+        return pd.DataFrame({"archive": [batch["archive"].iloc[0]], "content": [out.getvalue()]})
+
+    def store(root: str, names: list[str]):
+        def write(rows):
+            import pyarrow.fs as fs
+
+            system, base = fs.FileSystem.from_uri(root)
+            for row in rows:
+                place = f"{base}/{row[names[0]]}"
+                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(place) as out:
+                    out.write(bytes(row[names[1]]))
+
+        return write
+
+    packed = packed.groupBy("archive").applyInPandas(pack, "archive string, content binary")
+    packed.foreachPartition(store(zips, ["archive", "content"]))
+    loose_rows = files.select("path", F.encode("content", "UTF-8").alias("content"))
+    loose_rows.foreachPartition(store(loose, ["path", "content"]))
+    columns = lambda source: [
+        F.lit(source).alias("source"), "path", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest")
+    ]
+    from_zip = A.read_archives(spark, zips, extensions=(".txt",)).where("error IS NULL").select(*columns("zip"))
+    return from_zip.unionByName(A.read_files(spark, loose, extensions=(".txt",)).select(*columns("loose")))
 
 
 @query(

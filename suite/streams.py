@@ -13,7 +13,7 @@ from codegauge.streaming.tables import run_to_table, stream_table
 from codegauge.workspace import shared_folder
 from suite.mapping import MAPPED, mapped, with_sql
 from suite.registry import query
-from suite.rules import _DOC_ISSUES, ISSUE_COLUMNS
+from suite.rules import _DOC_ISSUES, _RUN_SUMMARY, ISSUE_COLUMNS, _scored_sql
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,15 +126,16 @@ def analyze_stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/issues").select(*ISSUE_COLUMNS)
 
 
-@query(
-    "K1",
-    sql="SELECT DISTINCT source AS run_id, 'completed' AS status FROM documents",
-)
+@query("K1", "E3", sql=_scored_sql("document_files", f"SELECT s.*, 'completed' AS status FROM ({_RUN_SUMMARY}) s"))
 def analyze_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose files come in eight parts, one per micro-batch: one state per run."""
     folder = shared_folder(spark, "analysis")
-    files = _stream(spark, sf_dir, "document_files")
+    parts = mapped(spark, sf_dir, "document_files").withColumn("part", F.col("entry_index") % 8)
+    parts.repartition("part").write.partitionBy("part").parquet(f"{folder}/files")
+    stored = spark.read.parquet(f"{folder}/files")
+    files = stream_table(spark, f"{folder}/files", stored.schema, 1).drop("part")
     intake.start_analysis(files, folder, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/states").select("run_id", "status").distinct()
+    return intake.run_states(spark, folder)
 
 
 @query(

@@ -74,7 +74,7 @@ def test_top_lists_are_cut_early(spark, sf_dir):
 
 def test_batch_validation_moves_no_contents(spark, documents):
     files = documents.select(F.floor(F.col("entry_index") / 50).alias("batch_id"), "entry_index", "path", "content")
-    plan = plan_of(B.validate_batches(files))
+    plan = plan_of(B.validate_batches(files, B.MAX_FILES, B.MAX_FILE_BYTES))
     shuffled = re.search(r"Exchange hashpartitioning.*?\n(.*)", plan).group(1)
     assert "content" not in shuffled
 

@@ -213,4 +213,18 @@ def test_known_gaps_of_the_decision_counter(analyze):
         ("const.php", "<?php Some::if;"),
         ("short.php", "<? if (1) {} ?>"),
     ])
-    assert [by_path[p]["cyclomatic_complexity"] for p in ("tick.php", "curly.php", "const.php", "short.php")] == [2, 1, 2, 1]
+    assert [by_path[p]["cyclomatic_complexity"] for p in ("tick.php", "curly.php", "const.php", "short.php")] == [1, 1, 2, 1]
+
+
+@pytest.mark.parametrize("text", [
+    "<?php $a = <<<EOT\r\nif while for case\r\nEOT;\r\n",
+    "<?php $a = <<<'EOT'\rif while\r  EOT;\r",
+    "<?php $a = <<<EOT\nEOT;\n",
+    "<?php `x && y || z`;",
+    "<?php `a \\` if`;",
+    "<?php \"{$r[\"if\"]} for\";",
+    "<?php \"{ $r { while\";",
+])
+def test_nothing_to_decide(analyze, text):
+    by_path, _ = analyze([("a.php", text), ("b.php", text + " if (1) {}")])
+    assert [by_path[p]["cyclomatic_complexity"] for p in ("a.php", "b.php")] == [1, 2]

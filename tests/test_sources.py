@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from codegauge.operators import rules as R
 from codegauge.operators import scoring as S
 from codegauge.operators import selection as B
+from codegauge.operators.rules import analyze_files
 from codegauge.sources import exposition as X
 from codegauge.sources import files as A
 from codegauge.sources import results as O
@@ -34,15 +36,34 @@ def test_archives(spark, tmp_path):
     broken = bytearray(archive([("r/a.php", b"hello hello"), ("r/b.php", b"fine")]))
     broken[broken.index(b"hello")] = ord("j")
     (tmp_path / "broken.zip").write_bytes(bytes(broken))
-    rows = A.read_archives(spark, str(tmp_path)).collect()
+    rows = A.read_archives(spark, str(tmp_path), max_bytes=B.MAX_FILE_BYTES).collect()
     by_name = {(r["archive"].rsplit("/", 1)[1], r["path"]): r for r in rows}
     assert by_name["good.zip", "a.php"]["content"] == "<?php"
     assert by_name["good.zip", "d/e.JS"]["content"] == "caf�"
     assert ("good.zip", "other/f.py") in by_name
-    assert not {p for _, p in by_name} & {"vendor/b.php", "c.txt", "big.php"}
+    assert not {p for _, p in by_name} & {"vendor/b.php", "c.txt"}
+    assert by_name["good.zip", "big.php"]["error"] == B.TOO_LARGE and by_name["good.zip", "big.php"]["content"] is None
     assert by_name["bad.zip", None]["error"]
     assert by_name["broken.zip", "a.php"]["error"] and by_name["broken.zip", "b.php"]["content"] == "fine"
-    assert A.refused_archives(spark, str(tmp_path)).count() == 0
+    whole = {r["path"]: r for r in A.read_archives(spark, str(tmp_path), rejects=True).collect()}
+    assert len(whole["big.php"]["content"]) == 600_000
+    assert (whole["vendor/b.php"]["error"], whole["c.txt"]["error"]) == (B.IGNORED_FOLDER, B.OTHER_EXTENSION)
+    limited = A.read_archives(spark, str(tmp_path), max_archive_bytes=len(good) - 1).where(f"error = '{B.TOO_LARGE}'").collect()
+    assert [(r["archive"].rsplit("/", 1)[1], r["size_bytes"]) for r in limited] == [("good.zip", len(good))]
+
+
+def test_nothing_is_cut_by_default(spark, tmp_path):
+    big = b"<?php\n" + b"$q = rand(1);\n" * 150_000  # 2 MB
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("r/big.php", big)
+        z.writestr("r/pad.py", os.urandom(60_000_000))
+    (tmp_path / "big.zip").write_bytes(stored.getvalue())
+    rows = A.read_archives(spark, str(tmp_path)).select("path", F.length("content").alias("n"), "size_bytes", "error")
+    got = {r["path"]: r for r in rows.collect()}
+    assert got["big.php"]["n"] == len(big) and got["pad.py"]["size_bytes"] == 60_000_000
+    files = B.select_files(A.read_archives(spark, str(tmp_path)).where("path = 'big.php'"))
+    assert analyze_files(files.withColumn("run_id", F.lit(1))).first()["lines_of_code"] > 150_000
 
 
 def test_loose_files(spark, tmp_path):
@@ -55,13 +76,31 @@ def test_loose_files(spark, tmp_path):
     assert [(r["path"], r["content"], r["size_bytes"]) for r in rows] == [("src/a b+c.php", "<?php\nif", 8)]
 
 
+def test_loose_files_equal_archived_ones(spark, tmp_path):
+    contents = {
+        "a.php": b"\xef\xbb\xbf<?php", "t/src/deep/y.php": b"caf\xe9 \xf0\x9f\x98 \xe2\x82", "50%/x+y z#1.py": b"a\xc0\xafb",
+        "big.php": b"x" * 600_000,
+    }
+    root = tmp_path / "build" / "my repo%20+" / "t" / "src"
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w") as z:
+        for name, data in contents.items():
+            z.writestr(f"root/{name}", data)
+            (root / name).parent.mkdir(parents=True, exist_ok=True)
+            (root / name).write_bytes(data)
+    frame = spark.createDataFrame([("a", stored.getvalue())], "archive string, content binary")
+    archived = {(r["path"], r["content"], r["size_bytes"]) for r in A.archive_entries(frame).collect()}
+    loose = {(r["path"], r["content"], r["size_bytes"]) for r in A.read_files(spark, str(root)).collect()}
+    assert loose == archived and len(loose) == len(contents)
+
+
 @pytest.mark.parametrize(
     "path, size, keep",
     [
         ("test.php", None, True), ("script.js", None, True), ("component.jsx", None, True),
         ("style.css", None, True), ("file.txt", None, False), ("image.png", None, False),
         ("vendor/lib.php", None, False), ("node_modules/pkg.js", None, False), ("a/OUT/b.js", None, False),
-        ("large.php", 512001, False), ("edge.php", 512000, True), ("bare.", None, False), (" ", None, False),
+        ("large.php", 512001, True), ("edge.php", 512000, True), ("bare.", None, False), (" ", None, False),
         ("Build", None, False), ("a.b/c", None, False), ("X.PHP", 1, True),
     ],
 )
@@ -92,7 +131,7 @@ def test_batch_validation(spark):
         + [(5, i, f"{i}", "é".encode()) for i in range(50)]
     )
     frame = spark.createDataFrame(rows, "batch_id long, entry_index int, path string, content binary")
-    found = {r["batch_id"]: (r["n_files"], r["error_code"]) for r in B.validate_batches(frame).collect()}
+    found = {r["batch_id"]: (r["n_files"], r["error_code"]) for r in B.validate_batches(frame, B.MAX_FILES, B.MAX_FILE_BYTES).collect()}
     assert found == {
         1: (0, "INVALID_REQUEST"), 2: (51, "FILE_LIMIT_EXCEEDED"), 3: (2, "FILE_SIZE_EXCEEDED"),
         4: (2, "INVALID_ENCODING"), 5: (50, None),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from codegauge.operators import ratelimit as K
 from codegauge.operators import rules as R
 from codegauge.operators.catalog import Pattern, Rule
+from codegauge.operators.scoring import run_summary
 from codegauge.streaming import counters, intake, limits, status
 from codegauge.streaming.tables import run_to_table, stream_table, write_batches
 
@@ -33,21 +34,41 @@ def test_analysis_survives_a_restart_and_a_bad_batch(spark, tmp_path):
     got = spark.read.parquet(f"{out}/issues").select(*rules)
     expected = R.detect(first.unionByName(second)).select(*rules)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
-    states = spark.read.parquet(f"{out}/states").select("run_id", "status")
-    assert {tuple(r) for r in states.collect()} == {(1, "completed"), (2, "completed")}
+    states = intake.run_states(spark, out).select("run_id", "status", "files_analyzed")
+    assert sorted(map(tuple, states.collect())) == [(1, "completed", 2), (2, "completed", 1)]
 
 
-def test_failing_batch_marks_its_runs(spark, tmp_path):
+def test_a_file_that_cannot_be_read_fails_its_run_alone(spark, tmp_path):
+    schema = "run_id long, path string, content string"
+    rows = [[(1, "a.php", "<?php rand();"), (2, "b.php", None)], [(2, "c.php", "<?php rand();"), (1, "d.js", "x")]]
+    source = folder_of([spark.createDataFrame(r, schema) for r in rows], tmp_path, "files")
+    out = str(tmp_path / "out")
+    files = stream_table(spark, source, spark.createDataFrame(rows[0], schema).schema, 1)
+    intake.start_analysis(files, out, str(tmp_path / "c")).awaitTermination()
+    states = {r["run_id"]: r for r in intake.run_states(spark, out).collect()}
+    whole = {r["run_id"]: r for r in run_summary(R.analyze_files(spark.createDataFrame([r for b in rows for r in b if r[2]], schema))).collect()}
+    assert states[1]["status"] == "completed" and states[2]["status"] == "failed"
+    for name in ("files_analyzed", "total_issues", "average_score"):
+        assert [states[k][name] for k in (1, 2)] == [whole[k][name] for k in (1, 2)]
+    assert states[1]["summary"] == whole[1]["summary"] and "1 files" in states[2]["summary"]
+
+
+def test_a_failing_batch_is_repeated_not_lost(spark, tmp_path):
     schema = "run_id long, path string, content string"
     batches = [spark.createDataFrame([(i, "a.php", text)], schema) for i, text in ((1, "x"), (2, "y"))]
     source = folder_of(batches, tmp_path, "files")
-    files = stream_table(spark, source, batches[0].schema, 1)
     broken = Rule("BROKEN", "info", "style", "", "", (Pattern(("x",), "("),))
-    out = str(tmp_path / "out")
-    intake.start_analysis(files, out, str(tmp_path / "c"), (broken,)).awaitTermination()
-    states = {r["run_id"]: r for r in spark.read.parquet(f"{out}/states").collect()}
-    assert states[1]["status"] == "failed" and states[1]["summary"]
-    assert states[2]["status"] == "completed"
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+    for rules in ((broken,), R.DEFAULT_RULES):
+        files = stream_table(spark, source, batches[0].schema, 1)
+        query = intake.start_analysis(files, out, checkpoint, rules)
+        if rules == (broken,):
+            with pytest.raises(Exception):  # noqa: B017
+                query.awaitTermination()
+        else:
+            query.awaitTermination()
+    got = sorted((r["run_id"], r["status"]) for r in intake.run_states(spark, out).collect())
+    assert got == [(1, "completed"), (2, "completed")]
 
 
 def test_admission_equals_the_batch_form(spark, tmp_path):
