@@ -46,9 +46,12 @@ class Weights:
     def tables(self) -> dict[str, np.ndarray]:
         """What scoring looks up by row."""
         e = self.embed
+        q, k = (e @ self.query / np.sqrt(HEAD)).astype(np.float32), (e @ self.key).astype(np.float32)
+        longest = np.sqrt((q * q).sum(1).max() * (k * k).sum(1).max()) + np.abs(self.bias).max()
         return {
-            "q": (e @ self.query / np.sqrt(HEAD)).astype(np.float32),
-            "kv": np.concatenate([e @ self.key, e @ self.value], axis=1).astype(np.float32),
+            "q": q,
+            "kv": np.concatenate([k, (e @ self.value).astype(np.float32)], axis=1),
+            "steep": bool(longest > 60),  # only then could an exponential overflow
             "class": (e @ self.out_class[:WIDTH] + self.out_class[-1]).astype(np.float32),
         }
 
@@ -129,28 +132,29 @@ def attended(w: Weights, t: dict[str, np.ndarray], rows: np.ndarray, first: np.n
     before the text or after the one that attends are masked.
     """
     at = first[:, None] + np.arange(-OVERLAP, STRIDE)
-    known = at >= base[:, None]
-    at = np.clip(at, 0, len(rows) - 1)
-    r = rows[at]
+    begins = first - OVERLAP < base
+    r = rows[np.clip(at, 0, len(rows) - 1)]
     kv = t["kv"][r]
     n = len(first)
     q = t["q"][r[:, OVERLAP:]].reshape(n, STRIDE, HEADS, HEAD).transpose(0, 2, 1, 3)
     k = kv[..., :WIDTH].reshape(n, REACH, HEADS, HEAD).transpose(0, 2, 3, 1)
     v = kv[..., WIDTH:].reshape(n, REACH, HEADS, HEAD).transpose(0, 2, 1, 3)
     away = np.arange(STRIDE)[:, None] + OVERLAP - np.arange(REACH)
-    bias = np.where(away >= 0, w.bias[:, np.abs(away)], MASK)
     s = np.matmul(q, k)
-    s += bias
-    if not known[:, 0].all():
-        s += np.where(known, np.float32(0), MASK)[:, None, None, :]
-    np.minimum(s, np.float32(30), out=s)
+    s += np.where(away >= 0, w.bias[:, np.abs(away)], MASK)
+    if begins.any():  # few windows begin a text
+        s[begins] += np.where(at[begins] >= base[begins][:, None], np.float32(0), MASK)[:, None, None, :]
+    if t["steep"]:
+        np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)
-    s /= s.sum(-1, keepdims=True)
-    out = np.matmul(s, v).transpose(0, 2, 1, 3).reshape(n, STRIDE, WIDTH)
-    return (out, (r, q, k, v, s, away)) if keep else out
+    total = s.sum(-1, keepdims=True)
+    if keep:
+        s /= total
+        return np.matmul(s, v).transpose(0, 2, 1, 3).reshape(n, STRIDE, WIDTH), (r, q, k, v, s, away)
+    return (np.matmul(s, v) / total).transpose(0, 2, 1, 3).reshape(n, STRIDE, WIDTH)
 
 
-def log_scores(w: Weights, t: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, chunk: int = 1024) -> np.ndarray:
+def log_scores(w: Weights, t: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, chunk: int = 512) -> np.ndarray:
     """Natural-log probability of every id from the second of each text on.
 
     ``ids`` are the texts after one another, each with its first id; sizes count positions

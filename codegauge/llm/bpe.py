@@ -87,7 +87,7 @@ class ByteBpe:
         names = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self._pattern = regex.compile(PATTERN)
-        self._cache = Cache()
+        self._cache, self._spaced = Cache(), Cache()
 
     def _table(self) -> None:
         """The ranks as an open hash table that a whole array of pairs is looked up in."""
@@ -250,6 +250,28 @@ class ByteBpe:
             known[piece] = b"".join([known[w] for w in words])
         return [b"".join([known[p] for p in pieces]) for pieces in cut]
 
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word with a blank before it; words are UTF-8 without white space."""
+        new, old, put = self._spaced.new, self._spaced.old, self._spaced.put
+        out = [new.get(w) or old.get(w) for w in words]
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        if not missing:
+            return out
+        cut: dict[int, list[str]] = {}
+        for k in missing:
+            piece = " " + words[k].decode()
+            if "<" in piece and any(s in piece for s in self.special):
+                out[k] = self.encode(piece)
+            else:
+                cut[k] = self.words(piece)
+        order = list({w for parts in cut.values() for w in parts})
+        known = dict(zip(order, self.merge([w.encode() for w in order]), strict=True))
+        for k, parts in cut.items():
+            out[k] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+            if len(words[k]) <= SHORT:
+                put(words[k], out[k])
+        return out
+
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
