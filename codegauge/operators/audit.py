@@ -38,9 +38,14 @@ MAX_LENGTH = {
 
 
 def duplicate_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with their count."""
-    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") > 1)
+    """Keys that occur more than once, with their count.
+
+    Texts are the same in any case; the first spelling in order is shown.
+    """
+    kinds = dict(rows.dtypes)
+    alike = [F.lower(c).alias(f"__{c}") if kinds[c] == "string" else F.col(c).alias(f"__{c}") for c in key]
+    counted = rows.groupBy(*alike).agg(*[F.min(c).alias(c) for c in key], F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") > 1).select(*key, "n")
 
 
 def orphans(children: DataFrame, key: str, parents: DataFrame, parent_key: str = "id") -> DataFrame:

@@ -36,7 +36,7 @@ def list_runs(
 ) -> DataFrame:
     """Runs of an owner, optionally of one repository URL and branch; the list columns."""
     if branch:
-        runs = runs.where(F.col("branch_name") == branch)
+        runs = runs.where(F.lower("branch_name") == branch.lower())
     if user_id is not None:
         repositories = repositories.where(F.col("user_id") == user_id)
     if repo_url:
@@ -143,18 +143,22 @@ def get_or_create_repositories(requests: DataFrame, repositories: DataFrame) ->
     """Existing repositories plus one new row per unknown (URL, owner) among the requests.
 
     Requests hold ``repo_url`` and ``user_id``; URLs that name no repository are left out.
+    URLs are the same in any case; of several spellings the first in order is taken.
     """
     owner, name = repo_owner(F.col("repo_url")), repo_name(F.col("repo_url"))
     asked = (
         requests.select("user_id", owner.alias("owner"), name.alias("name"))
         .where(F.col("owner").isNotNull())
-        .select("user_id", "name", canonical_url(F.col("owner"), F.col("name")).alias("clone_url"))
-        .distinct()
+        .select("user_id", F.struct(canonical_url(F.col("owner"), F.col("name")).alias("clone_url"), "name").alias("r"))
+        .groupBy("user_id", F.lower("r.clone_url").alias("__low"))
+        .agg(F.min("r").alias("r"))
+        .select("user_id", "r.name", "r.clone_url", "__low")
     )
     existing = repositories.select(
         "user_id", "name", "clone_url", F.lit(False).alias("created")
     )
-    new = asked.join(existing.select("user_id", "clone_url"), ["user_id", "clone_url"], "left_anti")
+    known = existing.select("user_id", F.lower("clone_url").alias("__low"))
+    new = asked.join(known, ["user_id", "__low"], "left_anti").drop("__low")
     return existing.unionByName(new.withColumn("created", F.lit(True)))
 
 
@@ -198,5 +202,9 @@ def files_with_issue_counts(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def existing_keys(candidates: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
-    """Candidates whose key is already stored."""
-    return candidates.join(stored.select(*key), list(key), "left_semi")
+    """Candidates whose key is already stored; texts are the same in any case."""
+    kinds = dict(stored.dtypes)
+    alike = {c: F.lower if kinds[c] == "string" else F.col for c in key}
+    left = candidates.withColumns({f"__{c}": alike[c](c) for c in key})
+    right = stored.select(*[alike[c](c).alias(f"__{c}") for c in key])
+    return left.join(right, [f"__{c}" for c in key], "left_semi").select(candidates.columns)

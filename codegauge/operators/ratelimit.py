@@ -34,7 +34,12 @@ def over_limit(
 
 
 def idle_clients(requests: DataFrame, now: Column, seconds: int = IDLE_SECONDS) -> DataFrame:
-    """Clients whose last request is longer ago than the idle time."""
+    """Clients whose last admitted request is longer ago than the idle time.
+
+    Without a column ``admitted`` all requests count as admitted.
+    """
+    if "admitted" in requests.columns:
+        requests = requests.where("admitted")
     last = requests.groupBy("client_id").agg(F.max("ts").alias("last_request"))
     return last.where(F.col("last_request") < now - F.make_dt_interval(secs=F.lit(float(seconds))))
 

@@ -6,6 +6,7 @@ bounded by the number of keys, never by the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,9 @@ DURATION_BOUNDS = tuple(float(2**i) for i in range(8))
 RECENT_FOR_MEAN = 100
 RECENT_KEPT = 1000
 
+# Parts that a range of values is cut into to find a quantile.
+RANGES = 1024
+
 
 def filter_issues(
     issues: DataFrame, severity: str = "all", category: str = "all", search: str = ""
@@ -165,41 +169,46 @@ def histogram_quantile(buckets: DataFrame, q: float = 0.95, labels: Sequence[str
     )
 
 
-def exact_quantile(
-    samples: DataFrame, value: str, q: float = 0.95, width: float = 1.0
-) -> DataFrame:
-    """Exact quantile (linear between neighbours) without gathering the values.
+def _value_at(values: DataFrame, rank: int, low: float, high: float) -> float:
+    """The value with this rank (from 0) among the column ``v``, whose ends are given.
 
-    Values are counted, then the counts are summed per chunk of ``width``; only
-    the chunks that hold the wanted ranks are ordered value by value.
+    The range is cut into ``RANGES`` parts, counted in the tasks, and narrowed to the ends
+    of the values in the part that holds the rank, until one value is left. The ends always
+    fall into different parts, so every round narrows; only counts reach the driver.
     """
-    counted = (
-        samples.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("chunk", F.floor(F.col("v") / width))
-    )
-    along = Window.orderBy("chunk")
-    chunks = counted.groupBy("chunk").agg(F.sum("n").alias("chunk_n")).withColumns(
-        {
-            "before": F.coalesce(
-                F.sum("chunk_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-            "rank": (F.sum("chunk_n").over(Window.partitionBy()) - 1) * q,
-        }
-    )
-    low, high = F.floor("rank"), F.ceil("rank")
-    needed = chunks.where((F.col("before") <= high) & (F.col("before") + F.col("chunk_n") > low))
-    inside = Window.partitionBy("chunk").orderBy("v")
-    placed = counted.join(needed, "chunk").withColumn(
-        "upto", F.col("before") + F.sum("n").over(inside)
-    )
-    at = placed.agg(
-        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("a"),
-        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("b"),
-        F.max(F.col("rank") - low).alias("share"),
+    below = 0
+    while low < high:
+        inside = values.where(F.col("v").between(low, high))
+        share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2)
+        part = F.least(F.floor(share * RANGES), F.lit(RANGES - 1))
+        parts = inside.groupBy(part.alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        for r in sorted(parts.collect(), key=lambda r: r["part"]):  # at most RANGES rows
+            if below + r["n"] > rank:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low
+
+
+def exact_quantile(samples: DataFrame, value: str, q: float = 0.95) -> DataFrame:
+    """Exact quantile (linear between neighbours) by narrowing the range of values.
+
+    No value is sorted or gathered: each round is one partial aggregation. Missing values
+    are left out; without values the quantile is NULL.
+    """
+    values = samples.select(F.col(value).cast("double").alias("v")).where(
+        F.col("v").isNotNull() & ~F.isnan("v")
     )
-    return at.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("quantile"))
+    ends = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    found = None
+    if ends["n"]:
+        rank = (ends["n"] - 1) * q
+        a = _value_at(values, math.floor(rank), ends["low"], ends["high"])
+        b = _value_at(values, math.ceil(rank), ends["low"], ends["high"])
+        found = a + (b - a) * (rank - math.floor(rank))
+    return samples.sparkSession.createDataFrame([(found,)], "quantile double")
 
 
 def share_of_total(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
@@ -296,7 +305,8 @@ def folder_rollup(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def in_tree_order(tree: DataFrame) -> DataFrame:
-    """Within a parent folders first, then by name in locale order."""
-    return tree.orderBy(
-        "run_id", "parent_path", F.col("type") != "folder", F.collate("name", "UNICODE"), "name"
+    """Adds ``position`` (from 1) within the parent: folders first, then by name in locale order."""
+    order = Window.partitionBy("run_id", "parent_path").orderBy(
+        F.col("type") != "folder", F.collate("name", "UNICODE"), "name"
     )
+    return tree.withColumn("position", F.row_number().over(order))

@@ -267,11 +267,17 @@ def issues_of(
 def issues_by_severity(
     analyzed: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES
 ) -> DataFrame:
-    """Per file a map with all four severities, each with its own hits (bounded by the file)."""
+    """Per file a map with all four severities, each with its own issues (bounded by the file)."""
+    fields = ("rule_order", "pattern_order", "match_index", "line", "text", "number")
+
+    def issue(h: Column) -> Column:
+        texts = issue_texts({f: h[f] for f in fields}, rules)
+        return F.struct(h["line"].alias("line_number"), *[c.alias(n) for n, c in texts.items()], h["pattern_order"].alias("pattern_order"))
+
     entries = []
     for s in SEVERITIES:
         own = [i for i, r in enumerate(rules) if r.severity == s]
-        entries += [F.lit(s), hits_of_rules(F.col("hits"), own)]
+        entries += [F.lit(s), F.transform(hits_of_rules(F.col("hits"), own), issue)]
     return analyzed.select("run_id", "path", F.create_map(*entries).alias("by_severity"))
 
 

@@ -59,7 +59,7 @@ def admission_stream(
                 recent.append(now)
             admitted.append(ok)
         state.update((list(recent),))
-        last_ms = micros[-1] // 1000
+        last_ms = (recent[-1] if recent else micros[-1]) // 1000  # refused requests keep nobody busy
         state.setTimeoutTimestamp(max(last_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {"client_id": key[0], "event_id": rows["event_id"], "ts": rows["ts"], "admitted": admitted}

@@ -27,6 +27,22 @@ def duplicate_repository_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.duplicate_keys(mapped(spark, sf_dir, "repositories"), L.UNIQUE_KEYS["repositories"])
 
 
+@query(
+    "L1",
+    sql="""SELECT min(c_mktsegment) AS email, count(*) AS n
+FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END || '@' || c_nationkey AS c_mktsegment FROM customer)
+GROUP BY lower(c_mktsegment) HAVING count(*) > 1""",
+)
+def duplicate_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that differ in case alone are one address."""
+    from codegauge.sources.tables import read_table
+
+    users = read_table(spark, sf_dir, "customer").selectExpr(
+        "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END || '@' || c_nationkey AS email"
+    )
+    return L.duplicate_keys(users, L.UNIQUE_KEYS["users"])
+
+
 # The repositories of one owner are taken for deleted, which leaves orphans behind.
 _GONE = "user_id = 3"
 

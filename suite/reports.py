@@ -275,7 +275,12 @@ def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.folder_rollup(issues, issues)
 
 
-@query("H2", "E18", sql=with_sql("issues", body=_TREE))
+@query(
+    "H2", "E18",
+    sql=with_sql("issues", body=f"""
+SELECT *, row_number() OVER (PARTITION BY run_id, parent_path ORDER BY type <> 'folder', name) AS position
+FROM ({_TREE}) t"""),
+)
 def folder_tree_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = mapped(spark, sf_dir, "issues")
     return P.in_tree_order(P.folder_rollup(issues, issues))

@@ -314,18 +314,16 @@ def overall_summary_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "E2",
     sql=with_sql(_F, body=f"""
-SELECT f.path, s.severity, CAST(count(i.path) AS INT) AS n, CAST(min(i.line_number) AS INT) AS first_line
+SELECT f.path, s.severity, i.line_number, i.category, i.message, i.rule_id, i.suggested_fix, i.pattern_order
 FROM {_F} f CROSS JOIN (VALUES ('critical'), ('major'), ('minor'), ('info')) s(severity)
-LEFT JOIN ({_CODE_ISSUES}) i ON i.path = f.path AND i.severity = s.severity
-GROUP BY 1, 2"""),
+LEFT JOIN ({_CODE_ISSUES}) i ON i.path = f.path AND i.severity = s.severity"""),
 )
 def issues_grouped_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = R.issues_by_severity(R.analyze_files(mapped(spark, sf_dir, _F)))
-    return grouped.select("path", F.explode("by_severity").alias("severity", "hits")).select(
-        "path",
-        "severity",
-        F.size("hits").alias("n"),
-        F.array_min(F.transform("hits", lambda h: h["line"])).alias("first_line"),
+    listed = grouped.select("path", F.explode("by_severity").alias("severity", "issues"))
+    names = ("line_number", "category", "message", "rule_id", "suggested_fix", "pattern_order")
+    return listed.select("path", "severity", F.explode_outer("issues").alias("i")).select(
+        "path", "severity", *[f"i.{n}" for n in names]
     )
 
 

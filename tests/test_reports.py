@@ -3,6 +3,8 @@
 import random
 from collections import deque
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,11 +104,17 @@ def test_histogram_and_quantile(spark):
     assert P.histogram_quantile(none).first()[0] != P.histogram_quantile(none).first()[0]
 
 
-def test_exact_quantile(spark):
-    values = [random.Random(5).choice([1.5, 2.0, 9.25, 40.0]) * i for i in range(1, 200)]
-    frame = spark.createDataFrame([(v,) for v in values], "v double")
-    expected = frame.agg(F.percentile("v", F.lit(0.95))).first()[0]
-    assert P.exact_quantile(frame, "v", width=10.0).first()[0] == pytest.approx(expected)
+@pytest.mark.parametrize("values", [
+    [k / 1000 for k in range(1001)], [1.7e15 + k * 3 for k in range(500)], [5.0] * 40 + [6.0], [7.0], [1e-300, 1.0, 1e300, -1e300],
+    [-float(2**k) for k in range(60)] + [0.0] * 9,
+])
+def test_exact_quantile(spark, values):
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    for q in (0.0, 0.5, 0.95, 1.0):
+        rank = (len(values) - 1) * q
+        a, b = sorted(values)[math.floor(rank)], sorted(values)[math.ceil(rank)]
+        assert P.exact_quantile(frame, "v", q).first()[0] == pytest.approx(a + (b - a) * (rank - math.floor(rank)))
+    assert P.exact_quantile(frame.limit(0), "v").first()[0] is None
 
 
 def test_folder_rollup(spark):
