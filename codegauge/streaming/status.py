@@ -46,7 +46,8 @@ def watch_runs(events: DataFrame, delay: str, minutes: int = TIMEOUT_MINUTES) ->
     """Stream of (run_id, status, summary, ts): terminal states as they come, or a time-out.
 
     Per run only the start time is kept; the events of a run are folded batch by
-    batch, so a run with very many events needs no more memory than any other.
+    batch, so a run with very many events needs no more memory than any other. A run that
+    has ended is remembered for the time limit and then forgotten.
     """
     limit_ms = minutes * 60 * 1000
     done = -1
@@ -56,12 +57,21 @@ def watch_runs(events: DataFrame, delay: str, minutes: int = TIMEOUT_MINUTES) ->
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         started = state.get[0] if state.exists else None
-        if state.hasTimedOut:
+
+        def finish() -> None:
             state.update((done,))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + limit_ms + 1)
+
+        if state.hasTimedOut:
+            if started == done:
+                state.remove()
+                return
+            finish()
             at = pd.Timestamp(started + limit_ms, unit="ms")
             yield pd.DataFrame([(key[0], "failed", TIMED_OUT, at)], columns=columns)
             return
         if started == done:
+            finish()
             return
         ended = None
         for batch in batches:
@@ -72,7 +82,7 @@ def watch_runs(events: DataFrame, delay: str, minutes: int = TIMEOUT_MINUTES) ->
                 if seen[1] in TERMINAL and (ended is None or seen < ended):
                     ended = seen
         if ended is not None:
-            state.update((done,))
+            finish()
             at = pd.Timestamp(ended[0], unit="us")
             yield pd.DataFrame([(key[0], ended[1], "", at)], columns=columns)
             return

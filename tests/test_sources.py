@@ -262,3 +262,28 @@ def test_written_tables_go_to_the_shared_folder(spark):
 
     one, two = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert one.startswith(spark.conf.get(SETTING)) and one != two
+
+
+def test_the_store_grows(spark, tmp_path):
+    from codegauge.plans.analysis import ISSUES, RUNS, analyze_to_store, summarize_store
+
+    schema = "run_id long, path string, content string"
+    jobs = [
+        [(1, "a.php", "<?php rand(1);"), (2, "b.php", "<?php rand(1);")], [(3, "c.php", "<?php rand(1);")],
+            [(2, "b.js", "ok")],  # run 2 again, now without issues
+    ]
+    for job in jobs:
+        tables = analyze_to_store(spark.createDataFrame(job, schema), str(tmp_path / "store"), buckets=4)
+    assert {r["run_id"] for r in tables[RUNS].collect()} == {1, 2, 3}
+    assert {r["run_id"] for r in tables[ISSUES].collect()} == {1, 3}
+    assert {tuple(r) for r in summarize_store(tables).collect()} == {(1, 2, 2), (2, 0, 0), (3, 2, 2)}
+
+
+def test_upsert_scans_only_touched_buckets(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    O.write_bucketed(spark.range(64).select("id", F.lit("old").alias("status")), folder, "id", 8)
+    bucket = spark.range(3, 4).select(F.pmod(F.xxhash64("id"), F.lit(8))).first()[0]
+    pruned = spark.read.parquet(folder).where(F.col("bucket").isin([bucket]))
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert f"bucket={bucket}" in pruned.select("_metadata.file_path").first()[0]
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
