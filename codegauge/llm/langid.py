@@ -25,6 +25,8 @@ BITS = 21  # a code point
 BLANK = 1  # stands for whatever is no letter
 HELD = 1 << 20  # n-grams a task holds before it passes their counts on
 UNKNOWN = "und"
+# How far below its median a language's texts may score: in distances of the lower quartile, and at least this share of the median.
+REACH, LEAST_REACH = 6.0, 0.5
 
 
 @functools.cache
@@ -128,18 +130,25 @@ class Profiles:
         ``und`` and 0 for a null text, one without letters, or when no language was learned.
         Of equally near languages the first in the order of their names is taken.
         """
-        if not text or not self.langs:
+        scores = self.scores(text)
+        if scores is None:
             return UNKNOWN, 0.0
+        k = int(scores.argmax())
+        return self.langs[k], float(scores[k])
+
+    def scores(self, text: str | None) -> np.ndarray | None:
+        """The score of every language, or nothing where there is none to give."""
+        if not text or not self.langs:
+            return None
         doc = ranked(*grams(text), self.size)
         if not len(doc):
-            return UNKNOWN, 0.0
+            return None
         at = np.searchsorted(self.keys, doc)
         at[at == len(self.keys)] = 0
         at = np.where(self.keys[at] == doc, at, len(self.keys))
         ranks = self.ranks[at]
         away = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(doc))[:, None])).sum(0)
-        k = int(away.argmin())
-        return self.langs[k], 1.0 - float(away[k]) / (self.size * len(doc))
+        return 1.0 - away / (self.size * len(doc))
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> DataFrame:
@@ -160,19 +169,50 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     return in_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, lang_pred string, score double")
 
 
-def of_known_language(docs: DataFrame, profiles: dict[str, list[int]], least: float, size: int = PROFILE) -> DataFrame:
+def learn_bounds(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE) -> dict[str, float]:
+    """The least score of a text of each language, from all rows of (text, lang).
+
+    Every labelled text is scored by its own language's profile. The bound lies ``REACH``
+    distances from median to lower quartile below the median, so up to a quarter of wrongly
+    labelled texts moves it little; equal scores count once, so that copies do not either.
+    """
+
+    def run(batches):
+        model = Profiles(profiles, size)
+        place = {lang: k for k, lang in enumerate(model.langs)}
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            found = [(g, model.scores(t)) for t, g in zip(batch.column(0).to_pylist(), langs, strict=True) if g in place]
+            found = [(g, float(s[place[g]])) for g, s in found if s is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"]
+            )
+
+    rows = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    scores = in_batches(rows, run, "lang string, score double").distinct()
+    quart = F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.5)))
+    return {
+        r["lang"]: r["q"][1] - max(REACH * (r["q"][1] - r["q"][0]), LEAST_REACH * r["q"][1])
+        for r in scores.groupBy("lang").agg(quart.alias("q")).collect()  # one row per language
+    }
+
+
+def of_known_language(
+    docs: DataFrame, profiles: dict[str, list[int]], least: float | dict[str, float], size: int = PROFILE
+) -> DataFrame:
     """The documents, with all their columns, whose language is found with at least the given score.
 
-    Null texts and texts without letters go.
+    ``least`` is one score or a score per language. Null texts and texts without letters go.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col("text").alias("text"))
+    bound = lambda lang: least[lang] if isinstance(least, dict) else least
 
     def run(batches):
         model = Profiles(profiles, size)
         for batch in batches:
             got = [model.guess(t) for t in batch.column(1).to_pylist()]
-            good = pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_())
+            good = pa.array([lang != UNKNOWN and score >= bound(lang) for lang, score in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(good)
 
     return in_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
