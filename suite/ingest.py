@@ -195,6 +195,21 @@ def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rejected_files(files, drop_binary=True, limit=1500).select("path", "size_bytes", "reject_reason")
 
 
+def _stored_archives(files: DataFrame) -> DataFrame:
+    """Files packed into zips of one source and at most 40 places of it each, so that no source is one group."""
+    part = F.floor(F.col("entry_index") / 40).cast("string")
+    packed = files.select(F.concat("run_id", F.lit("-"), part, F.lit(".zip")).alias("archive"), "path", "content")
+
+    def pack(batch: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, text in zip(batch["path"], batch["content"], strict=True):
+                z.writestr(f"root/{path}", text.encode())
+        return pd.DataFrame({"archive": [batch["archive"].iloc[0]], "content": [out.getvalue()]})
+
+    return packed.groupBy("archive").applyInPandas(pack, "archive string, content binary")
+
+
 @query(
     "A1", "A2", "J18", "J19",
     sql=with_sql("document_files", body="""
@@ -205,14 +220,7 @@ def stored_file_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stored as zip archives and as loose files; both readers give paths and texts."""
     files = mapped(spark, sf_dir, "document_files")
     zips, loose = shared_folder(spark, "my archives"), shared_folder(spark, "loose+files")
-    packed = files.select(F.concat("run_id", F.lit(".zip")).alias("archive"), "path", "content")
-
-    def pack(batch: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for path, text in zip(batch["path"], batch["content"], strict=True):
-                z.writestr(f"root/{path}", text.encode())
-        return pd.DataFrame({"archive": [batch["archive"].iloc[0]], "content": [out.getvalue()]})
+    packed = _stored_archives(files)
 
     def store(root: str, names: list[str]):
         def write(rows):
@@ -227,7 +235,6 @@ def stored_file_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return write
 
-    packed = packed.groupBy("archive").applyInPandas(pack, "archive string, content binary")
     packed.foreachPartition(store(zips, ["archive", "content"]))
     loose_rows = files.select("path", F.encode("content", "UTF-8").alias("content"))
     loose_rows.foreachPartition(store(loose, ["path", "content"]))

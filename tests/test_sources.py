@@ -287,3 +287,14 @@ def test_upsert_scans_only_touched_buckets(spark, tmp_path):
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert f"bucket={bucket}" in pruned.select("_metadata.file_path").first()[0]
     assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_stored_archives_of_one_source_are_many(spark):
+    from suite.ingest import _stored_archives
+
+    rows = [("crawl", k, f"crawl/{k}.txt", f"text {k}") for k in range(200)] + [("wiki", k, f"wiki/{k}.txt", "w") for k in range(200, 210)]
+    files = spark.createDataFrame(rows, "run_id string, entry_index int, path string, content string")
+    got = _stored_archives(files).collect()
+    names = {r["archive"]: zipfile.ZipFile(io.BytesIO(r["content"])).namelist() for r in got}
+    assert len(got) == len(names) == 6 and max(map(len, names.values())) == 40
+    assert sorted(n for v in names.values() for n in v) == sorted(f"root/{p}" for _, _, p, _ in rows)
