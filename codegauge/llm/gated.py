@@ -21,6 +21,7 @@ INPUT = WORD + CHAR
 GRAMS = 1 << 13
 LISTED = 8000
 DECAY = 0.02
+LONG, PIECE, PIECE_STEP = 48, 32, 16  # bytes of a word that is read whole, of a longer one's pieces, and between these
 FORGET = 0.3  # share of words that training sees by their letters alone
 MARKS = b".,;:!?\"'()[]{}"
 Z = np.float32
@@ -44,13 +45,24 @@ class Network:
 
 
 def tokens(text: str) -> list[bytes]:
-    """Lower-cased words without the marks around them."""
-    return [w.strip(MARKS) or w for w in text.lower().encode().split()]
+    """Lower-cased words without the marks around them; a word over ``LONG`` bytes as overlapping pieces.
+
+    Writing without blanks is one long word: every byte of it is in a piece, and whatever is
+    at most ``PIECE`` - ``PIECE_STEP`` bytes long lies whole in one.
+    """
+    out = []
+    for w in text.lower().encode().split():
+        w = w.strip(MARKS) or w
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            out += [w[k : k + PIECE] for k in range(0, len(w) - (PIECE - PIECE_STEP), PIECE_STEP)]
+    return out
 
 
 def grams(word: bytes) -> list[int]:
-    """Hashed trigrams of a word between its ends; those of a very long word's first and last letters."""
-    word = b"<" + (word if len(word) <= 48 else word[:24] + word[-24:]) + b">"
+    """Hashed trigrams of a word between its ends."""
+    word = b"<" + word + b">"
     return [zlib.crc32(word[k : k + 3]) % GRAMS for k in range(len(word) - 2)] or [0]
 
 

@@ -137,6 +137,31 @@ def test_gated_windows_overlap_and_cover():
         assert all(y[0] < x[1] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_every_byte_of_a_long_word_is_read():
+    assert gated.tokens("(A) " + "b" * 48) == [b"a", b"b" * 48]
+    for n in (49, 63, 64, 65, 1000):
+        word = "".join(chr(0x4E00 + 7 * k) for k in range(n)) + "x" * (n % 5)
+        read = gated.tokens(word)
+        assert all(len(p) <= gated.LONG for p in read)
+        text = word.encode()
+        for k in range(len(text) - 15):
+            assert any(text[k : k + 16] in p for p in read)
+
+
+def test_toxic_word_inside_a_long_unspaced_text():
+    rng = np.random.default_rng(6)
+    texts, marks = [], []
+    for k in range(500):
+        words = [f"w{x}" for x in rng.integers(0, 300, 60)]
+        if k % 4 == 0:
+            words[int(rng.integers(20, 40))] = "scoundrel"
+        texts.append(gated.tokens("_".join(words)))
+        marks.append(int(k % 4 == 0))
+    net = gated.fit(texts[:400], marks[:400])
+    got = gated.scores(net, texts[400:], {}) >= 0.3
+    assert np.mean(got == (np.array(marks[400:]) == 1)) > 0.95
+
+
 def slow_base(rows, folds=10):
     words = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     counts, total = Counter(), 0
