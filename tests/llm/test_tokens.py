@@ -159,6 +159,27 @@ def test_packing_odd_documents(spark, library):
     assert cut(twice).count() == 6 and pack(twice).count() == 6
 
 
+def test_short_texts_leave_no_padding(spark, library):
+    texts = {k: None if k % 3 else "" for k in range(9000)} | {k: "word" for k in range(9000, 12000)} | {k: "a b c d e f g h" for k in range(12000, 13000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pack(docs).collect()
+    check_packing(rows, texts, library)
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // SEQUENCE)
+
+
+def test_wide_histograms_are_packed_by_exact_lengths():
+    rng = np.random.default_rng(2)
+    wide = Counter(min(SEQUENCE, int(x) + 1) for x in rng.lognormal(5.5, 1, 4000))
+    whole = -(-sum(c * n for c, n in wide.items()) // SEQUENCE)
+    assert sum(times for times, _ in plan(wide)) <= 1.001 * whole + 1
+    few = Counter(int(x) for x in rng.integers(300, 900, 300))  # best fit alone does not do
+    rows, placed = plan(few), Counter()
+    for times, pieces in rows:
+        assert sum(c * a for c, a in pieces.items()) <= SEQUENCE
+        placed.update({c: times * a for c, a in pieces.items()})
+    assert placed == few
+
+
 def slow_counts(text):
     words = text.encode().split()
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
