@@ -53,17 +53,17 @@ def test_archives(spark, tmp_path):
 
 
 def test_nothing_is_cut_by_default(spark, tmp_path):
-    big = b"<?php\n" + b"$q = rand(1);\n" * 150_000  # 2 MB
+    big = b"<?php\n" + b"$q = rand(1);\n" * 45_000  # over the usual 512,000 bytes of a file
     stored = io.BytesIO()
     with zipfile.ZipFile(stored, "w", zipfile.ZIP_STORED) as z:
         z.writestr("r/big.php", big)
-        z.writestr("r/pad.py", os.urandom(60_000_000))
+        z.writestr("r/pad.py", os.urandom(3_000_000))
     (tmp_path / "big.zip").write_bytes(stored.getvalue())
     rows = A.read_archives(spark, str(tmp_path)).select("path", F.length("content").alias("n"), "size_bytes", "error")
     got = {r["path"]: r for r in rows.collect()}
-    assert got["big.php"]["n"] == len(big) and got["pad.py"]["size_bytes"] == 60_000_000
+    assert got["big.php"]["n"] == len(big) and got["pad.py"]["size_bytes"] == 3_000_000
     files = B.select_files(A.read_archives(spark, str(tmp_path)).where("path = 'big.php'"))
-    assert analyze_files(files.withColumn("run_id", F.lit(1))).first()["lines_of_code"] > 150_000
+    assert analyze_files(files.withColumn("run_id", F.lit(1))).first()["lines_of_code"] > 45_000
 
 
 def test_loose_files(spark, tmp_path):
