@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.workspace import shared_folder
 
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def key_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,10 +27,30 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``rows`` rows and ``size`` bytes of text, or one row."""
+    lengths = [pc.fill_null(pc.binary_length(c), 0) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    ends = np.cumsum(sum(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in lengths)) if lengths else None
+    start = 0
+    while start < batch.num_rows or start == 0:
+        stop = min(start + rows, batch.num_rows)
+        if ends is not None and stop:
+            before = ends[start - 1] if start else 0
+            stop = min(stop, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = max(stop, start + 1)
+
+
 def in_batches(frame: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough that a worker holds a few MB of ordinary texts."""
-    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return frame.mapInArrow(fn, schema)
+    """mapInArrow with batches small enough that a worker holds a few MB of ordinary texts.
+
+    Spark's batches are cut in the worker, by rows and by bytes, so no setting is changed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for batch in batches for part in slices(batch))
+
+    return frame.mapInArrow(run, schema)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
