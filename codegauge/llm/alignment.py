@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -74,6 +75,11 @@ class Aligner:
         self.pieces = [
             bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)
         ]
+        self.sizes_a = np.array(list(map(len, self.first.tokens)), np.int64)
+        self.sizes_b = np.array(list(map(len, self.pieces)), np.int64)
+        #: an id of A before a comma and before a bar, of B before a comma and before a semicolon
+        self.signs = [f"{i}{sign}".encode() for ids, end in ((self.first.tokens, "|"), (self.pieces, ";")) for i in range(len(ids)) for sign in (",", end)]
+        self.signs_b = 2 * len(self.first.tokens)
         self.blank = self.second.piece_to_id("▁")
         #: no piece goes on over a blank, so texts may be cut before one
         self.cuts = all("▁" not in p[1:] or not p.strip("▁") for p in names)
@@ -91,74 +97,98 @@ class Aligner:
 
     def aligned(self, pieces: list[str]) -> list[tuple | None]:
         """Per piece: its groups as text, tokens of both, and its links; None if bytes are not kept."""
+        if not pieces:
+            return []
         words = [self.first.words(p) for p in pieces]
         order = list({w for some in words for w in some})
         ids = dict(zip(order, self.first.merge([w.encode() for w in order]), strict=True))
-        second = self.second.encode([p[1:] for p in pieces], num_threads=1)
-        out: list[tuple | None] = []
-        for piece, some, theirs in zip(pieces, words, second, strict=True):
-            ours = np.frombuffer(b"".join([ids[w] for w in some]), "<u4").tolist()
-            if piece == " ":
-                theirs = [self.blank]
-            out.append(self._align(piece.encode(), ours, theirs))
+        ours = [ids[some[0]] if len(some) == 1 else b"".join([ids[w] for w in some]) for some in words]
+        theirs = self.second.encode([p[1:] for p in pieces], num_threads=1)
+        theirs = [[self.blank] if p == " " else x for p, x in zip(pieces, theirs, strict=True)]
+        data = [p.encode() for p in pieces]
+        kept = [
+            k for k, (d, x, y) in enumerate(zip(data, ours, theirs, strict=True))
+            if b"".join(map(self.first.tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) == d == b"".join(map(self.pieces.__getitem__, y))
+        ] if not self._same(data, ours, theirs) else range(len(pieces))
+        out: list[tuple | None] = [None] * len(pieces)
+        for k, found in zip(kept, self._align([ours[k] for k in kept], [theirs[k] for k in kept]), strict=True):
+            out[k] = found
         return out
 
-    def _align(self, data: bytes, ours: list[int], theirs: list[int]) -> tuple | None:
-        tokens, pieces = self.first.tokens, self.pieces
-        if b"".join([tokens[i] for i in ours]) != data or b"".join([pieces[i] for i in theirs]) != data:
-            return None
-        groups, a, b, links = [], [], [], []
-        end_a = end_b = at = 0
-        for i in ours:
-            end_a += len(tokens[i])
-            a.append(i)
-            while end_b < end_a:
-                b.append(theirs[at])
-                end_b += len(pieces[theirs[at]])
-                at += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                links.append((i, b[-1]))
-                a, b = [], []
-        one, two = zip(*links, strict=True)
-        code = pair_code(np.array(one, np.int64), np.array(two, np.int64))
-        return ";".join(groups).encode(), len(ours), len(theirs), code.tobytes()
+    def _same(self, data: list[bytes], ours: list[bytes], theirs: list[list[int]]) -> bool:
+        """Whether the tokens of all pieces together spell them, and each has as many bytes as its piece."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        flat_a, flat_b = np.frombuffer(b"".join(ours), "<u4"), np.fromiter(itertools.chain.from_iterable(theirs), np.int64)
+        ends = np.cumsum(sizes)
+        for flat, each, lengths, table in (
+            (flat_a, [len(x) // 4 for x in ours], self.sizes_a, self.first.tokens), (flat_b, list(map(len, theirs)), self.sizes_b, self.pieces)
+        ):
+            if not np.array_equal(np.cumsum(lengths[flat])[np.cumsum(each) - 1], ends) or 0 in each:
+                return False
+            if b"".join(map(table.__getitem__, flat.tolist())) != b"".join(data):
+                return False
+        return True
+
+    def _align(self, ours: list[bytes], theirs: list[list[int]]) -> Iterator[tuple]:
+        """All pieces at once: they end together, so their tokens' ends are compared as one text's."""
+        if not ours:
+            return
+        a, b = np.frombuffer(b"".join(ours), "<u4").astype(np.int64), np.fromiter(itertools.chain.from_iterable(theirs), np.int64)
+        n_a, n_b = [len(x) // 4 for x in ours], list(map(len, theirs))
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        last_a, last_b = shared[group_a] == ends_a, shared[group_b] == ends_b
+        code = pair_code(a[last_a], b[last_b]).tobytes()
+        # the groups' text: tokens in order of group and side, each with the sign that follows it
+        where = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        signs = np.concatenate([2 * a + last_a, self.signs_b + 2 * b + last_b])[where]
+        text = list(map(self.signs.__getitem__, signs.tolist()))
+        stops_a, stops_b = np.cumsum(n_a), np.cumsum(n_b)
+        groups = (group_a[stops_a - 1] + 1).tolist()
+        tokens = (stops_a + stops_b).tolist()
+        start = first = 0
+        for x, y, stop, end in zip(n_a, n_b, tokens, groups, strict=True):
+            yield b"".join(text[start:stop]), x, y, code[8 * first : 8 * end]
+            start, first = stop, end
 
     def texts(self, texts: list[str]) -> tuple[list[tuple[int, int, int, str]], np.ndarray, np.ndarray]:
         """Per text (n_a, n_b, n_links, groups_sha256); and each link's text and pair code."""
         cut = [self.cut(t) if t else [] for t in texts]
-        known = {}
+        known: dict[str, tuple | None] = {}
         new, old = self.cache.new, self.cache.old
         missing = []
         for piece in set().union(*cut):
-            got = new.get(piece) or old.get(piece)
+            got = new.get(piece)
             if got is None:
-                missing.append(piece)
-            else:
-                known[piece] = got
-                if piece not in new:
-                    self.cache.put(piece, got)
-                    new, old = self.cache.new, self.cache.old
+                got = old.get(piece)
+                if got is None:
+                    missing.append(piece)
+                    continue
+                self.cache.put(piece, got)
+                new, old = self.cache.new, self.cache.old
+            known[piece] = got
         for piece, got in zip(missing, self.aligned(missing), strict=True):
             known[piece] = got
             if got and len(piece) <= CACHED_LETTERS:
                 self.cache.put(piece, got)
-        order = list(known)
-        index = dict(zip(order, range(len(order)), strict=True))
-        found = [known[p] or (b"", -1, 0, b"") for p in order]
-        frag = {p: f[0] for p, f in zip(order, found, strict=True)}
+        index = dict(zip(known, range(len(known)), strict=True))
+        found = [f or (b"", -1, 0, b"") for f in known.values()]
+        frags = [f[0] for f in found]
         n_a, n_b = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
         codes, each = np.frombuffer(b"".join([f[3] for f in found]), np.int64), np.array([len(f[3]) // 8 for f in found], np.int64)
         first = np.cumsum(each) - each
         rows, at, doc = [], [], []
         for k, pieces in enumerate(cut):
-            places = np.array([index[p] for p in pieces], np.int64)
-            if not len(places) or (n_a[places] < 0).any():
+            listed = list(map(index.__getitem__, pieces))
+            places = np.array(listed, np.int64)
+            if not listed or (n_a[places] < 0).any():
                 rows.append((0, 0, 0, ""))
                 continue
             n = each[places]
             total = int(n.sum())
-            rows.append((int(n_a[places].sum()), int(n_b[places].sum()), total, hashlib.sha256(b";".join([frag[p] for p in pieces])).hexdigest()))
+            groups = b"".join(map(frags.__getitem__, listed))[:-1]
+            rows.append((int(n_a[places].sum()), int(n_b[places].sum()), total, hashlib.sha256(groups).hexdigest()))
             at.append(np.repeat(first[places] - (np.cumsum(n) - n), n) + np.arange(total))
             doc.append(np.full(total, k, np.int64))
         if not at:
