@@ -138,6 +138,39 @@ def analyze_stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.run_states(spark, folder)
 
 
+@query(
+    "K1",
+    sql=_scored_sql("document_files", r"""
+SELECT run AS run_id, CASE WHEN bool_or(poisoned) THEN 'failed' ELSE 'completed' END AS status,
+  CAST(coalesce(sum(files) FILTER (WHERE NOT poisoned), 0) AS INT) AS files_analyzed,
+  CAST(coalesce(sum(issues) FILTER (WHERE NOT poisoned), 0) AS BIGINT) AS total_issues,
+  CAST(coalesce(round(sum(points) FILTER (WHERE NOT poisoned) / sum(files) FILTER (WHERE NOT poisoned), 2), 0) AS DECIMAL(5,2)) AS average_score,
+  bool_or(poisoned) AS has_message
+FROM (SELECT concat(run_id, '-', id % 10) AS run, id % 4 AS part, bool_or(id % 200 = 5) AS poisoned, count(*) AS files,
+        sum(total_issues) AS issues, sum(score) AS points
+      FROM (SELECT *, CAST(regexp_extract(path, '(\d+)\.txt$', 1) AS BIGINT) AS id FROM scored) GROUP BY 1, 2) GROUP BY 1"""),
+)
+def analyze_stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts arrive as base64, some of it broken, so that reading them raises: their runs fail, the others go on."""
+    folder = shared_folder(spark, "analysis")
+    files = mapped(spark, sf_dir, "document_files").select(
+        F.concat("run_id", F.lit("-"), (F.col("entry_index") % 10).cast("string")).alias("run_id"),
+        "path",
+        F.when(F.col("entry_index") % 200 == 5, "***").otherwise(F.base64(F.encode("content", "UTF-8"))).alias("payload"),
+        (F.col("entry_index") % 4).alias("part"),
+    )
+    files.repartition("part").write.partitionBy("part").parquet(f"{folder}/files")
+    stored = spark.read.parquet(f"{folder}/files")
+    stream = stream_table(spark, f"{folder}/files", stored.schema, 1)
+    text = F.decode(F.to_binary("payload", F.lit("base64")), "UTF-8").alias("content")
+    read = lambda rows: rows.select("run_id", "path", text)
+    intake.start_analysis(stream, folder, f"{folder}/checkpoint", prepare=read).awaitTermination()
+    said = F.coalesce(F.startswith("summary", F.lit(intake.FAILED)), F.lit(False))
+    return intake.run_states(spark, folder).select(
+        "run_id", "status", "files_analyzed", "total_issues", "average_score", said.alias("has_message")
+    )
+
+
 @query(
     "K2", "F6",
     sql=with_sql("runs", body="""

@@ -1,5 +1,7 @@
 """The streaming jobs over several micro-batches, restarts included."""
 
+import base64
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,43 @@ def test_a_failing_batch_is_repeated_not_lost(spark, tmp_path):
     assert got == [(1, "completed"), (2, "completed")]
 
 
+def base64_files(stream):
+    return stream.withColumn("content", F.to_binary("content", F.lit("base64")).cast("string"))
+
+
+def test_a_run_whose_analysis_raises_fails_alone(spark, tmp_path):
+    schema = "run_id long, path string, content string"
+    code = lambda text: base64.b64encode(text.encode()).decode()
+    many = [(k, "a.php", code("<?php rand();")) for k in range(10, 13)]
+    rows = [
+        [(1, "a.php", code("<?php rand();")), (2, "b.php", "***"), (2, "c.php", code("x")), (3, "d.php", None), *many],
+        [(2, "e.php", code("<?php rand();")), (1, "f.js", code("x")), (None, "g.js", "***"), (4, "h.js", "*")],
+    ]
+    source = folder_of([spark.createDataFrame(r, schema) for r in rows], tmp_path, "files")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "c")
+    start = lambda: intake.start_analysis(
+        stream_table(spark, source, spark.createDataFrame(rows[0], schema).schema, 1), out, checkpoint, prepare=base64_files
+    )
+    start().awaitTermination()
+    states = {r["run_id"]: r for r in intake.run_states(spark, out).collect()}
+    assert {k for k, r in states.items() if r["status"] == "failed"} == {2, 3, 4, None}
+    assert states[1]["files_analyzed"] == 2 and all(states[k]["files_analyzed"] == 1 for k in range(10, 13))
+    assert states[2]["files_analyzed"] == 1 and states[2]["summary"].startswith("Analysis failed: [CONVERSION_INVALID_INPUT]")
+    assert states[3]["summary"] == "1 files could not be read" and states[4]["average_score"] == 0
+    # a restart takes what is new and changes nothing else
+    before = sorted(map(repr, states.values()))
+    spark.createDataFrame([(5, "i.php", code("<?php"))], schema).coalesce(1).write.mode("append").parquet(source)
+    start().awaitTermination()
+    after = {r["run_id"]: r for r in intake.run_states(spark, out).collect()}
+    assert after.pop(5)["status"] == "completed" and sorted(map(repr, after.values())) == before
+
+
+def test_failing_runs_are_few_halvings_away(spark):
+    files = spark.range(40).selectExpr("id AS run_id", "'a.php' AS path", "if(id % 30 = 7, '*', 'eA==') AS content")
+    assert sorted(r for r, _ in intake.failing_runs(files, R.DEFAULT_RULES, base64_files)) == [7, 37]
+    assert intake.failing_runs(files.where("run_id < 7"), R.DEFAULT_RULES, base64_files) == []
+
+
 def test_admission_equals_the_batch_form(spark, tmp_path):
     rows = [("a" if i % 3 else "b", i, 10**15 + i * 700_000) for i in range(400)]
     frame = spark.createDataFrame(rows, "client_id string, event_id long, t long").select(
