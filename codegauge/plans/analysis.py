@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from codegauge.operators.catalog import DEFAULT_RULES, Rule
 from codegauge.operators.rules import analyze_files, issues_of
 from codegauge.operators.scoring import run_summary
-from codegauge.sources.results import stable_id, upsert, write_bucketed
+from codegauge.sources.results import stable_id
+from codegauge.sources.store import Store
 
 BUCKETS = 64
 ANALYZED, ISSUES, METRICS, RUNS = "analyzed", "analysis_issues", "file_metrics", "run_summary"
@@ -22,14 +24,15 @@ def analyze_to_store(
     """Analyses once, writes the compact rows, and adds the tables derived from them to the store.
 
     The written rows cut the lineage: issues, metrics and summaries read a few columns of
-    them and never the texts again. The tables are partitioned by a bucket of the run. Runs
-    that the store does not hold are added; a run that it holds is replaced as a whole, so
-    repeating a job changes nothing, and the runs of other jobs stay as they are.
+    them and never the texts again. The tables are partitioned by a bucket of the run and all
+    four change in one commit. Runs that the store does not hold are added; a run that it holds
+    is replaced as a whole, so repeating a job changes nothing, and the runs of other jobs, also
+    of those that commit meanwhile, stay as they are.
     """
     spark = files.sparkSession
-    root = folder.rstrip("/")
-    staged = f"{root}/staged"
-    analyze_files(files, rules).write.mode("overwrite").parquet(staged)
+    store = Store(spark, folder)
+    staged = f"{store.root}/staged/{uuid.uuid4().hex}"
+    analyze_files(files, rules).write.parquet(staged)
     analyzed = spark.read.parquet(staged)
     tables = {
         ANALYZED: analyzed,
@@ -37,29 +40,17 @@ def analyze_to_store(
         METRICS: analyzed.drop("hits"),
         RUNS: run_summary(analyzed),
     }
-    for name, rows in tables.items():
-        place = f"{root}/{name}"
-        if stored(spark, place):
-            replace_runs(spark, place, rows, analyzed.select("run_id").distinct(), buckets)
-        else:
-            write_bucketed(rows, place, "run_id", buckets)
+    store.replace(tables, dict.fromkeys(tables, "run_id"), analyzed.select("run_id"), buckets)
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return read_store(spark, folder)
 
 
-def stored(spark: SparkSession, place: str) -> bool:
-    """Whether a table has been written there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
-def replace_runs(spark: SparkSession, place: str, rows: DataFrame, runs: DataFrame, buckets: int) -> None:
-    """New rows of some runs instead of all that the table holds of them, also where there are none."""
-    upsert(spark, place, rows, "run_id", buckets, replaced=runs)
-
-
 def read_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    root = folder.rstrip("/")
-    return {n: spark.read.parquet(f"{root}/{n}").drop("bucket") for n in (ANALYZED, ISSUES, METRICS, RUNS)}
+    """All tables as one commit left them."""
+    store = Store(spark, folder)
+    held = store.manifest()
+    return {n: store.read(n, held) for n in (ANALYZED, ISSUES, METRICS, RUNS)}
 
 
 def stored_issues(analyzed: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import json
+import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +33,23 @@ ENTRY_SCHEMA = (
     "archive string, entry_index int, path string, content string, size_bytes bigint, error string"
 )
 _FLUSH_BYTES = 16 * 1024 * 1024
+SPLIT_BYTES, SLICE_ENTRIES, MOST_TASKS = 32 * 1024 * 1024, 5000, 100_000
+SEEKABLE = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")  # file systems that can be opened from a task
+# Fixed value: the header before each entry's bytes; its last two fields are the sizes of name and extra.
+LOCAL_HEADER = struct.Struct("<4sHHHHHLLLHH")
 
 
 def read_archives(
-    spark: SparkSession, folder: str, max_archive_bytes: int | None = None, **options
+    spark: SparkSession, folder: str, max_archive_bytes: int | None = None, split_bytes: int = SPLIT_BYTES, **options
 ) -> DataFrame:
     """Entries of all zip archives below a folder.
 
+    Archives are listed, then the table of contents at the end of each is read by seeking, and
+    its wanted entries are cut into slices of about ``split_bytes`` packed bytes. Slices are
+    dealt to the tasks, which seek to their entries, so an archive may be of any size and one
+    large archive is read by many tasks. Where the file system cannot be opened for seeking
+    from Python, whole archives are read as single values instead.
+
     With a limit, an archive over it is not opened: it comes out as one row with its
     size and ``error``.
     """
@@ -47,7 +60,15 @@ def read_archives(
         .load(folder)
     )
     small = found if max_archive_bytes is None else found.where(F.col("length") <= max_archive_bytes)
-    entries = archive_entries(small.select(F.col("path").alias("archive"), "content"), **options)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme in SEEKABLE:
+        total = small.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        slices = archive_slices(small.select(F.col("path").alias("archive")), split_bytes, **options)
+        tasks = min(max(1, -(-total // split_bytes)), MOST_TASKS)
+        entries = slice_entries(slices.repartition(tasks, "archive", "slice"))
+    else:
+        entries = archive_entries(small.select(F.col("path").alias("archive"), "content"), **options)
     if max_archive_bytes is None:
         return entries
     none = F.lit(None)
@@ -58,6 +79,178 @@ def read_archives(
     return entries.unionByName(refused)
 
 
+class Sought(io.RawIOBase):
+    """A file of any pyarrow file system with Python's rules for seeking."""
+
+    def __init__(self, file) -> None:
+        self.file, self.size, self.at = file, file.size(), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self.at, self.size)[whence]
+        if at < 0:
+            raise OSError("before the start of the file")
+        self.at = at
+        return at
+
+    def readinto(self, buffer) -> int:
+        data = self.file.read_at(max(0, min(len(buffer), self.size - self.at)), self.at)
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+    def close(self) -> None:
+        self.file.close()
+        super().close()
+
+
+def opened(place: str) -> io.BufferedReader:
+    """A file that can be sought, by the path Spark names it with."""
+    import pyarrow.fs as fs
+
+    if place.startswith("file:"):
+        file = fs.LocalFileSystem().open_input_file("/" + place.removeprefix("file:").lstrip("/"))
+    else:
+        system, inner = fs.FileSystem.from_uri(quote(place.replace("s3a://", "s3://"), safe=":/"))
+        file = system.open_input_file(inner)
+    return io.BufferedReader(Sought(file), 1 << 20)
+
+
+def judge(extensions: Sequence[str], ignored: Sequence[str], max_bytes: int | None):
+    """The reason why an entry is not wanted, or None, from its path and size."""
+    allowed, skipped = set(extensions), set(ignored)
+
+    def reason(path: str, size: int) -> str | None:
+        parts = path.lower().split("/")
+        stem, dot, ext = parts[-1].rpartition(".")
+        if not path.strip():
+            return NO_NAME
+        if not skipped.isdisjoint(parts):
+            return IGNORED_FOLDER
+        if dot + ext not in allowed:
+            return OTHER_EXTENSION
+        return TOO_LARGE if max_bytes is not None and size > max_bytes else None
+
+    return reason
+
+
+def listed(infos: Sequence[zipfile.ZipInfo], reason, rejects: bool) -> Iterator[tuple[int, str, str | None, zipfile.ZipInfo]]:
+    """(entry_index, path below the root folder, reject reason, entry) of what an archive has to give."""
+    root = infos[0].filename.split("/")[0] + "/" if infos else ""
+    for i, info in enumerate(infos):
+        if info.filename.endswith("/"):
+            continue
+        path = info.filename.removeprefix(root)
+        why = reason(path, info.file_size)
+        if not why or rejects or why == TOO_LARGE:
+            yield i, path, why, info
+
+
+def archive_slices(
+    archives: DataFrame,
+    split_bytes: int = SPLIT_BYTES,
+    max_bytes: int | None = None,
+    extensions: tuple[str, ...] = ANALYZED_EXTENSIONS,
+    ignored: tuple[str, ...] = IGNORED_PARTS,
+    rejects: bool = False,
+) -> DataFrame:
+    """(archive, slice, entries, error): where the entries of each archive lie, in slices.
+
+    Only the table of contents is read. ``entries`` is a JSON list of what ``slice_entries``
+    needs; an archive whose contents cannot be read is one row with ``error``.
+    """
+    reason = judge(extensions, ignored, max_bytes)
+
+    def cut(name: str) -> Iterator[tuple]:
+        held, size, number = [], 0, 0
+        try:
+            with opened(name) as file, zipfile.ZipFile(file) as archive:
+                infos = archive.infolist()
+        except Exception as e:  # noqa: BLE001 - any broken archive is reported, not fatal
+            yield name, 0, "[]", f"{type(e).__name__}: {e}"
+            return
+        for i, path, why, info in listed(infos, reason, rejects):
+            fields = (info.header_offset, info.compress_type, info.CRC, info.compress_size, info.file_size, info.flag_bits)
+            held.append((i, path, why, info.orig_filename, *fields))
+            size += 0 if why else info.compress_size
+            if size >= split_bytes or len(held) >= SLICE_ENTRIES:
+                yield name, number, json.dumps(held), None
+                held, size, number = [], 0, number + 1
+        if held:
+            yield name, number, json.dumps(held), None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["archive"]:
+                for row in cut(name):
+                    yield pd.DataFrame([row], columns=["archive", "slice", "entries", "error"])
+
+    return archives.select("archive").mapInPandas(run, "archive string, slice int, entries string, error string")
+
+
+def unpacked(file, name: str, offset: int, method: int, crc: int, packed: int, size: int, flags: int) -> bytes:
+    """One entry's bytes, decompressed and checked, read from where its header lies."""
+    if flags & 0x1:
+        raise RuntimeError(f"File {name!r} is encrypted, password required for extraction")
+    file.seek(offset)
+    header = file.read(LOCAL_HEADER.size)
+    if len(header) < LOCAL_HEADER.size or header[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile("Bad magic number for file header")
+    *_, name_size, extra_size = LOCAL_HEADER.unpack(header)
+    file.seek(offset + LOCAL_HEADER.size + name_size + extra_size)
+    info = zipfile.ZipInfo(name)
+    info.compress_type, info.CRC, info.compress_size, info.file_size, info.flag_bits = method, crc, packed, size, flags
+    with zipfile.ZipExtFile(file, "r", info) as stream:
+        return stream.read()
+
+
+def slice_entries(slices: DataFrame) -> DataFrame:
+    """The entries of slices as rows, each slice read by seeking in its archive."""
+    columns = [c.split()[0] for c in ENTRY_SCHEMA.split(", ")]
+
+    def entries(name: str, listed: str, error: str | None) -> Iterator[tuple]:
+        if error:
+            yield name, None, None, None, None, error
+            return
+        file = None
+        for i, path, why, inner, *place in json.loads(listed):
+            size = place[4]
+            if why:
+                yield name, i, path, None, size, why
+                continue
+            try:
+                file = file or opened(name)
+                text = unpacked(file, inner, *place).decode("utf-8-sig", errors="replace")
+                yield name, i, path, text, size, None
+            except Exception as e:  # noqa: BLE001 - an entry that cannot be unpacked is a row
+                yield name, i, path, None, size, f"{type(e).__name__}: {e}"
+        if file:
+            file.close()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for batch in batches:
+            for name, listed, error in zip(batch["archive"], batch["entries"], batch["error"], strict=True):
+                for row in entries(name, listed, error):
+                    rows.append(row)
+                    size += row[4] or 0
+                    if size >= _FLUSH_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return slices.mapInPandas(run, ENTRY_SCHEMA)
+
+
 def archive_entries(
     archives: DataFrame,
     max_bytes: int | None = None,
@@ -72,18 +265,7 @@ def archive_entries(
     The root folder (first part of the first entry) is taken off the paths. An entry that
     cannot be unpacked becomes a row with ``error`` and no content; so does an archive.
     """
-    allowed, skipped = set(extensions), set(ignored)
-
-    def reason(path: str, size: int) -> str | None:
-        parts = path.lower().split("/")
-        stem, dot, ext = parts[-1].rpartition(".")
-        if not path.strip():
-            return NO_NAME
-        if not skipped.isdisjoint(parts):
-            return IGNORED_FOLDER
-        if dot + ext not in allowed:
-            return OTHER_EXTENSION
-        return TOO_LARGE if max_bytes is not None and size > max_bytes else None
+    reason = judge(extensions, ignored, max_bytes)
 
     def entries(name: str, payload: bytes) -> Iterator[tuple]:
         try:
@@ -91,15 +273,9 @@ def archive_entries(
         except Exception as e:  # noqa: BLE001 - any broken archive is reported, not fatal
             yield name, None, None, None, None, f"{type(e).__name__}: {e}"
             return
-        infos = archive.infolist()
-        root = infos[0].filename.split("/")[0] + "/" if infos else ""
-        for i, info in enumerate(infos):
-            path = info.filename.removeprefix(root)
-            if info.filename.endswith("/"):
-                continue
-            if why := reason(path, info.file_size):
-                if rejects or why == TOO_LARGE:
-                    yield name, i, path, None, info.file_size, why
+        for i, path, why, info in listed(archive.infolist(), reason, rejects):
+            if why:
+                yield name, i, path, None, info.file_size, why
                 continue
             try:
                 text = archive.read(info).decode("utf-8-sig", errors="replace")

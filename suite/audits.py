@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegauge.operators import audit as L
+from codegauge.sources.store import Store
+from codegauge.workspace import shared_folder
 from suite.mapping import mapped, with_sql
 from suite.registry import query
 
@@ -68,15 +70,15 @@ def orphan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.orphans(mapped(spark, sf_dir, "issues"), "run_id", kept).select("id", "run_id")
 
 
-@query(
-    "L3",
-    sql=with_sql("issues", "runs", "repositories", body="""
+_LEFT = with_sql("issues", "runs", "repositories", body="""
 SELECT 'repositories' AS table_name, count(*) AS n FROM repositories WHERE user_id <> 3
 UNION ALL SELECT 'analysis_runs', count(*) FROM runs
   WHERE repository_id NOT IN (SELECT id FROM repositories WHERE user_id = 3)
 UNION ALL SELECT 'analysis_issues', count(*) FROM issues WHERE run_id NOT IN (
-  SELECT r.id FROM runs r JOIN repositories p ON repository_id = p.id WHERE user_id = 3)"""),
-)
+  SELECT r.id FROM runs r JOIN repositories p ON repository_id = p.id WHERE user_id = 3)""")
+
+
+@query("L3", sql=_LEFT)
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {
         "repositories": mapped(spark, sf_dir, "repositories"),
@@ -91,6 +93,25 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged
 
 
+@query("L3", sql=_LEFT)
+def cascade_delete_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a store: only buckets that can hold a descendant are read, all tables change at once."""
+    store = Store(spark, shared_folder(spark, "cascade"))
+    tables = {
+        "repositories": mapped(spark, sf_dir, "repositories"),
+        "analysis_runs": mapped(spark, sf_dir, "runs"),
+        "analysis_issues": mapped(spark, sf_dir, "issues"),
+    }
+    keys = {"repositories": "id", "analysis_runs": "repository_id", "analysis_issues": "run_id"}
+    store.replace(tables, keys, buckets=16)
+    after = store.delete("repositories", F.expr(_GONE), L.REFERENCES)
+    merged = None
+    for name in tables:
+        counted = store.read(name, after).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        merged = counted if merged is None else merged.unionByName(counted)
+    return merged
+
+
 @query(
     "L4",
     sql=with_sql("runs", body="""

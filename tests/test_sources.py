@@ -66,6 +66,32 @@ def test_nothing_is_cut_by_default(spark, tmp_path):
     assert analyze_files(files.withColumn("run_id", F.lit(1))).first()["lines_of_code"] > 45_000
 
 
+def test_one_archive_is_read_by_many_tasks(spark, tmp_path):
+    folder = tmp_path / "my archives+%20"
+    folder.mkdir()
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w", zipfile.ZIP_DEFLATED) as z:
+        for k in range(300):
+            z.writestr(f"r/d{k % 7}/f{k}.php", os.urandom(300).hex() + "é", compress_type=(zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)[k % 3])
+        z.writestr("r/vendor/x.php", "no")
+        z.writestr("r/empty.js", "")
+    data = bytearray(stored.getvalue())
+    data[data.index(b"PK\x03\x04", 1000)] = 0  # one header is broken
+    (folder / "hot.zip").write_bytes(bytes(data))
+    (folder / "none.zip").write_bytes(b"PK")
+    (folder / "blank.zip").write_bytes(b"PK\x05\x06" + bytes(18))
+    for options in ({}, {"rejects": True}, {"max_bytes": 100}):
+        rows = A.read_archives(spark, str(folder), split_bytes=5000, **options)
+        whole = spark.read.format("binaryFile").load(str(folder)).select(F.col("path").alias("archive"), "content")
+        plain = A.archive_entries(whole, **options)
+        got, want = (sorted(map(repr, f.select("archive", "entry_index", "path", "content", "size_bytes").collect())) for f in (rows, plain))
+        assert got == want
+        broken = [r["path"] for r in rows.where("error IS NOT NULL AND path IS NOT NULL AND content IS NULL").collect()]
+        assert broken if options else len(broken) == 1
+    rows = A.read_archives(spark, str(folder), split_bytes=5000)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 3
+
+
 def test_loose_files(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "vendor").mkdir()
