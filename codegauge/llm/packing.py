@@ -1,12 +1,11 @@
 """Packing of documents into sequences as a cutting-stock problem.
 
 The lengths of all pieces are a histogram of at most ``SEQUENCE`` entries, whatever the
-size of the corpus. Best fit of the exact lengths comes first and is taken where it leaves
-next to no padding. Otherwise a linear program over patterns (how many pieces of which length
-share a sequence) is solved by column generation: a knapsack by dynamic programming finds
-the pattern that the current prices make most profitable. Rounded patterns, and best-fit
-for the few pieces that rounding leaves, give every length a list of slots; the r-th piece
-of a length takes the r-th slot.
+size of the corpus. A linear program over patterns (how many pieces of which length share
+a sequence) starts with best-fit patterns and is solved by column generation: a knapsack by
+dynamic programming finds the pattern that the current prices make most profitable. Rounded
+patterns, and best fit for the pieces that rounding leaves, give every length a list of
+slots; the r-th piece of a length takes the r-th slot.
 """
 
 from __future__ import annotations
@@ -25,8 +24,9 @@ from codegauge.llm.tables import in_batches, key_and_text, written
 SEQUENCE = 2048
 END = 1
 CHUNK = 20_000  # pieces of one length that are ranked together
-GAP = 1e-3  # the program ends this near to sequences without padding, or to the fewest sequences
-ROUNDS = 300  # exchanges; best fit stands in where they have not found fewer sequences
+GAP = 1e-3  # the program ends this near to the fewest sequences that its prices prove
+STALLED = 100  # rounds in which the program may stand still
+ROUND_UP = 0.8  # a pattern with this fraction left over is used once more
 CHECKED = 200  # rounds after which the inverse is tested
 
 
@@ -41,28 +41,25 @@ def cut(docs: DataFrame, sequence: int = SEQUENCE, name: str = "byte_bpe_50k.jso
     def run(batches):
         coder = byte_bpe(path or vocabulary(name))
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for key, ids in zip(batch.column(0).to_pylist(), coder.encode_batch(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, sequence):
-                    piece = ids[4 * start : 4 * (start + sequence)]
-                    for to, value in zip(rows, (key, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                        to.append(value)
-            kinds = [batch.schema.field(0).type, *[pa.int64()] * 4]
+            # all ids of the batch after one another, and where each piece lies in them
+            coded = coder.encode_batch(batch.column(1).to_pylist())
+            flat = memoryview(b"".join([x for ids in coded for x in (ids, end)]))
+            tokens = np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1
+            pieces = -(-tokens // sequence)
+            doc = np.repeat(np.arange(len(coded)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * sequence
+            length = np.minimum(tokens[doc] - start, sequence)
+            lo = 4 * ((np.cumsum(tokens) - tokens)[doc] + start)
+            crc = [zlib.crc32(flat[x:y]) for x, y in zip(lo.tolist(), (lo + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc])],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
     schema = f"doc_id {id_type(docs)}, start long, length long, ids_crc32 long, doc_tokens long"
     return in_batches(key_and_text(docs), run, schema)
 
 
-def class_of(length: int, sequence: int = SEQUENCE) -> int:
-    """The room a piece takes: its exact length."""
-    return min(sequence, length)
-
-
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The most valuable pattern of total size at most ``room``: unbounded knapsack over sizes."""
     value, last = np.zeros(room + 1), np.full(room + 1, -1)
@@ -89,79 +86,64 @@ def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return (matrix * vector).sum(1)
 
 
-def inverted(matrix: np.ndarray) -> np.ndarray:
-    """Gauss-Jordan with row exchange; single-threaded for the same reason."""
-    n = len(matrix)
-    both = np.concatenate([matrix, np.eye(n)], axis=1)
-    for k in range(n):
-        p = k + int(np.abs(both[k:, k]).argmax())
-        both[[k, p]] = both[[p, k]]
-        both[k] /= both[k, k]
-        factor = both[:, k].copy()
-        factor[k] = 0
-        both -= factor[:, None] * both[k]
-    return both[:, n:]
-
-
-def inverted_in_order(basis: np.ndarray, order: list[int]) -> np.ndarray:
-    """Inverse of a basis that is lower triangular when rows and columns come in this order.
-
-    Patterns hold few sizes, so a row of the inverse is the sum of few rows before it.
-    """
-    inverse = np.zeros(basis.shape)
-    for k in order:
-        row = np.zeros(len(basis))
-        row[k] = 1
-        for j in np.flatnonzero(basis[k]):
-            if j != k:
-                row -= basis[k, j] * inverse[j]
-        inverse[k] = row / basis[k, k]
-    return inverse
-
-
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, enough: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a row each) and how often the linear program uses them (fractions).
-
-    Revised simplex for: least number of sequences such that every size is covered. The basis
-    has one pattern per size, so the result is bounded by the number of sizes. It starts with
-    patterns that each use up one size and ends when no pattern is worth more than a sequence, or when it is
-    within ``GAP`` of no padding at all, of the least number that its prices prove or after ``ROUNDS``
-    exchanges with the cover so far. It ends too when the prices prove ``enough`` sequences the fewest.
-    """
+def start_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-fit patterns that each use up one size (a column each), and how often each is used."""
     m = len(sizes)
-    basis = np.zeros((m, m))  # columns are patterns
-    rest = demand.copy()
-    order: list[int] = []  # of sizes as they are used up; later patterns hold none of them
-    for _ in range(m):  # each pattern uses up one size, so the columns are independent
+    basis, used, rest = np.zeros((m, m)), np.zeros(m), demand.copy()
+    while (rest > 0).any():
         pattern = fullest({int(k): int(np.ceil(rest[k])) for k in np.flatnonzero(rest > 0)}, sizes, room)
         times = np.where(pattern > 0, rest / np.maximum(pattern, 1), np.inf)
         out = int(times.argmin())
-        basis[:, out] = pattern
+        basis[:, out], used[out] = pattern, times[out]
         rest -= times[out] * pattern
         rest[out] = 0
         rest[rest < 1e-9 * demand] = 0
-        order += [out, *(int(i) for i in np.flatnonzero((rest <= 0) & (pattern > 0)) if i != out)]
-        if not (rest > 0).any():
-            break
     for k in np.flatnonzero(basis.sum(0) == 0):
         basis[k, k] = room // sizes[k]
-    inverse = inverted_in_order(basis, order)
-    used = np.maximum(times_vector(inverse, demand), 0)
+    return basis, used
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (a row each) and how often the linear program uses them (fractions).
+
+    Revised simplex for: least number of sequences such that every size is covered. The basis
+    has one pattern per size, so the result is bounded by the number of sizes. It starts with
+    best-fit patterns that each use up one size. Every round prices columns: the knapsack finds
+    the pattern that the prices value most, and the prices by that value prove a least number of
+    sequences. It ends when no pattern is worth more than a sequence or when the program is within
+    ``GAP`` of the number proved; and with the cover so far where ``STALLED`` rounds brought nothing,
+    as degenerate steps can. ``rounds`` collects the program's value before each round.
+    """
+    m = len(sizes)
+    basis, used = start_basis(sizes, demand, room)
+    inverse: np.ndarray | None = None
     even = sizes / room  # the prices at which every full sequence is worth one
-    proved = 0.0
-    for k in range(ROUNDS):
-        prices = inverse.sum(0)  # every pattern costs one sequence
-        if used.sum() <= (1 + GAP) * np.ceil(demand @ even):
-            break  # as good as sequences without any room left
+    proved, least, k, since = 0.0, np.inf, 0, 0
+    while since < STALLED:
+        k += 1
+        if rounds is not None:
+            rounds.append(float(used.sum()))
+        since = 0 if used.sum() < least * (1 - GAP / 100) else since + 1
+        least = min(least, float(used.sum()))
+        prices = even if inverse is None else inverse.sum(0)  # every pattern costs one sequence
         # steadied prices find full patterns soon; the program's own have the last word
-        for share in (0.95, 0.7, 0.0):
+        for share in (1.0,) if inverse is None else (0.95, 0.7, 0.0):
             tried = np.maximum(share * even + (1 - share) * prices, 0)
             worth, pattern = best_pattern(sizes, tried, room)
             proved = max(proved, float(demand @ tried) / max(worth, 1e-9))  # these prices by their best pattern's worth
             pattern = np.where(prices > 0, pattern, 0)
             if worth_it := prices @ pattern > 1 + 1e-6:
                 break
-        if not worth_it or used.sum() <= (1 + GAP) * proved or proved > enough - 1 + 1e-6:
+        if used.sum() <= (1 + GAP) * proved or np.ceil(used.sum() - 1e-6) <= np.ceil(proved - 1e-6):
+            break  # no program has noticeably fewer sequences, or none at all by whole ones
+        if inverse is None:  # even prices proved too little, so the program's own are needed
+            inverse = np.linalg.inv(basis)
+            if not np.allclose(times_vector(basis, times_vector(inverse, demand)), demand, rtol=1e-6):
+                basis = np.diag((room // sizes).astype(float))  # patterns of one size each
+                inverse = np.diag(1 / np.diag(basis))
+                used, least = demand * np.diag(inverse), np.inf
+            continue
+        if not worth_it:
             break
         step = times_vector(inverse, pattern)
         ratio = np.where(step > 1e-9, np.maximum(used, 0) / np.where(step > 1e-9, step, 1), np.inf)
@@ -174,52 +156,48 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, enough:
         inverse[at] -= step[at, None] * row
         inverse[out] = row
         used = np.where(np.arange(m) == out, ratio[out], used - ratio[out] * step)
-        if k % CHECKED == CHECKED - 1 and (np.abs(times_vector(basis, used) - demand) > 1e-6 * demand.max()).any():
-            inverse = inverted(basis)
+        if k % CHECKED == 0 and (np.abs(times_vector(basis, used) - demand) > 1e-6 * demand.max()).any():
+            inverse = np.linalg.inv(basis)
             used = times_vector(inverse, demand)
     return basis.T.round().astype(np.int64), np.maximum(used, 0)
 
 
-def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, dict[int, int]]]:
+def plan(histogram: dict[int, int], sequence: int = SEQUENCE, rounds: list | None = None) -> list[tuple[int, dict[int, int]]]:
     """(number of sequences, pieces of each length in one) covering the histogram of lengths exactly.
 
-    Best fit where it is within ``GAP`` of no padding, else the better of it and the program:
-    whole times of the program's patterns first, then its patterns once more as long as all
-    their pieces are still to be placed, then best fit of the rest, largest first.
+    The linear program decides: whole times of its patterns first, then its patterns once more,
+    those with the largest fraction first, as long as all their pieces are still to be placed.
+    Best fit, largest first, takes the pieces that rounding leaves. Pieces as long as a sequence
+    have only one pattern.
     """
     left = Counter({c: n for c, n in histogram.items() if n})
-    whole: list[tuple[int, dict[int, int]]] = []
+    rows: list[tuple[int, dict[int, int]]] = []
     if sequence in left:
-        whole.append((left.pop(sequence), {sequence: 1}))
+        rows.append((left.pop(sequence), {sequence: 1}))
     if not left:
-        return whole
-    fitted = best_fit(Counter(left), sequence)
-    total = lambda rows: sum(times for times, _ in rows)
-    if total(fitted) <= (1 + GAP) * -(-sum(s * n for s, n in left.items()) // sequence):
-        return whole + fitted
-    rows: list[tuple[int, dict[int, int]]] = []
+        return rows
     sizes = np.array(sorted(left), np.int64)
     demand = np.array([left[int(s)] for s in sizes], float)
     unit = int(np.gcd.reduce(sizes))
-    patterns, used = column_generation(sizes // unit, demand, sequence // unit, total(fitted))
+    patterns, used = column_generation(sizes // unit, demand, sequence // unit, rounds)
     order = np.argsort(-(used - np.floor(used)), kind="stable")
-    for k, times in [*((k, int(used[k] + 1e-6)) for k in range(len(sizes))), *((int(k), 1) for k in order)]:
+    for k, times in [*((k, int(used[k] + 1e-6)) for k in range(len(sizes))), *((int(k), 1) for k in order if used[k] % 1 >= ROUND_UP)]:
         pieces = {int(s): int(a) for s, a in zip(sizes, patterns[k], strict=True) if a}
         times = min([times, *(left[s] // a for s, a in pieces.items())])
         if times > 0 and pieces:
             rows.append((times, pieces))
             for s, a in pieces.items():
                 left[s] -= times * a
-    rows += best_fit(Counter({s: n for s, n in left.items() if n}), sequence)
-    return whole + min(rows, fitted, key=total)
+    return rows + best_fit(Counter({s: n for s, n in left.items() if n}), sequence)
 
 
 def fullest(left: dict[int, int], sizes: np.ndarray, room: int) -> np.ndarray:
     """The largest size that is left, and those that leave the least room beside it."""
-    order = sorted(left, key=lambda k: -sizes[k])
+    order = sorted(left, reverse=True)  # sizes ascend
     pattern = np.zeros(len(sizes), np.int64)
     pattern[order[0]] = 1
     start = int(sizes[order[0]])
+    order = [order[0], *(k for k in order[1:] if sizes[k] <= room - start)]
     reach = np.full(room + 1, -2)  # the size that first reaches a sum
     reach[start] = -1
     for k in order:

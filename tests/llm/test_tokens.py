@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from codegauge.llm.bpe import SHORT, byte_bpe, encoded, vocabulary
 from codegauge.llm.lengths import length_quantiles, length_table
-from codegauge.llm.packing import SEQUENCE, class_of, column_generation, cut, pack, plan
+from codegauge.llm.packing import SEQUENCE, best_fit, column_generation, cut, pack, plan
 from codegauge.llm.quality import measured, rate_quality, good_documents, repeated_words, script_of
 
 ODD = [
@@ -102,11 +102,28 @@ def test_column_generation_reaches_full_patterns():
     assert used.sum() <= 20 + 20 + 40 / 3 + 1e-6
 
 
+def test_the_program_beats_best_fit():
+    histogram = {922: 240, 317: 300, 886: 180, 825: 300}
+    rounds = []
+    planned, fitted = plan(histogram, rounds=rounds), best_fit(Counter(histogram), SEQUENCE)
+    assert sum(n for n, _ in planned) == 370 < sum(n for n, _ in fitted) == 410
+    assert len(rounds) > 1 and rounds[-1] < rounds[0]
+
+
+def test_the_program_prices_columns_of_the_given_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    histogram = {r["length"]: r["count"] for r in cut(docs).groupBy("length").count().collect()}
+    rounds = []
+    planned = sum(n for n, _ in plan(histogram, rounds=rounds))
+    full = histogram.pop(SEQUENCE, 0)
+    assert len(rounds) > 0 and planned <= full + sum(n for n, _ in best_fit(Counter(histogram), SEQUENCE))
+
+
 @pytest.mark.parametrize("n", [0, 1, 40, 2000])
 def test_plan_covers_the_histogram(n):
     rng = random.Random(n)
     lengths = [min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(n)] + [900] * n
-    histogram = Counter(class_of(x) for x in lengths)
+    histogram = Counter(lengths)
     placed = Counter()
     for times, pieces in plan(histogram):
         assert sum(c * a for c, a in pieces.items()) <= SEQUENCE
