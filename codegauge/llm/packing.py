@@ -86,6 +86,15 @@ def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return (matrix * vector).sum(1)
 
 
+def inverted(basis: np.ndarray, demand: np.ndarray) -> np.ndarray | None:
+    """The basis' inverse, or None where it has none that solves for the demand."""
+    try:
+        inverse = np.linalg.inv(basis)
+    except np.linalg.LinAlgError:
+        return None
+    return inverse if np.allclose(times_vector(basis, times_vector(inverse, demand)), demand, rtol=1e-6) else None
+
+
 def start_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-fit patterns that each use up one size (a column each), and how often each is used."""
     m = len(sizes)
@@ -137,8 +146,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         if used.sum() <= (1 + GAP) * proved or np.ceil(used.sum() - 1e-6) <= np.ceil(proved - 1e-6):
             break  # no program has noticeably fewer sequences, or none at all by whole ones
         if inverse is None:  # even prices proved too little, so the program's own are needed
-            inverse = np.linalg.inv(basis)
-            if not np.allclose(times_vector(basis, times_vector(inverse, demand)), demand, rtol=1e-6):
+            inverse = inverted(basis, demand)
+            if inverse is None:
                 basis = np.diag((room // sizes).astype(float))  # patterns of one size each
                 inverse = np.diag(1 / np.diag(basis))
                 used, least = demand * np.diag(inverse), np.inf
@@ -157,8 +166,10 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         inverse[out] = row
         used = np.where(np.arange(m) == out, ratio[out], used - ratio[out] * step)
         if k % CHECKED == 0 and (np.abs(times_vector(basis, used) - demand) > 1e-6 * demand.max()).any():
-            inverse = np.linalg.inv(basis)
-            used = times_vector(inverse, demand)
+            fresh = inverted(basis, demand)
+            if fresh is None:
+                break
+            inverse, used = fresh, times_vector(fresh, demand)
     return basis.T.round().astype(np.int64), np.maximum(used, 0)
 
 
