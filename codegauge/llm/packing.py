@@ -121,7 +121,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
     the pattern that the prices value most, and the prices by that value prove a least number of
     sequences. It ends when no pattern is worth more than a sequence or when the program is within
     ``GAP`` of the number proved; and with the cover so far where ``STALLED`` rounds brought nothing,
-    as degenerate steps can. ``rounds`` collects the program's value before each round.
+    as degenerate steps can, or where the start cannot be inverted in floating point. ``rounds`` collects the program's value before each round.
     """
     m = len(sizes)
     basis, used = start_basis(sizes, demand, room)
@@ -132,7 +132,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         k += 1
         if rounds is not None:
             rounds.append(float(used.sum()))
-        since = 0 if used.sum() < least * (1 - GAP / 100) else since + 1
+        since = 0 if used.sum() < least * (1 - GAP / 10) else since + 1
         least = min(least, float(used.sum()))
         prices = even if inverse is None else inverse.sum(0)  # every pattern costs one sequence
         # steadied prices find full patterns soon; the program's own have the last word
@@ -148,9 +148,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         if inverse is None:  # even prices proved too little, so the program's own are needed
             inverse = inverted(basis, demand)
             if inverse is None:
-                basis = np.diag((room // sizes).astype(float))  # patterns of one size each
-                inverse = np.diag(1 / np.diag(basis))
-                used, least = demand * np.diag(inverse), np.inf
+                break  # too many small steps follow from one another to be solved for
             continue
         if not worth_it:
             break
