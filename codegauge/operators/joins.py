@@ -162,28 +162,46 @@ def get_or_create_repositories(requests: DataFrame, repositories: DataFrame) ->
     return existing.unionByName(new.withColumn("created", F.lit(True)))
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    return files.select(
-        "run_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line")
-    ).select("run_id", "path", (F.col("i") + 1).alias("line_number"), "line")
-
-
 def lines_with_issues(files: DataFrame, issues: DataFrame) -> DataFrame:
     """Every source line with its issue count and highest mark.
 
-    Issues are first counted per line, and both sides meet on the line, so a
-    file with very many issues or lines is spread over the tasks.
+    Issues are counted per line, then gathered per file (at most one mark a line), and
+    both sides meet on the file. The lines are cut and laid beside their marks after
+    the join, in the task, so no line is shuffled. Marks outside the file are left out.
     """
-    marks = issues.groupBy("run_id", "path", "line_number").agg(
+    key = ["run_id", "path"]
+    marks = issues.groupBy(*key, "line_number").agg(
         F.count(F.lit(1)).alias("issue_count"), F.max(line_rank(F.col("severity"))).alias("rank")
     )
-    joined = source_lines(files).join(marks, ["run_id", "path", "line_number"], "left")
-    return joined.withColumns(
-        {
-            "issue_count": F.coalesce("issue_count", F.lit(0)),
-            "mark": F.when(F.col("rank").isNotNull(), line_mark(F.col("rank"))),
-        }
-    ).drop("rank")
+    of_file = marks.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("line_number", "issue_count", "rank"))).alias("marks")
+    )
+    kind = of_file.schema["marks"].dataType
+    n_lines = F.length("content") - F.length(F.translate("content", "\n", "")) + 1
+    placed = files.select(*key, "content", n_lines.alias("n_lines")).join(of_file, key, "left")
+    placed = placed.withColumn(
+        "marks",
+        F.coalesce(
+            F.filter("marks", lambda m: m["line_number"].between(1, F.col("n_lines"))), F.array().cast(kind)
+        ),
+    )
+
+    def with_gap(m: Column, i: Column) -> Column:
+        before = F.coalesce(F.get("marks", i - 1)["line_number"], F.lit(0))
+        empty = F.array_repeat(F.lit(None).cast(kind.elementType), (m["line_number"] - before - 1).cast("int"))
+        return F.concat(empty, F.array(m))
+
+    beside = F.arrays_zip(
+        F.split("content", "\n", -1).alias("line"), F.flatten(F.transform("marks", with_gap)).alias("m")
+    )
+    lines = placed.select(*key, F.posexplode(beside).alias("i", "at"))
+    return lines.select(
+        *key,
+        (F.col("i") + 1).alias("line_number"),
+        F.col("at")["line"].alias("line"),
+        F.coalesce(F.col("at")["m"]["issue_count"], F.lit(0)).alias("issue_count"),
+        F.when(F.col("at")["m"]["rank"].isNotNull(), line_mark(F.col("at")["m"]["rank"])).alias("mark"),
+    )
 
 
 def files_with_issue_counts(files: DataFrame, issues: DataFrame) -> DataFrame:

@@ -26,23 +26,36 @@ def last_per_path(files: DataFrame) -> DataFrame:
     return files.groupBy("run_id", "path").agg(chosen).select("run_id", "path", "chosen.*")
 
 
-def pack_snapshots(files: DataFrame, files_per_part: int = MAX_FILES) -> DataFrame:
+def pack_snapshots(files: DataFrame, files_per_part: int = MAX_FILES, keys: DataFrame | None = None) -> DataFrame:
     """Rows (run_id, path, entry_index, content, quality_level, function_count,
-    lines_of_code) to one row per run and part with two maps."""
-    part = F.floor(F.col("entry_index") / files_per_part).cast("int")
-    entry = F.struct(
-        "path",
-        F.struct(
-            F.col("quality_level").alias("ComplexityLevel"),
-            F.col("function_count").alias("FunctionCount"),
-            F.col("lines_of_code").alias("LinesOfCode"),
-        ).alias("metrics"),
-        "content",
+    lines_of_code) to one row per run and part with two maps.
+
+    The last entry of each path is decided on the keys alone; its mark is sent to the part
+    of that entry, and texts are shuffled once, straight to their part. ``keys`` may name a
+    cheaper table of the same rows' run_id, path and entry_index (before an analysis, say).
+    """
+    part = F.floor(F.col("entry_index") / files_per_part).cast("int").alias("part")
+    metrics = F.struct(
+        F.col("quality_level").alias("ComplexityLevel"),
+        F.col("function_count").alias("FunctionCount"),
+        F.col("lines_of_code").alias("LinesOfCode"),
     )
-    packed = (
-        last_per_path(files)
-        .groupBy("run_id", part.alias("part"))
-        .agg(F.collect_list(entry).alias("entries"))
+
+    def entry(is_last: int, metrics: Column, content: Column) -> Column:
+        # sorted, the mark of a path's last entry comes right behind that entry
+        return F.struct(
+            "path", "entry_index", F.lit(is_last).alias("is_last"), metrics.alias("metrics"), content.alias("content")
+        ).alias("entry")
+
+    rows = files.select("run_id", part, entry(0, metrics, F.col("content")))
+    kinds = rows.schema["entry"].dataType
+    last = (files if keys is None else keys).groupBy("run_id", "path").agg(F.max("entry_index").alias("entry_index"))
+    marks = last.select("run_id", part, entry(1, F.lit(None).cast(kinds["metrics"].dataType), F.lit(None).cast("string")))
+    packed = rows.unionByName(marks).groupBy("run_id", "part").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    is_mark = lambda e: e["is_last"] == 1
+    packed = packed.withColumn(
+        "entries",
+        F.filter("entries", lambda e, i: ~is_mark(e) & F.coalesce(is_mark(F.get("entries", i + 1)), F.lit(False))),
     )
 
     def as_map(field: str) -> Column:
@@ -52,7 +65,7 @@ def pack_snapshots(files: DataFrame, files_per_part: int = MAX_FILES) -> DataFra
 
     return packed.select(
         "run_id", "part", as_map("metrics").alias(METRICS_KEY), as_map("content").alias(CONTENTS_KEY)
-    )
+    ).where(F.size(METRICS_KEY) > 0)
 
 
 def to_document(packed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from codegauge.operators import reports as P
 from codegauge.operators import rules as R
 from codegauge.operators import scoring as S
 from codegauge.operators import selection as B
+from codegauge.sources import snapshots as N
 from codegauge.sources.results import export_results
 from suite.mapping import mapped
 
@@ -79,6 +80,20 @@ def test_batch_validation_moves_no_contents(spark, documents):
     assert "content" not in shuffled
 
 
+def test_no_line_of_a_file_is_shuffled(spark, documents):
+    issues = R.issues_of(R.analyze_files(documents)).withColumnRenamed("line", "line_number")
+    plan = plan_of(J.lines_with_issues(documents, issues))
+    lines = re.search(r"Generate posexplode\(arrays_zip", plan)
+    assert lines and "Exchange" not in plan[: lines.start()]
+
+
+def test_texts_of_snapshots_are_shuffled_once(spark, documents):
+    files = documents.selectExpr("run_id", "path", "entry_index", "content", "'low' AS quality_level", "1 AS function_count", "1 AS lines_of_code")
+    plan = plan_of(N.pack_snapshots(files))
+    below = [m.group(1) for m in re.finditer(r"Exchange hashpartitioning.*?\n(.*)", plan)]
+    assert sum("entry#" in line or "content" in line for line in below) == 1 and len(below) == 2
+
+
 def test_no_forced_broadcast(spark, sf_dir):
     """Without a small enough side the joins are ordinary shuffled joins."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -136,6 +136,27 @@ def test_lines_with_issues(spark):
     assert rows == [("x", 0, None), ("y", 2, "major"), ("z", 1, "other")]
 
 
+def test_lines_of_long_and_odd_files(spark):
+    """Marks before, behind and far outside a file, repeated files, nulls, and 100,000 lines all marked or one in ten."""
+    long = "\n".join(str(k) for k in range(100_000))
+    files = spark.createDataFrame(
+        [(1, "long", long), (1, "tenth", long), (1, "twice", "p\n"), (1, "twice", "q"), (1, "null", None), (2, "empty", "")],
+        "run_id long, path string, content string",
+    )
+    ids = spark.range(1, 100_001)
+    found = ids.selectExpr("1L AS run_id", "'long' AS path", "id AS line_number", "'Minor' AS severity")
+    found = found.union(ids.where("id % 10 = 0").selectExpr("1L", "'tenth'", "id", "'Minor'"))
+    odd = [(1, "twice", 2, "Minor"), (1, "twice", 0, "Minor"), (1, "twice", -5, "Minor"), (1, "twice", 2**40, "Minor"),
+           (1, "twice", None, "Minor"), (1, "null", 1, "Minor"), (1, "gone", 1, "Minor"), (2, "empty", 1, "Minor")]
+    got = J.lines_with_issues(files, found.union(spark.createDataFrame(odd, "run_id long, path string, line_number long, severity string")))
+    per_file = got.groupBy("path").agg(F.count("*").alias("n"), F.sum("issue_count").alias("marked"), F.count("mark").alias("m"),
+                                       F.count_if((F.col("issue_count") > 0) & (F.col("line") != (F.col("line_number") - 1).cast("string"))).alias("moved"))
+    rows = {r["path"]: tuple(r)[1:] for r in per_file.where("path <> 'twice' AND path <> 'empty'").collect()}
+    assert rows == {"long": (100_000, 100_000, 100_000, 0), "tenth": (100_000, 10_000, 10_000, 0)}
+    small = sorted((r["path"], r["line_number"], r["line"], r["issue_count"]) for r in got.where("path IN ('twice', 'empty')").collect())
+    assert small == [("empty", 1, "", 1), ("twice", 1, "p", 0), ("twice", 1, "q", 0), ("twice", 2, "", 1)]
+
+
 def test_neighbours_of_a_hot_group(spark):
     """One group holds most rows and spans many chunks."""
     rng = random.Random(1)

@@ -229,6 +229,19 @@ def test_snapshots(spark):
     assert back["f7.php"]["lines_of_code"] == 14
 
 
+def test_last_entries_within_and_across_parts(spark):
+    """The last entry of a path wins in its part and over parts; a part without any is left out; repeated rows count once."""
+    rows = [(1, "a", 0, "a0"), (1, "b", 1, "b1"), (1, "a", 2, "a2"), (1, "b", 70, "b70"), (1, "c", 60, "c60"), (1, "c", 120, "c120"),
+            (1, "b", 70, "b70"), (2, "a", 0, "other run"), (1, "d", 3, None)]
+    schema = "run_id long, path string, entry_index int, content string"
+    files = spark.createDataFrame(rows, schema).selectExpr("*", "'low' AS quality_level", "1 AS function_count", "2 AS lines_of_code")
+    for keys in (None, files.select("run_id", "path", "entry_index")):
+        packed = N.pack_snapshots(files, 50, keys)
+        got = {(r["run_id"], r["part"]): r["file_contents"] for r in packed.collect()}
+        assert got == {(1, 0): {"a": "a2", "d": None}, (1, 1): {"b": "b70"}, (1, 2): {"c": "c120"}, (2, 0): {"a": "other run"}}
+    assert N.pack_snapshots(files.limit(0)).collect() == []
+
+
 def test_old_and_broken_snapshots(spark):
     old = '{"a.php":{"ComplexityLevel":"low","FunctionCount":1,"LinesOfCode":2}}'
     frame = spark.createDataFrame([(1, old), (2, "{broken"), (3, None)], "run_id long, metrics_json string")
