@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegauge.llm.bpe import byte_bpe, vocabulary
-from codegauge.llm.tables import in_batches, key_and_text
+from codegauge.llm.tables import in_batches, key_and_text, written
 
 QUANTILES = (0.5, 0.9, 0.99)
 CHUNK = 4096
 
 
 def encoded_lengths(docs: DataFrame, name: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
-    """(n_tokens) of every whole text; a null text is an empty one of length 0."""
+    """(n_tokens) of every whole text; a null text is an empty one of length 0.
+
+    Repeated rows count one by one; other columns, whatever their names, are not read.
+    """
 
     def run(batches):
         coder = byte_bpe(path or vocabulary(name))
@@ -46,6 +49,7 @@ def length_table(lengths: DataFrame) -> DataFrame:
         "n_docs",
         (F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
     )
+    counts = written(counts, "lengths")  # used twice: the texts are encoded once
     chunks = counts.groupBy("chunk").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     later = chunks.select(

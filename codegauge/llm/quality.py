@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.llm.bpe import Cache, vocabulary
@@ -49,7 +49,7 @@ SCRIPTS = {
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
 }
 BANDS = {
-    "latin": Band(1.25, 8.0, 0.25, 3.5),
+    "latin": Band(1.6, 8.0, 0.25, 3.5),
     "greek": Band(0.6, 8.0, 0.5, 3.0),
     "cyrillic": Band(1.0, 8.0, 0.3, 3.5),
     "hebrew": Band(0.4, 8.0, 0.9, 3.0),
@@ -63,8 +63,9 @@ MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
 )
-# Corpus bands: reach in deviations, least deviation as a share of the median, texts needed.
-WIDTH, LEAST, ENOUGH = 5.0, 0.02, 200
+# Corpus bands: reach in deviations, least deviation as a share of the median, the number of
+# texts whose weight the fixed band of the script has beside them, bands sent to all tasks.
+WIDTH, LEAST, PRIOR, SENT = 5.0, 0.02, 100, 20_000
 
 
 @functools.cache
@@ -189,7 +190,7 @@ def measured(docs: DataFrame, columns: list[str] | None = None, path: str | None
 
 
 def corpus_bands(rows: DataFrame) -> DataFrame:
-    """(band, low_chars, high_chars, low_entropy) of every language or script with enough texts.
+    """(band, n, low_chars, high_chars, low_entropy) of every language or script, from its n texts.
 
     A band reaches ``WIDTH`` robust deviations (from the quartiles) to either side of the
     median over all texts that pass the base rule; equal values count once, so that copies of
@@ -202,8 +203,9 @@ def corpus_bands(rows: DataFrame) -> DataFrame:
     def reach(q: str, a: int, b: int):
         return WIDTH * F.greatest((F.col(q)[b] - F.col(q)[a]) / 0.6745, LEAST * F.col(q)[1])
 
-    return got.where(F.col("n") >= ENOUGH).select(
+    return got.select(
         "band",
+        "n",
         (F.col("c")[1] - reach("c", 0, 1)).alias("low_chars"),
         (F.col("c")[1] + reach("c", 1, 2)).alias("high_chars"),
         (F.col("e")[1] - reach("e", 0, 1)).alias("low_entropy"),
@@ -213,23 +215,32 @@ def corpus_bands(rows: DataFrame) -> DataFrame:
 def with_verdict(rows: DataFrame, fixed: dict[str, Band] | None = None) -> DataFrame:
     """Adds ``kept`` to the rows of ``measured``, which should be a written table.
 
-    A text is kept if it passes the base rule and lies in the fixed band of its script and
-    in the corpus band of its language or script (where there are enough texts for one).
+    A text is kept if it passes the base rule and lies in the fixed band of its script and in
+    its own: the limits of its language's or script's corpus band and those of the fixed band,
+    averaged with weights n and ``PRIOR``. Few texts thus narrow the fixed band little, and no
+    number of texts switches from one to the other. Up to ``SENT`` bands are sent to the
+    tasks, so no text is shuffled; more are joined.
     """
     fixed = fixed or BANDS
-    good = F.lit(False)
+    limit = {name: F.lit(None).cast("double") for name in Band.__dataclass_fields__}
     for script, b in fixed.items():
-        inside = (
-            F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token)
-            & (F.col("byte_share") <= b.max_byte_share)
-            & (F.col("token_entropy") >= b.min_entropy)
-        )
-        good = F.when(F.col("script") == script, inside).otherwise(good)
-    fits = F.col("low_chars").isNull() | (
-        F.col("chars_per_token").between(F.col("low_chars"), F.col("high_chars")) & (F.col("token_entropy") >= F.col("low_entropy"))
-    )
-    joined = rows.join(corpus_bands(rows), "band", "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & good & fits).drop("low_chars", "high_chars", "low_entropy")
+        limit = {k: F.when(F.col("script") == script, F.lit(getattr(b, k))).otherwise(c) for k, c in limit.items()}
+    low, high, least = limit["min_chars_per_token"], limit["max_chars_per_token"], limit["min_entropy"]
+    weight = F.coalesce(F.col("n_band") / (F.col("n_band") + PRIOR), F.lit(0.0))
+
+    def between(own: str, given: Column) -> Column:
+        return weight * F.coalesce(own, F.lit(0.0)) + (1 - weight) * given
+
+    good = F.col("chars_per_token").between(low, high) & (F.col("token_entropy") >= least)
+    good &= F.col("byte_share") <= limit["max_byte_share"]
+    good &= F.col("chars_per_token").between(between("low_chars", low), between("high_chars", high))
+    good &= F.col("token_entropy") >= between("low_entropy", least)
+    bands = written(corpus_bands(rows).withColumnRenamed("n", "n_band"), "bands")
+    if bands.count() <= SENT:
+        bands = F.broadcast(bands)
+    joined = rows.join(bands, "band", "left")
+    kept = ~F.col("base_failed") & F.coalesce(good, F.lit(False))
+    return joined.withColumn("kept", kept).drop("n_band", "low_chars", "high_chars", "low_entropy")
 
 
 def rate_quality(docs: DataFrame, path: str | None = None) -> DataFrame:

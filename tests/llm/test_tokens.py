@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from codegauge.llm.bpe import SHORT, byte_bpe, encoded, vocabulary
-from codegauge.llm.lengths import length_quantiles, length_table
+from codegauge.llm.lengths import encoded_lengths, length_quantiles, length_table
 from codegauge.llm.packing import SEQUENCE, best_fit, column_generation, cut, pack, plan
 from codegauge.llm.quality import measured, rate_quality, good_documents, repeated_words, script_of
 
@@ -259,3 +259,59 @@ def test_all_columns_travel(spark):
     docs = spark.createDataFrame([(1, text, None, "a", 2.5)], "doc_id long, text string, lang string, band string, n_words double")
     assert good_documents(docs).columns == docs.columns
     assert measured(docs).count() == 1
+
+
+def test_quality_measures_and_verdict_equal_a_recount(spark, sf_dir):
+    """Fertility, byte share, entropy, quartiles and the verdict, step by step."""
+    import sentencepiece
+
+    from codegauge.llm import quality
+
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    rows = {r["doc_id"]: r for r in rate_quality(docs).collect()}
+    for r in docs.where("doc_id % 10 = 3").collect():
+        ids = [i for w in (r["text"] or "").encode().split() for i in model.encode(w.decode())]
+        share = [n / len(ids) for n in Counter(ids).values()]
+        got = rows[r["doc_id"]]
+        assert got["n_tokens"] == len(ids) and math.isclose(got["chars_per_token"], got["word_chars"] / len(ids))
+        assert math.isclose(got["byte_share"], sum(model.is_byte(i) for i in ids) / len(ids), abs_tol=1e-12)
+        assert math.isclose(got["token_entropy"], -sum(p * math.log2(p) for p in share), rel_tol=1e-9)
+    limits = {}
+    for band in {r["band"] for r in rows.values()}:
+        held = {(r["chars_per_token"], r["token_entropy"]) for r in rows.values() if r["band"] == band and not r["base_failed"]}
+        if held:
+            quart = lambda v: [sorted(v)[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.5, 0.75)]
+            c, e = quart([h[0] for h in held]), quart([h[1] for h in held])
+            reach = lambda q, a, b: quality.WIDTH * max((q[b] - q[a]) / 0.6745, quality.LEAST * q[1])
+            limits[band] = len(held), c[1] - reach(c, 0, 1), c[1] + reach(c, 1, 2), e[1] - reach(e, 0, 1)
+    for r in rows.values():
+        fixed = quality.BANDS[r["script"]]
+        n, low, high, least = limits.get(r["band"], (0, 0, 0, 0))
+        mixed = lambda own, given: (n * own + quality.PRIOR * given) / (n + quality.PRIOR)
+        c, e = r["chars_per_token"], r["token_entropy"]
+        want = not r["base_failed"] and r["byte_share"] <= fixed.max_byte_share and e >= fixed.min_entropy and e >= mixed(least, fixed.min_entropy)
+        want = want and max(fixed.min_chars_per_token, mixed(low, fixed.min_chars_per_token)) <= c <= min(fixed.max_chars_per_token, mixed(high, fixed.max_chars_per_token))
+        assert r["kept"] == want
+    assert sum(r["kept"] for r in rows.values()) >= 0.99 * sum(not r["base_failed"] for r in rows.values())
+
+
+@pytest.mark.parametrize("n", [3, 199, 200])
+def test_noise_fails_in_languages_of_any_size(spark, sf_dir, n):
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").where("lang = 'en' AND length(text) > 600").orderBy("doc_id").limit(n)
+    docs = docs.select("doc_id", "text", "lang")
+    rng = random.Random(n)
+    noise = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(90)) for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz") * 4]
+    odd = spark.createDataFrame([(-1 - k, t, "en") for k, t in enumerate(noise)], docs.schema)
+    kept = {r["doc_id"] for r in rate_quality(docs.unionByName(odd)).where("kept").collect()}
+    clean = {r["doc_id"] for r in rate_quality(docs).where("NOT base_failed").collect()}
+    assert not any(k < 0 for k in kept) and kept >= clean and len(clean) > 0.9 * docs.count()
+
+
+def test_lengths_of_odd_rows(spark):
+    coder = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    texts = [None, "", "Hello there", "Hello there", "né à 日本 " * 40000]
+    docs = spark.createDataFrame([(None, t, 7) for t in texts], "doc_id long, text string, n_tokens int")
+    got = sorted(r["n_tokens"] for r in encoded_lengths(docs).collect())
+    assert got == sorted(len(coder.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    assert encoded_lengths(docs.limit(0)).collect() == []
