@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codegauge.workspace import shared_folder
+
 
 def with_neighbours(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column
@@ -97,3 +99,33 @@ def sliding_count(
     )
     counted = spread.withColumn("n", F.count(F.lit(1)).over(window))
     return counted.where(F.col("__own") == F.col("__chunk")).select(*events.columns, "n")
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``, the position (from 1) of each row in its group; ``order`` must be total in it.
+
+    For orders that no chunk expression follows, such as locale order. All rows are sorted once
+    by ranges of (keys, order) and written with their place, because the bounds of the ranges
+    are sampled and could differ if they were computed twice. What the groups hold in earlier
+    ranges is then added from one row per range and group, at most as many rows of one group
+    as there are ranges. A null key is a group of its own.
+    """
+    keys, spark = list(keys), rows.sparkSession
+    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    folder = shared_folder(spark, "numbered")
+    placed = ranged.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
+    held = placed.groupBy("__range", *keys).agg(
+        F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(
+        F.col("__range").alias("__in"),
+        *(F.col(k).alias(f"__of_{i}") for i, k in enumerate(keys)),
+        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) + 1 - F.col("__first")).alias("__shift"),
+    )
+    same = F.col("__range") == F.col("__in")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__of_{i}"))
+    return placed.join(before, same).select(*rows.columns, (F.col("__place") + F.col("__shift")).alias(name))

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 from codegauge.functions.labels import SEVERITIES, TERMINAL, rank_name, renamed_severity
 from codegauge.functions.text import duration_seconds
 from codegauge.operators.joins import files_with_issue_counts
+from codegauge.operators.ordered import numbered
 
 # Histogram bounds and how many recent durations are kept.
 DURATION_BOUNDS = tuple(float(2**i) for i in range(8))
 RECENT_FOR_MEAN = 100
 RECENT_KEPT = 1000
 
-# Parts that a range of values is cut into to find a quantile.
-RANGES = 1024
+# A quantile is first looked for with an error of one in SKETCH ranks, then among FEW values.
+SKETCH = 20_000
+FEW = 50_000
 
 
 def filter_issues(
@@ -169,45 +171,59 @@ def histogram_quantile(buckets: DataFrame, q: float = 0.95, labels: Sequence[str
     )
 
 
-def _value_at(values: DataFrame, rank: int, low: float, high: float) -> float:
-    """The value with this rank (from 0) among the column ``v``, whose ends are given.
+def _value_at(values: DataFrame, rank: int, n: int) -> float:
+    """The value with this rank (from 0) among the ``n`` values of the column ``v``.
 
-    The range is cut into ``RANGES`` parts, counted in the tasks, and narrowed to the ends
-    of the values in the part that holds the rank, until one value is left. The ends always
-    fall into different parts, so every round narrows; only counts reach the driver.
+    A sketch names two values that most likely lie just below and just above the rank, and one
+    count of the rows below, at, between and above them tells where it is. The rows there, of
+    a large table about 4 in ``SKETCH``, are treated likewise until they are few enough to be
+    looked at. The counts are exact, so a poor sketch costs rounds and never the result.
     """
-    below = 0
-    while low < high:
-        inside = values.where(F.col("v").between(low, high))
-        share = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2)
-        part = F.least(F.floor(share * RANGES), F.lit(RANGES - 1))
-        parts = inside.groupBy(part.alias("part")).agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-        )
-        for r in sorted(parts.collect(), key=lambda r: r["part"]):  # at most RANGES rows
-            if below + r["n"] > rank:
-                low, high = r["low"], r["high"]
+    while n > FEW:
+        near = 2 / SKETCH
+        share = rank / (n - 1)
+        ends = F.percentile_approx("v", [max(0.0, share - near), min(1.0, share + near)], SKETCH)
+        low, high = values.agg(ends.alias("ends")).first()["ends"]
+        v = F.col("v")
+        parts = [v < low, v == low, (v > low) & (v < high), (v == high) & (v > low), v > high]
+        counts = values.agg(*(F.count_if(part).alias(str(k)) for k, part in enumerate(parts))).first()
+        for part, held, value in zip(parts, counts, (None, low, None, high, None), strict=True):
+            if rank < held:
                 break
-            below += r["n"]
-    return low
+            rank -= held
+        if value is not None:
+            return value
+        values, n = values.where(part), held
+    few = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most FEW rows
+    for r in sorted(few, key=lambda r: r["v"]):
+        if rank < r["n"]:
+            return r["v"]
+        rank -= r["n"]
+    raise ValueError("fewer values than before: the samples changed while they were read")
 
 
 def exact_quantile(samples: DataFrame, value: str, q: float = 0.95) -> DataFrame:
-    """Exact quantile (linear between neighbours) by narrowing the range of values.
+    """Exact quantile (linear between neighbours) in a few passes, whatever the spread of values.
 
-    No value is sorted or gathered: each round is one partial aggregation. Missing values
-    are left out; without values the quantile is NULL.
+    No value is sorted and few are gathered: a pass that counts, one that sketches, one that
+    counts around the sketch's answer, one over the few rows that are left, and one for the next
+    value. Missing values are left out; without values the quantile is NULL.
     """
     values = samples.select(F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
-    ends = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    n = values.count()
     found = None
-    if ends["n"]:
-        rank = (ends["n"] - 1) * q
-        a = _value_at(values, math.floor(rank), ends["low"], ends["high"])
-        b = _value_at(values, math.ceil(rank), ends["low"], ends["high"])
-        found = a + (b - a) * (rank - math.floor(rank))
+    if n:
+        place = (n - 1) * q
+        rank = math.floor(place)
+        found = _value_at(values, rank, n)
+        if place > rank:
+            upto = F.count_if(F.col("v") <= found).alias("upto")
+            after = F.min(F.when(F.col("v") > found, F.col("v"))).alias("after")
+            around = values.agg(upto, after).first()
+            if around["upto"] == rank + 1:
+                found += (around["after"] - found) * (place - rank)
     return samples.sparkSession.createDataFrame([(found,)], "quantile double")
 
 
@@ -305,8 +321,26 @@ def folder_rollup(files: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def in_tree_order(tree: DataFrame) -> DataFrame:
-    """Adds ``position`` (from 1) within the parent: folders first, then by name in locale order."""
-    order = Window.partitionBy("run_id", "parent_path").orderBy(
-        F.col("type") != "folder", F.collate("name", "UNICODE"), "name"
+    """Adds the order in which a tree is shown: folders first, then by name in locale order.
+
+    ``position`` counts (from 1) within the parent, ``tree_position`` over the whole tree of a
+    run with every folder before what it holds. Both are numbered over ranges of the order, so
+    neither a folder with most files nor a run with most folders is one task.
+    """
+    last_is_file = F.when(F.col("type") == "file", F.col("depth"))
+    names = F.slice(F.split("path", "/", -1), 1, F.col("depth"))
+    # a level is shown by whether it is a file, its name in locale order, its name
+    levels = F.transform(
+        names,
+        lambda name, k: F.struct(
+            F.coalesce(k + 1 == last_is_file, F.lit(False)).alias("file"),
+            F.collate(name, "UNICODE").alias("shown"),
+            name.alias("name"),
+        ),
+    )
+    whole = numbered(tree.withColumn("__levels", levels), ["run_id"], ["__levels"], "tree_position")
+    siblings = whole.drop("__levels").withColumns(
+        {"__file": F.col("type") != "folder", "__shown": F.collate("name", "UNICODE")}
     )
-    return tree.withColumn("position", F.row_number().over(order))
+    order = ["__file", "__shown", "name"]
+    return numbered(siblings, ["run_id", "parent_path"], order, "position").drop("__file", "__shown")

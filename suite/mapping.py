@@ -240,4 +240,4 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o_orderkey AS INT) AS entry_index",
         f"{CODE_PATH} AS path",
         f"concat({HEAD}, coalesce(body, ''), {TAIL}) AS content",
-    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    ).repartition("path")

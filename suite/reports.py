@@ -278,7 +278,9 @@ def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "H2", "E18",
     sql=with_sql("issues", body=f"""
-SELECT *, row_number() OVER (PARTITION BY run_id, parent_path ORDER BY type <> 'folder', name) AS position
+SELECT *, row_number() OVER (PARTITION BY run_id, parent_path ORDER BY type <> 'folder', name) AS position,
+  row_number() OVER (PARTITION BY run_id ORDER BY list_transform(range(1, depth + 1), lambda k:
+    CASE WHEN k = depth AND type = 'file' THEN 'b' ELSE 'a' END || string_split(path, '/')[k])) AS tree_position
 FROM ({_TREE}) t"""),
 )
 def folder_tree_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,54 @@ def test_folder_rollup(spark):
     assert [r["name"] for r in P.in_tree_order(P.folder_rollup(files, found)).where("parent_path = ''").collect()] == ["src", "y.php"]
 
 
+def test_exact_quantile_narrows(spark, monkeypatch):
+    """Ranks among ties, heavy tails and both signs, with a sketch so coarse that rounds are needed."""
+    monkeypatch.setattr(P, "FEW", 3)
+    monkeypatch.setattr(P, "SKETCH", 10)
+    rng = random.Random(5)
+    values = [rng.choice([7.0, 7.0, rng.gauss(0, 1), 10 ** rng.uniform(-300, 300), -rng.random()]) for _ in range(400)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    for q in (0.0, 0.33, 0.5, 0.951, 1.0):
+        rank = (len(values) - 1) * q
+        a, b = sorted(values)[math.floor(rank)], sorted(values)[math.ceil(rank)]
+        assert P.exact_quantile(frame, "v", q).first()[0] == pytest.approx(a + (b - a) * (rank - math.floor(rank)))
+
+
+def test_whole_tree_order(spark):
+    """Against a walk down the tree; one run and one folder hold most files, names tie in locale order."""
+    rng = random.Random(3)
+    paths = {(1, f"big/f{k}.php") for k in range(400)}
+    for _ in range(300):
+        depth = rng.randint(1, 4)
+        paths.add((rng.choice([1, 1, 1, 2]), "/".join(rng.choice(["a", "B", "b", "é", "f", "Z", "a.b", "a b"]) for _ in range(depth))))
+    files = spark.createDataFrame(sorted(paths), "run_id long, path string")
+    issues = spark.createDataFrame([], "run_id long, path string, severity string")
+    nodes = P.in_tree_order(P.folder_rollup(files, issues)).collect()
+    # the siblings' order is Spark's own collation, taken as a list of names
+    names = {n["name"] for n in nodes}
+    listed = spark.createDataFrame([(n,) for n in names], "name string")
+    place = {r["name"]: k for k, r in enumerate(listed.orderBy(F.collate("name", "UNICODE"), "name").collect())}
+    for run in (1, 2):
+        below = {}
+        for n in nodes:
+            if n["run_id"] == run and n["depth"]:
+                below.setdefault((n["parent_path"], n["depth"]), []).append(n)
+        shown = []
+
+        def walk(path, depth, shown=shown, below=below):
+            inside = sorted(below.get((path, depth + 1), []), key=lambda n: (n["type"] != "folder", place[n["name"]]))
+            for k, n in enumerate(inside, 1):
+                assert n["position"] == k
+                shown.append(n)
+                if n["type"] == "folder":
+                    walk(n["path"], depth + 1)
+
+        walk("", 0)
+        assert [n["tree_position"] for n in shown] == list(range(2, len(shown) + 2))
+        root = next(n for n in nodes if n["run_id"] == run and n["depth"] == 0)
+        assert (root["tree_position"], root["position"]) == (1, 1)
+
+
 def test_lines_with_issues(spark):
     files = spark.createDataFrame([(1, "a", "x\ny\nz")], "run_id long, path string, content string")
     found = spark.createDataFrame([(1, "a", 2, "Minor"), (1, "a", 2, "Medium"), (1, "a", 3, "odd")], "run_id long, path string, line_number int, severity string")
