@@ -147,6 +147,36 @@ def test_runs_time_out(spark, tmp_path):
     }
 
 
+def test_runs_time_out_without_a_call_per_run(spark, tmp_path):
+    def at(minute):
+        return f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+
+    many = [(k, "queued", at(0)) for k in range(100, 2100)]
+    rows = [
+        [(1, "queued", at(0)), (2, "running", at(1)), (3, "running", at(2)), (None, "queued", at(0)), (6, "queued", at(4)), *many],
+        [(1, "running", at(3)), (2, "failed", at(9)), (2, "completed", at(8)), (6, "queued", None)],
+        [(2, "failed", at(9)), (4, "running", at(70))],
+        [(5, "queued", at(71)), (1, "running", at(72)), (7, "completed", at(20)), (8, "completed", at(66))],
+    ]
+    frames = [
+        spark.createDataFrame(r, "run_id long, status string, ts string").withColumn("ts", F.to_timestamp("ts")) for r in rows
+    ]
+    source, out = folder_of(frames, tmp_path, "events"), str(tmp_path / "watch")
+    events = stream_table(spark, source, frames[0].schema, 1)
+    status.watch_to_table(events, out, "5 minutes").awaitTermination()
+    got = spark.read.parquet(f"{out}/out").where("run_id IS NULL OR run_id < 100")
+    found = sorted((str(r["run_id"]), r["status"], r["summary"], str(r["ts"])) for r in got.collect())
+    assert found == [  # 7 is late; 2 is reported once
+        ("1", "failed", "timed out", "2024-01-01 00:10:00"),
+        ("2", "completed", "", "2024-01-01 00:08:00"),
+        ("3", "failed", "timed out", "2024-01-01 00:12:00"),
+        ("6", "failed", "timed out", "2024-01-01 00:14:00"),
+        ("8", "completed", "", "2024-01-01 01:06:00"),
+        ("None", "failed", "timed out", "2024-01-01 00:10:00"),
+    ]
+    assert spark.read.parquet(f"{out}/out").where("run_id >= 100 AND summary = 'timed out'").count() == 2000
+
+
 def test_status_keeps_the_first_terminal_state(spark):
     rows = [(1, "queued", 1), (1, "running", 2), (1, "failed", 3), (1, "completed", 4), (2, "queued", 1), (2, "running", 5)]
     events = spark.createDataFrame(rows, "run_id long, status string, ts long")
