@@ -2,7 +2,8 @@
 
 import pytest
 
-from codegauge.operators.catalog import DEFAULT_RULES, Pattern, Rule, switched
+from codegauge.operators import rules as R
+from codegauge.operators.catalog import DEFAULT_RULES, Pattern, Rule, rules_with, switched
 
 NESTED = (
     "<?php\nfunction test() {\n"
@@ -228,3 +229,29 @@ def test_known_gaps_of_the_decision_counter(analyze):
 def test_nothing_to_decide(analyze, text):
     by_path, _ = analyze([("a.php", text), ("b.php", text + " if (1) {}")])
     assert [by_path[p]["cyclomatic_complexity"] for p in ("a.php", "b.php")] == [1, 2]
+
+
+def test_many_hits_of_a_text_are_placed_like_few(analyze):
+    """Few markers are looked up one by one and many line by line: both give the same places."""
+    from codegauge.functions.matching import FEW
+
+    line, deep = "rand(1); $q = mt_rand(2);", " " * 20 + "y" * 130
+    few, many = ["<?php", "", line, deep], ["<?php", *[line, deep, ""] * (FEW + 1)]
+    _, issues = analyze([("few.php", "\n".join(few)), ("many.php", "\n".join(many))])
+
+    def places(path, rule):
+        return [(r["line_number"], r["message"]) for r in issues[path] if r["rule_id"] == rule]
+
+    for rule, starts in (("INSECURE_RANDOM", "rand"), ("SHORT_VARIABLE_NAME", "$q"), ("LINE_TOO_LONG", " " * 20), ("DEEP_NESTING", " " * 20)):
+        for path, lines in (("few.php", few), ("many.php", many)):
+            per_line = 2 if rule == "INSECURE_RANDOM" else 1
+            expected = [i + 1 for i, text in enumerate(lines) if starts in text for _ in range(per_line)]
+            assert sorted(n for n, _ in places(path, rule)) == expected, (rule, path)
+    assert len({m for _, m in places("few.php", "LINE_TOO_LONG") + places("many.php", "LINE_TOO_LONG")}) == 1
+
+
+def test_a_rule_computes_no_metric_it_does_not_ask_for(spark):
+    files = spark.createDataFrame([(1, "a.php", "<?php rand();")], "run_id long, path string, content string")
+    plan = lambda *ids: R.detect(files, rules_with(*ids))._jdf.queryExecution().optimizedPlan().toString()
+    assert "cyclomatic_complexity" not in plan("INSECURE_RANDOM") and "function_count" not in plan("INSECURE_RANDOM")
+    assert "cyclomatic_complexity" in plan("HIGH_COMPLEXITY")
