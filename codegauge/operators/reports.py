@@ -270,12 +270,18 @@ def row_count(rows: DataFrame) -> DataFrame:
 
 
 def known_files(*sources: DataFrame) -> DataFrame:
-    """Distinct (run_id, path) of several tables, blank paths dropped."""
+    """Distinct (run_id, path) of several tables, blank paths dropped.
+
+    Most rows differ, so they are dealt to a given number of partitions first and compared
+    there: no task holds more than its share, where comparing them before and after the
+    exchange would hold them three times, in tasks as long as packed sizes make them.
+    """
     merged = None
     for source in sources:
-        paths = source.select("run_id", "path").where(F.col("path") != "").distinct()
+        paths = source.select("run_id", "path").where(F.col("path") != "")
         merged = paths if merged is None else merged.unionByName(paths)
-    return merged.distinct()
+    tasks = int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return merged.repartition(tasks, "run_id", "path").distinct()
 
 
 def categories(issues: DataFrame) -> DataFrame:

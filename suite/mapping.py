@@ -213,7 +213,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files written from orders and line items: a file is one order.
 
     The last step spreads the files over all tasks, as a table of files would be;
-    the join alone may leave them in one partition at small scale.
+    the join alone may leave them in one partition at small scale. The number of partitions
+    is given, since partitions merged by their packed size would be few and long tasks.
     """
     statements = read_table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", f"{STATEMENT} AS stmt"
@@ -240,4 +241,4 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o_orderkey AS INT) AS entry_index",
         f"{CODE_PATH} AS path",
         f"concat({HEAD}, coalesce(body, ''), {TAIL}) AS content",
-    ).repartition("path")
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")

@@ -111,3 +111,11 @@ def test_no_forced_broadcast(spark, sf_dir):
             assert "Broadcast" not in plan and "CartesianProduct" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_known_files_are_compared_in_given_partitions(spark, sf_dir):
+    """One exchange of a given number of partitions, which are not merged, and rows compared after it only."""
+    issues = mapped(spark, sf_dir, "issues")
+    plan = plan_of(P.known_files(issues, issues))
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "REPARTITION_BY_NUM" in plan_of(mapped(spark, sf_dir, "code_files"))
