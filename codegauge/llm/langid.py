@@ -204,14 +204,15 @@ def of_known_language(
 
     ``least`` is one score or a score per language. Null texts and texts without letters go.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("text").alias("text"))
+    # The text is read from its row, so that it is sent to the workers once.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = [c.lower() for c in docs.columns].index("text")
     bound = lambda lang: least[lang] if isinstance(least, dict) else least
 
     def run(batches):
         model = Profiles(profiles, size)
         for batch in batches:
-            got = [model.guess(t) for t in batch.column(1).to_pylist()]
+            got = [model.guess(t) for t in batch.column(0).field(place).to_pylist()]
             good = pa.array([lang != UNKNOWN and score >= bound(lang) for lang, score in got], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["row"]).filter(good)
 

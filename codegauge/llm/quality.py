@@ -166,11 +166,14 @@ def measured(docs: DataFrame, columns: list[str] | None = None, path: str | None
 
     Words are runs of anything but blank, tab, newline, vertical tab, form feed and return.
     A null or empty text has no words. Extra columns, whatever their names, only travel in
-    ``row``. ``band`` is the language where the table names one, else the script.
+    ``row``. ``band`` is the language where the table names one, else the script. A text that
+    is in ``row`` is read from there, so that it is sent to the workers once.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
-    rows = docs.select(row.alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"))
+    columns = docs.columns if columns is None else columns
+    held = [k for k, c in enumerate(columns) if c.lower() == "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    rows = docs.select(row, lang.alias("lang"), *([] if held else [F.col("text").alias("text")]))
     names = [c.split()[0] for c in MEASURES.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64()] + [pa.float64()] * 3 + [pa.string()]
 
@@ -178,12 +181,13 @@ def measured(docs: DataFrame, columns: list[str] | None = None, path: str | None
         place = path or vocabulary("piece_bpe_32k.model")
         spelled = pieces(place)[1]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            sent = batch.column(0).field(held[0]) if held else batch.column(2)
+            texts = [t or "" for t in sent.to_pylist()]
             words = [t.encode().split() for t in texts]
             tokens = word_tokens(set().union(*words), place)
             got = [measure(t, w, tokens, spelled) for t, w in zip(texts, words, strict=True)]
             arrays = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
-            band = pa.array([g or m[-1] for g, m in zip(batch.column(2).to_pylist(), got, strict=True)], pa.string())
+            band = pa.array([g or m[-1] for g, m in zip(batch.column(1).to_pylist(), got, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, band], ["row", *names, "band"])
 
     return in_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, {MEASURES}, band string")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,6 +15,7 @@ from codegauge.llm.bpe import SHORT, byte_bpe, encoded, vocabulary
 from codegauge.llm.lengths import encoded_lengths, length_quantiles, length_table
 from codegauge.llm.packing import SEQUENCE, best_fit, column_generation, cut, pack, plan
 from codegauge.llm.quality import measured, rate_quality, good_documents, repeated_words, script_of
+from codegauge.llm.tables import slices
 
 ODD = [
     "", " ", "  a", "a  b   c ", " \n a\n\n  b", "\n", "a \n  b", "<|endoftext|>x<|endoftext|>", " <|endoftext|> <|endoftext|",
@@ -315,3 +317,21 @@ def test_lengths_of_odd_rows(spark):
     got = sorted(r["n_tokens"] for r in encoded_lengths(docs).collect())
     assert got == sorted(len(coder.encode(t or "", add_special_tokens=False).ids) for t in texts)
     assert encoded_lengths(docs.limit(0)).collect() == []
+
+
+def test_texts_in_rows_are_sent_once_and_counted():
+    """A batch is cut by the texts inside its rows too, also where the batch is itself a cut."""
+    rows = pa.array([{"k": k, "text": f"{k}" * 100} for k in range(10)])
+    batch = pa.RecordBatch.from_arrays([rows], ["row"])
+    assert [len(b) for b in slices(batch, size=250)] == [2] * 5
+    cut = batch.slice(4, 3)
+    assert cut.column(0).field(1).to_pylist() == [f"{k}" * 100 for k in (4, 5, 6)]
+    assert [len(b) for b in slices(cut, size=250)] == [2, 1]
+
+
+def test_a_text_of_the_row_is_measured(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    frame = measured(docs)
+    sent = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(text" not in sent and {(r["row"]["doc_id"], r["n_words"]) for r in frame.collect()} == {(1, 2), (2, 0)}
+    assert {(r["row"]["doc_id"], r["n_words"]) for r in measured(docs, ["doc_id"]).collect()} == {(1, 2), (2, 0)}
