@@ -119,3 +119,11 @@ def test_known_files_are_compared_in_given_partitions(spark, sf_dir):
     plan = plan_of(P.known_files(issues, issues))
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
     assert "REPARTITION_BY_NUM" in plan_of(mapped(spark, sf_dir, "code_files"))
+
+
+def test_code_files_are_made_behind_the_shuffle(spark, sf_dir):
+    """Orders and line items are dealt once, by order; neither statements nor texts are shuffled."""
+    plan = plan_of(mapped(spark, sf_dir, "code_files"))
+    assert plan.count("Exchange hashpartitioning") == 2 and "hashpartitioning(path" not in plan
+    below = plan.split("Exchange hashpartitioning(l_orderkey")[1]
+    assert "AS stmt" in plan and "AS stmt" not in below
