@@ -13,7 +13,7 @@ from codegauge.functions.labels import file_class
 from codegauge.operators import selection as B
 from codegauge.sources import files as A
 from codegauge.workspace import shared_folder
-from suite.mapping import mapped, with_sql
+from suite.mapping import even_tasks, mapped, with_sql
 from suite.registry import query
 
 _EXTS = ", ".join(f"'{e}'" for e in B.ANALYZED_EXTENSIONS)
@@ -38,6 +38,7 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return (
         files.select("archive", "path", "content")
+        .repartition(even_tasks(spark), "archive")
         .groupBy("archive")
         .applyInPandas(pack, "archive string, content binary")
     )
@@ -91,12 +92,17 @@ FROM document_files"""
 SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS size_bytes, md5(concat(html, chr(10))) AS digest FROM pages""",
 )
 def loose_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as one text file each (which ends in a newline), read back as files."""
+    """Pages written as one text file each (which ends in a newline), read back as files.
+
+    Pages are dealt to the tasks, since a file costs far more than its bytes, and each task moves
+    its own files into place (committer version 2), where version 1 leaves all to the driver.
+    """
     from codegauge.sources.tables import read_table
 
     folder = shared_folder(spark, "loose")
     pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    pages.write.partitionBy("page_id").text(folder)
+    dealt = pages.repartition(even_tasks(spark), "page_id")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(folder)
     files = A.read_files(spark, folder, extensions=(".txt",))
     return files.select(
         F.regexp_extract("path", r"^page_id=(\d+)/", 1).cast("long").alias("page_id"),
@@ -207,7 +213,8 @@ def _stored_archives(files: DataFrame) -> DataFrame:
                 z.writestr(f"root/{path}", text.encode())
         return pd.DataFrame({"archive": [batch["archive"].iloc[0]], "content": [out.getvalue()]})
 
-    return packed.groupBy("archive").applyInPandas(pack, "archive string, content binary")
+    dealt = packed.repartition(even_tasks(files.sparkSession), "archive")
+    return dealt.groupBy("archive").applyInPandas(pack, "archive string, content binary")
 
 
 @query(
@@ -237,7 +244,7 @@ def stored_file_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed.foreachPartition(store(zips, ["archive", "content"]))
     loose_rows = files.select("path", F.encode("content", "UTF-8").alias("content"))
-    loose_rows.foreachPartition(store(loose, ["path", "content"]))
+    loose_rows.repartition(even_tasks(spark), "path").foreachPartition(store(loose, ["path", "content"]))
     columns = lambda source: [
         F.lit(source).alias("source"), "path", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest")
     ]

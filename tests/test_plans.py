@@ -12,6 +12,7 @@ from codegauge.operators import scoring as S
 from codegauge.operators import selection as B
 from codegauge.sources import snapshots as N
 from codegauge.sources.results import export_results
+from suite import ingest
 from suite.mapping import mapped
 
 
@@ -127,3 +128,17 @@ def test_code_files_are_made_behind_the_shuffle(spark, sf_dir):
     assert plan.count("Exchange hashpartitioning") == 2 and "hashpartitioning(path" not in plan
     below = plan.split("Exchange hashpartitioning(l_orderkey")[1]
     assert "AS stmt" in plan and "AS stmt" not in below
+
+
+def test_archives_are_packed_in_given_partitions(spark, sf_dir):
+    """Partitions merged by their packed size would leave the packing to few tasks."""
+    dealt = r"hashpartitioning\(archive#\d+, 8\), REPARTITION_BY_NUM"
+    assert re.search(dealt, plan_of(ingest._archives(spark, sf_dir)))
+    assert re.search(dealt, plan_of(ingest._stored_archives(mapped(spark, sf_dir, "document_files"))))
+
+
+def test_pages_are_stored_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "shared_folder", lambda spark, name: str(tmp_path / name))
+    rows = ingest.loose_file_scan(spark, sf_dir).count()
+    written = list((tmp_path / "loose").rglob("part-*.txt"))
+    assert len(written) == rows and len({f.name[:10] for f in written}) > 1
