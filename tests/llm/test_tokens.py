@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from codegauge.llm.bpe import SHORT, byte_bpe, encoded, vocabulary
+from codegauge.llm.bpe import SHORT, ByteBpe, byte_bpe, encoded, vocabulary
 from codegauge.llm.lengths import encoded_lengths, length_quantiles, length_table
 from codegauge.llm.packing import SEQUENCE, best_fit, column_generation, cut, pack, plan
 from codegauge.llm.quality import measured, rate_quality, good_documents, repeated_words, script_of
@@ -335,3 +335,16 @@ def test_a_text_of_the_row_is_measured(spark):
     sent = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "coalesce(text" not in sent and {(r["row"]["doc_id"], r["n_words"]) for r in frame.collect()} == {(1, 2), (2, 0)}
     assert {(r["row"]["doc_id"], r["n_words"]) for r in measured(docs, ["doc_id"]).collect()} == {(1, 2), (2, 0)}
+
+
+def test_a_piece_of_several_words_is_cut_and_merged_once(monkeypatch):
+    coder = ByteBpe(vocabulary("byte_bpe_50k.json"))
+    texts = [f"one, two{k}. don't (three)" for k in range(50)]
+    first = coder.encode_batch(texts)
+    cut, merged = [], []
+    plain, merge = coder.words, coder.merge
+    monkeypatch.setattr(coder, "words", lambda piece: cut.append(piece) or plain(piece))
+    monkeypatch.setattr(coder, "merge", lambda words: merged.extend(words) or merge(words))
+    assert coder.encode_batch(texts) == first
+    assert cut == [] and merged == []
+    assert [coder.decode(x) for x in first] == texts
