@@ -1,6 +1,7 @@
 """Models: gradients, causality, learning, and the queries that apply them."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -241,3 +242,22 @@ def test_labels_of_one_kind(spark, kind):
     docs = spark.createDataFrame([(k, f"w{k}") for k in range(8)], "doc_id long, text string")
     marks = docs.selectExpr("doc_id", f"{kind} AS toxic")
     assert {r["score"] for r in toxicity(docs, marks, lambda key: F.lit(False)).collect()} == {float(kind)}
+
+
+def test_weights_come_from_all_training_texts(spark, monkeypatch):
+    for name, value in {"FIRST_DOCS": 4, "SAMPLE_DOCS": 4, "PART_DOCS": 10}.items():
+        monkeypatch.setattr(lm, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 30, 80))) for k in range(40)]
+    counts = lm.subword_counts(lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string")), "byte_bpe_50k.json", None)
+
+    def weights(rows, parts):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        w = pickle.loads(lm.train(docs, counts, "byte_bpe_50k.json", None, steps=3))
+        return np.concatenate([getattr(w, n).ravel() for n in ("embed", "query", "key", "value", "bias", "out_class", "out_token")])
+
+    plain = weights(rows, 1)
+    assert np.array_equal(plain, weights(rows[::-1], 5))
+    for k in range(20, 26):  # at most four of the texts are looked at before all are learned
+        changed = [(i, " ".join(t.split()[::-1]) if i == k else t) for i, t in rows]
+        assert not np.array_equal(plain, weights(changed, 1))
