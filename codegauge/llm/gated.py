@@ -9,7 +9,9 @@ the window. A text's logit is that of its highest window.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 
@@ -92,28 +94,23 @@ class Batch:
     places: np.ndarray
 
 
-def batch_of(net: Network, texts: list[list[bytes]], spans: list[tuple[int, int, int]], known: dict[bytes, list[int]]) -> Batch:
-    """Windows (text, first, last) of texts; ``known`` caches trigrams of words."""
-    index: dict[bytes, int] = {}
+def batch_of(net: Network, texts: list[list[bytes]], spans: list[tuple[int, int, int]], known: dict[bytes, bytes]) -> Batch:
+    """Windows (text, first, last) of texts; ``known`` caches the packed trigrams of words."""
+    index: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
+    lengths = np.array([b - a for _, a, b in spans], np.int64)
     places = np.full((len(spans), WINDOW), -1, np.int64)
-    for k, (t, a, b) in enumerate(spans):
-        part = texts[t][a:b]
-        for w in part:
-            if w not in index:
-                index[w] = len(index)
-        places[k, : b - a] = [index[w] for w in part]
-    found = []
-    for w in index:
-        g = known.get(w)
-        if g is None:
-            g = grams(w)
+    numbers = map(index.__getitem__, chain.from_iterable(texts[t][a:b] for t, a, b in spans))
+    places[np.arange(WINDOW) < lengths[:, None]] = np.fromiter(numbers, np.int64, int(lengths.sum()))
+    found = list(map(known.get, index))
+    for k, w in enumerate(index):
+        if found[k] is None:
+            found[k] = np.array(grams(w), np.int64).tobytes()
             if len(known) > 300_000:
                 known.clear()
-            known[w] = g
-        found.append(g)
-    sizes = np.array([len(g) for g in found] or [0])
-    flat = np.array([x for g in found for x in g], np.int64)
-    return Batch(np.array([net.words.get(w, 0) for w in index], np.int64), flat, np.cumsum(sizes) - sizes, places)
+            known[w] = found[k]
+    sizes = np.array([len(g) // 8 for g in found] or [0])
+    rows = np.array([net.words.get(w, 0) for w in index], np.int64)
+    return Batch(rows, np.frombuffer(b"".join(found), np.int64), np.cumsum(sizes) - sizes, places)
 
 
 def inputs(net: Network, b: Batch) -> np.ndarray:
@@ -279,7 +276,7 @@ def train(texts: list[list[bytes]], toxic: list[int], rounds: int = 6, steps: in
     return net
 
 
-def scores(net: Network, texts: list[list[bytes]], known: dict[bytes, list[int]], chunk: int = 2048) -> np.ndarray:
+def scores(net: Network, texts: list[list[bytes]], known: dict[bytes, bytes], chunk: int = 2048) -> np.ndarray:
     """Between 0 and 1 for each text: the logistic of its highest window's logit.
 
     Next to 0 without words; the share of toxic texts where the network had nothing to learn.

@@ -261,3 +261,25 @@ def test_weights_come_from_all_training_texts(spark, monkeypatch):
     for k in range(20, 26):  # at most four of the texts are looked at before all are learned
         changed = [(i, " ".join(t.split()[::-1]) if i == k else t) for i, t in rows]
         assert not np.array_equal(plain, weights(changed, 1))
+
+
+def test_words_of_windows_are_numbered_with_one_look_each():
+    class Word(bytes):
+        looks = 0
+
+        def __hash__(self):
+            Word.looks += 1
+            return bytes.__hash__(self)
+
+    words = [Word(b"w%d" % (k % 7)) for k in range(600)]
+    spans = [(0, a, b) for a, b in gated.windows(600)]
+    net = gated.start([b"w1", b"w3"], 0.5)
+    batch = gated.batch_of(net, [words], spans, known := {})
+    places = sum(b - a for _, a, b in spans)
+    assert Word.looks < 1.5 * places
+    order = list(dict.fromkeys(bytes(w) for w in words))
+    assert [order[k] for k in batch.places[3][batch.places[3] >= 0]] == words[spans[3][1] : spans[3][2]]
+    assert batch.rows.tolist() == [net.words.get(w, 0) for w in order]
+    assert np.split(batch.grams, batch.cuts[1:])[5].tolist() == gated.grams(order[5]) and len(known) == 7
+    empty = gated.batch_of(net, [[]], [(0, 0, 0)], {})
+    assert (empty.places == -1).all() and len(empty.rows) == len(empty.grams) == 0
