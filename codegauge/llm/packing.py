@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegauge.llm.bpe import byte_bpe, id_type, vocabulary
-from codegauge.llm.tables import in_batches, key_and_text, written
+from codegauge.llm.tables import forget, in_batches, key_and_text, written
 
 SEQUENCE = 2048
 END = 1
@@ -39,6 +39,7 @@ def cut(docs: DataFrame, sequence: int = SEQUENCE, name: str = "byte_bpe_50k.jso
     end = END.to_bytes(4, "little")
 
     def run(batches):
+        forget(byte_bpe)
         coder = byte_bpe(path or vocabulary(name))
         for batch in batches:
             # all ids of the batch after one another, and where each piece lies in them

@@ -8,7 +8,6 @@ thing over and over. Bands belong to a language or, failing that, to a script.
 
 from __future__ import annotations
 
-import functools
 from array import array
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegauge.llm.bpe import Cache, vocabulary
-from codegauge.llm.tables import in_batches, written
+from codegauge.llm.tables import in_batches, once_in_worker, written
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
@@ -68,7 +67,7 @@ MEASURES = (
 WIDTH, LEAST, PRIOR, SENT = 5.0, 0.02, 100, 20_000
 
 
-@functools.cache
+@once_in_worker
 def pieces(path: str):
     import sentencepiece
 

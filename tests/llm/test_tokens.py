@@ -348,3 +348,15 @@ def test_a_piece_of_several_words_is_cut_and_merged_once(monkeypatch):
     assert coder.encode_batch(texts) == first
     assert cut == [] and merged == []
     assert [coder.decode(x) for x in first] == texts
+
+
+def test_a_worker_keeps_nothing_of_earlier_steps():
+    from codegauge.llm.quality import pieces
+    from codegauge.llm.tables import forget
+
+    place = vocabulary("byte_bpe_50k.json")
+    coder, model = byte_bpe(place), pieces(vocabulary("piece_bpe_32k.model"))
+    forget(byte_bpe)
+    assert byte_bpe(place) is coder and pieces(vocabulary("piece_bpe_32k.model")) is not model
+    forget()
+    assert byte_bpe(place) is not coder
