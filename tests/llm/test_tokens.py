@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from codegauge.llm.bpe import SHORT, ByteBpe, byte_bpe, encoded, vocabulary
+from codegauge.llm.bpe import SHORT, ByteBpe, Cache, byte_bpe, encoded, vocabulary
 from codegauge.llm.lengths import encoded_lengths, length_quantiles, length_table
 from codegauge.llm.packing import SEQUENCE, best_fit, column_generation, cut, pack, plan
 from codegauge.llm.quality import measured, rate_quality, good_documents, repeated_words, script_of
@@ -360,3 +360,15 @@ def test_a_worker_keeps_nothing_of_earlier_steps():
     assert byte_bpe(place) is coder and pieces(vocabulary("piece_bpe_32k.model")) is not model
     forget()
     assert byte_bpe(place) is not coder
+
+
+def test_a_new_piece_of_one_word_is_looked_for_once(monkeypatch):
+    coder = ByteBpe(vocabulary("byte_bpe_50k.json"))
+    texts = ["first " + " ".join(f"word{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(20))]
+    asked, get = [], Cache.get
+    monkeypatch.setattr(Cache, "get", lambda self, key: asked.append(key) or get(self, key))
+    once = coder.encode_batch(texts)
+    assert asked == [] and coder.encode_batch(texts) == once and coder.decode(once[0]) == texts[0]
+    # two generations and a batch: what is left out is coded anew
+    coder._after.size = 7
+    assert coder.encode_batch(texts * 2) == once * 2 and [coder.encode_batch([t])[0] for t in texts] == once
