@@ -36,7 +36,19 @@ METRIC_COLUMNS = (
     "cyclomatic_complexity", "code_length", "lines_of_code",
     "function_count", "class_count", "complexity_level",
 )
-METRIC_OF_RULE = {"HIGH_COMPLEXITY": "cyclomatic_complexity"}  # besides the lines
+# What a rule without patterns asks for besides the text.
+METRIC_OF_RULE = {
+    "HIGH_COMPLEXITY": "cyclomatic_complexity",
+    "FUNCTION_TOO_LONG": "lines_of_code",
+    "FILE_TOO_LONG": "lines_of_code",
+}
+TEST_OF_RULE = {
+    "FUNCTION_TOO_LONG": "__functions",
+    "MISSING_DOCUMENTATION": "__functions",
+    "MISSING_CLASS_DOCUMENTATION": "__classes",
+    "INCONSISTENT_INDENTATION": "__indented",
+    "DEEP_NESTING": "__indented",
+}
 COUNT_COLUMNS = tuple(f"{s}_count" for s in SEVERITIES)
 
 
@@ -158,25 +170,25 @@ def _computed_once(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
     down and compute the expression a second time), while filters on the other
     columns still reach the scan.
     """
+    if not columns:
+        return frame
     values = F.struct(*[c.alias(n) for n, c in columns.items()])
     rows = frame.select("*", F.explode(F.array(values)).alias("__computed"))
     return rows.withColumns({n: F.col("__computed")[n] for n in columns}).drop("__computed")
 
 
 def _measured(files: DataFrame, asked: Collection[str] | None = None) -> DataFrame:
-    """Files plus the working columns and the metrics that are asked for, or all."""
+    """Files plus the view and the tests and metrics that are asked for, or all."""
     viewed = files.withColumns(
         {"__view": byte_view(F.col("content")), "__low": F.lower(F.col("content"))}
     )
     # Tests that several metrics and rules share.
-    tested = _computed_once(
-        viewed,
-        {
-            "__functions": F.contains(_lowered(), F.lit("function")),
-            "__classes": F.contains(_lowered(), F.lit("class")),
-            "__indented": has_indented_line(_view()),
-        },
-    )
+    tests = {
+        "__functions": F.contains(_lowered(), F.lit("function")),
+        "__classes": F.contains(_lowered(), F.lit("class")),
+        "__indented": has_indented_line(_view()),
+    }
+    tested = _computed_once(viewed, {n: t for n, t in tests.items() if asked is None or n in asked})
     metrics = {
         "cyclomatic_complexity": M.cyclomatic_complexity(_view()),
         "code_length": M.code_length(_view()),
@@ -290,9 +302,9 @@ def detect(
 ) -> DataFrame:
     """Files to issue rows; the union of all switched-on rules in one scan.
 
-    Of the metrics only those are computed that a rule asks for.
+    Of the metrics and shared tests only those are computed that a rule asks for.
     """
-    on = {r.rule_id for r in rules if r.on}
-    asked = {"lines_of_code"} | {m for rule_id, m in METRIC_OF_RULE.items() if rule_id in on}
+    on = {r.rule_id for r in rules if r.on and not r.patterns}
+    asked = {c for needs in (METRIC_OF_RULE, TEST_OF_RULE) for rule_id, c in needs.items() if rule_id in on}
     hits = _hits(files.sparkSession.sparkContext.applicationId, tuple(rules))
     return issues_of(_computed_once(_measured(files, asked), {"hits": hits}), rules, keep)

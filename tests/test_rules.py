@@ -255,3 +255,13 @@ def test_a_rule_computes_no_metric_it_does_not_ask_for(spark):
     plan = lambda *ids: R.detect(files, rules_with(*ids))._jdf.queryExecution().optimizedPlan().toString()
     assert "cyclomatic_complexity" not in plan("INSECURE_RANDOM") and "function_count" not in plan("INSECURE_RANDOM")
     assert "cyclomatic_complexity" in plan("HIGH_COMPLEXITY")
+
+
+def test_a_rule_computes_no_test_it_does_not_ask_for(spark):
+    files = spark.createDataFrame([(1, "a.php", "<?php $token = 'abcdefghijkl';\n" + " " * 24 + "x")], "run_id long, path string, content string")
+    plan = lambda *ids: R.detect(files, rules_with(*ids))._jdf.queryExecution().optimizedPlan().toString()
+    made = ("__functions", "__classes", "__indented", "lines_of_code")
+    assert [c for c in made if c in plan("HARDCODED_SECRET")] == []
+    assert [c for c in made if c in plan("DEEP_NESTING")] == ["__indented"]
+    assert [c for c in made if c in plan("FUNCTION_TOO_LONG")] == ["__functions", "lines_of_code"]
+    assert [(r["line_number"], r["rule_id"]) for r in R.detect(files, rules_with("HARDCODED_SECRET", "DEEP_NESTING")).collect()] == [(1, "HARDCODED_SECRET"), (2, "DEEP_NESTING")]
