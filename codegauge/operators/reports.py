@@ -16,6 +16,7 @@ from codegauge.functions.labels import SEVERITIES, TERMINAL, rank_name, renamed_
 from codegauge.functions.text import duration_seconds
 from codegauge.operators.joins import files_with_issue_counts
 from codegauge.operators.ordered import numbered
+from codegauge.workspace import shared_folder
 
 # Histogram bounds and how many recent durations are kept.
 DURATION_BOUNDS = tuple(float(2**i) for i in range(8))
@@ -26,6 +27,9 @@ RECENT_KEPT = 1000
 SKETCH = 20_000
 FEW = 50_000
 
+# A run's tree of up to so many nodes is numbered in one task.
+LARGE_TREE = 100_000
+
 
 def filter_issues(
     issues: DataFrame, severity: str = "all", category: str = "all", search: str = ""
@@ -294,10 +298,17 @@ def folder_rollup(files: DataFrame, issues: DataFrame) -> DataFrame:
     Issues are counted per file before the paths are spread over their prefixes,
     and the sums are pre-aggregated again, so the root of a large run is cheap.
     """
+    return _rolled(_spread(files, issues))
+
+
+def _spread(files: DataFrame, issues: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A row per file and prefix of its path, with the file's issues; dealt to ``tasks`` by run, if given."""
     counted = files_with_issue_counts(files.select("run_id", "path").distinct(), issues)
+    if tasks:
+        counted = counted.repartition(tasks, "run_id")
     parts = F.split("path", "/", -1)
     depths = F.sequence(F.lit(0), F.size(parts))
-    spread = counted.select(
+    return counted.select(
         "run_id", "issue_count", "max_rank", F.size(parts).alias("n"), parts.alias("parts"),
         F.explode(depths).alias("depth"),
     ).select(
@@ -308,6 +319,10 @@ def folder_rollup(files: DataFrame, issues: DataFrame) -> DataFrame:
         "issue_count",
         "max_rank",
     )
+
+
+def _rolled(spread: DataFrame) -> DataFrame:
+    """One row per folder and file of the rows that ``_spread`` makes."""
     rolled = spread.groupBy("run_id", "path", "depth", "type").agg(
         F.sum("issue_count").alias("issue_count"), F.max("max_rank").alias("max_rank")
     )
@@ -333,10 +348,23 @@ def in_tree_order(tree: DataFrame) -> DataFrame:
     run with every folder before what it holds. Both are numbered over ranges of the order, so
     neither a folder with most files nor a run with most folders is one task.
     """
+    whole = numbered(tree.withColumn("__levels", _levels()), ["run_id"], ["__levels"], "tree_position")
+    order = _sibling_order()
+    siblings = whole.drop("__levels").withColumns(order)
+    return numbered(siblings, ["run_id", "parent_path"], [*order, "name"], "position").drop(*order)
+
+
+def _sibling_order() -> dict[str, Column]:
+    """What the order of siblings compares before their names."""
+    return {"__file": F.col("type") != "folder", "__shown": F.collate("name", "UNICODE")}
+
+
+def _levels() -> Column:
+    """What the order of a tree compares: a struct per level of the path."""
     last_is_file = F.when(F.col("type") == "file", F.col("depth"))
     names = F.slice(F.split("path", "/", -1), 1, F.col("depth"))
     # a level is shown by whether it is a file, its name in locale order, its name
-    levels = F.transform(
+    return F.transform(
         names,
         lambda name, k: F.struct(
             F.coalesce(k + 1 == last_is_file, F.lit(False)).alias("file"),
@@ -344,9 +372,33 @@ def in_tree_order(tree: DataFrame) -> DataFrame:
             name.alias("name"),
         ),
     )
-    whole = numbered(tree.withColumn("__levels", levels), ["run_id"], ["__levels"], "tree_position")
-    siblings = whole.drop("__levels").withColumns(
-        {"__file": F.col("type") != "folder", "__shown": F.collate("name", "UNICODE")}
-    )
-    order = ["__file", "__shown", "name"]
-    return numbered(siblings, ["run_id", "parent_path"], order, "position").drop("__file", "__shown")
+
+
+def folder_tree(files: DataFrame, issues: DataFrame, large: int = LARGE_TREE) -> DataFrame:
+    """The rows of ``folder_rollup`` in the order of ``in_tree_order``.
+
+    Runs whose trees have at most ``large`` nodes are dealt to a given number of partitions by
+    run, where they are summed and numbered without another exchange. The nodes are bounded by
+    the lengths of the paths, so larger runs, usually none, are known before; their trees are
+    numbered over ranges.
+    """
+    spark = files.sparkSession
+    nodes = F.sum(1 + F.coalesce(F.size(F.split("path", "/", -1)), F.lit(1)))
+    sizes = files.groupBy("run_id").agg(nodes.alias("n")).where(F.col("n") > large)
+    folder = shared_folder(spark, "large-runs")
+    sizes.select(F.col("run_id").alias("__large")).write.parquet(folder)
+    runs = spark.read.schema(sizes.select(F.col("run_id").alias("__large")).schema).parquet(folder)
+    some = not runs.isEmpty()
+
+    def of(frame: DataFrame, how: str) -> DataFrame:
+        return frame.join(runs, F.col("run_id").eqNullSafe(F.col("__large")), how) if some else frame
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = _spread(of(files, "left_anti"), of(issues, "left_anti"), tasks)
+    whole = Window.partitionBy("run_id").orderBy("__levels")
+    siblings = Window.partitionBy("run_id", "parent_path").orderBy(*_sibling_order().values(), "name")
+    tree = _rolled(spread).withColumn("__levels", _levels()).withColumn("tree_position", F.row_number().over(whole).cast("long"))
+    tree = tree.drop("__levels").withColumn("position", F.row_number().over(siblings).cast("long"))
+    if some:
+        tree = tree.unionByName(in_tree_order(folder_rollup(of(files, "left_semi"), of(issues, "left_semi"))))
+    return tree

@@ -285,7 +285,7 @@ FROM ({_TREE}) t"""),
 )
 def folder_tree_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = mapped(spark, sf_dir, "issues")
-    return P.in_tree_order(P.folder_rollup(issues, issues))
+    return P.folder_tree(issues, issues)
 
 
 @query(

@@ -177,6 +177,24 @@ def test_whole_tree_order(spark):
         assert (root["tree_position"], root["position"]) == (1, 1)
 
 
+def test_a_tree_of_small_runs_needs_no_ranges(spark):
+    """Both ways of numbering give the same rows, together and alone; runs may be null, paths odd and repeated."""
+    rng = random.Random(4)
+    paths = [(rng.choice([1, 2, 2, 2, 3, None]), "/".join(rng.choice(["a", "B", "b", "\u00e9", "Z.b"]) for _ in range(rng.randint(1, 4)))) for _ in range(150)]
+    paths += [(4, ""), (4, "x//y"), (2, "a"), (2, "a/b"), (None, "q/r")]
+    rows = [(run, path, rng.choice(["critical", "minor", None])) for run, path in paths * 2]
+    issues = spark.createDataFrame(rows, "run_id long, path string, severity string")
+    expected = P.in_tree_order(P.folder_rollup(issues, issues))
+    key = lambda frame: sorted(map(repr, frame.select(expected.columns).collect()))
+    for large in (10**6, 60, 0):
+        tree = P.folder_tree(issues, issues, large)
+        assert tree.dtypes == expected.dtypes and key(tree) == key(expected)
+    plan = P.folder_tree(issues, issues)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "numbered" not in plan
+    # summed and numbered where the run's files were dealt to: no exchange stands above that by run
+    assert plan.index("hashpartitioning(run_id") < plan.index("REPARTITION_BY_NUM") and plan.index("Exchange") == plan.index("Exchange hashpartitioning(run_id")
+
+
 def test_lines_with_issues(spark):
     files = spark.createDataFrame([(1, "a", "x\ny\nz")], "run_id long, path string, content string")
     found = spark.createDataFrame([(1, "a", 2, "Minor"), (1, "a", 2, "Medium"), (1, "a", 3, "odd")], "run_id long, path string, line_number int, severity string")
