@@ -182,6 +182,14 @@ def test_edited_documents(spark, monkeypatch):
     assert {r["doc_id"]: r["fingerprint"] for r in again} == {k: r["fingerprint"] for k, r in got.items()}
 
 
+def test_edited_documents_in_many_buckets(spark, monkeypatch):
+    rows = [(k, f"text {k * k}" * (k % 9)) for k in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    few = sorted(digest.edited_likeness(docs).collect())
+    monkeypatch.setattr(digest, "BUCKET_ROWS", 2)
+    assert sorted(digest.edited_likeness(docs).collect()) == few
+
+
 def test_edited_documents_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "only one")], "doc_id long, text string")
     row = digest.edited_likeness(docs).collect()
