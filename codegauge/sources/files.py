@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -24,6 +25,7 @@ from codegauge.operators.selection import (
     TOO_LARGE,
     wanted,
 )
+from codegauge.workspace import shared_folder
 
 # The usual limit of an archive, names for missing fields.
 MAX_ARCHIVE_BYTES = 25 * 1024 * 1024
@@ -34,6 +36,8 @@ ENTRY_SCHEMA = (
 )
 _FLUSH_BYTES = 16 * 1024 * 1024
 SPLIT_BYTES, SLICE_ENTRIES, MOST_TASKS = 32 * 1024 * 1024, 5000, 100_000
+# Files are dealt to tasks as if each had so many bytes more, folders and tables of contents by number.
+FILE_COST, FOLDERS_OF_TASK = 64 * 1024, 1000
 SEEKABLE = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")  # file systems that can be opened from a task
 # Fixed value: the header before each entry's bytes; its last two fields are the sizes of name and extra.
 LOCAL_HEADER = struct.Struct("<4sHHHHHLLLHH")
@@ -53,22 +57,26 @@ def read_archives(
     With a limit, an archive over it is not opened: it comes out as one row with its
     size and ``error``.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-    )
+    root = folder_in_tasks(spark, folder)
+    if root is None:
+        found = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.zip")
+            .option("recursiveFileLookup", "true")
+            .load(folder)
+        )
+    else:
+        archives = listed_files(spark, root).where(F.col("path").endswith(".zip"))
+        found = archives.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), "length")
     small = found if max_archive_bytes is None else found.where(F.col("length") <= max_archive_bytes)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
-    if scheme in SEEKABLE:
-        total = small.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        slices = archive_slices(small.select(F.col("path").alias("archive")), split_bytes, **options)
+    if root is None:
+        entries = archive_entries(small.select(F.col("path").alias("archive"), "content"), **options)
+    else:
+        n, total = small.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        dealt = small.select(F.col("path").alias("archive")).repartition(tasks_for(spark, n, FOLDERS_OF_TASK), "archive")
+        slices = archive_slices(dealt, split_bytes, **options)
         tasks = min(max(1, -(-total // split_bytes)), MOST_TASKS)
         entries = slice_entries(slices.repartition(tasks, "archive", "slice"))
-    else:
-        entries = archive_entries(small.select(F.col("path").alias("archive"), "content"), **options)
     if max_archive_bytes is None:
         return entries
     none = F.lit(None)
@@ -79,6 +87,87 @@ def read_archives(
     return entries.unionByName(refused)
 
 
+def folder_in_tasks(spark: SparkSession, folder: str) -> str | None:
+    """The qualified name of a folder that tasks can list and open themselves, or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() not in SEEKABLE or not system.exists(path) or not system.getFileStatus(path).isDirectory():
+        return None
+    return system.makeQualified(path).toString().rstrip("/")
+
+
+def tasks_for(spark: SparkSession, things: int, each: int) -> int:
+    """Tasks of about ``each`` things, but all cores where there is enough for them."""
+    return max(1, min(things, MOST_TASKS, max(spark.sparkContext.defaultParallelism, -(-things // each))))
+
+
+def passed_over(name: str, folder: bool) -> bool:
+    """Names that Spark's file sources do not read."""
+    if folder and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def children(place: str) -> Iterator[tuple[str, int, bool]]:
+    """(name, length, whether it is a folder) of what lies in a folder, named as Spark names it."""
+    import pyarrow.fs as fs
+
+    if place.startswith("file:"):
+        with os.scandir(local_path(place)) as found:
+            for entry in found:
+                try:
+                    folder = entry.is_dir()
+                    yield entry.name, 0 if folder else entry.stat().st_size, folder
+                except FileNotFoundError:  # it went since, or is a link to nothing
+                    continue
+        return
+    system, base = fs.FileSystem.from_uri(quote(place.replace("s3a://", "s3://"), safe=":/"))
+    for info in system.get_file_info(fs.FileSelector(base)):
+        folder = info.type == fs.FileType.Directory
+        yield info.base_name, 0 if folder else info.size, folder
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length) of every file below a folder that ``folder_in_tasks`` named, paths from there on.
+
+    Folders are listed by the tasks, level by level, and what they hold is written, so neither
+    the driver nor a task holds the whole list. A folder is listed by one task. Names that
+    Spark's file sources pass over, and files of no length, are left out.
+    """
+    import pyarrow as pa
+
+    names, schema = ["path", "length", "folder"], "path string, length bigint, folder boolean"
+
+    def run(batches):
+        for batch in batches:
+            for above in batch.column(0).to_pylist():
+                held = []
+                for name, length, folder in children(f"{root}/{above}" if above else root):
+                    if not passed_over(name, folder) and (folder or length):
+                        held.append((f"{above}/{name}" if above else name, length, folder))
+                    if len(held) == SLICE_ENTRIES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names)
+
+    at, depth = shared_folder(spark, "listing"), 0
+    level = spark.createDataFrame([("",)], "path string")
+    while True:
+        level.mapInArrow(run, schema).write.parquet(f"{at}/depth={depth}")
+        folders = spark.read.schema(schema).parquet(f"{at}/depth={depth}").where("folder").select("path")
+        n, depth = folders.count(), depth + 1
+        if not n:
+            break
+        level = folders.repartition(tasks_for(spark, n, FOLDERS_OF_TASK), "path")
+    found = spark.read.schema(schema).parquet(*(f"{at}/depth={k}" for k in range(depth)))
+    return found.where(~F.col("folder")).select("path", "length")
+
+
+def local_path(place: str) -> str:
+    return "/" + place.removeprefix("file:").lstrip("/")
+
+
 class Sought(io.RawIOBase):
     """A file of any pyarrow file system with Python's rules for seeking."""
 
@@ -112,16 +201,16 @@ class Sought(io.RawIOBase):
         super().close()
 
 
-def opened(place: str) -> io.BufferedReader:
-    """A file that can be sought, by the path Spark names it with."""
+def opened(place: str, buffer: int = 1 << 20) -> io.BufferedReader | Sought:
+    """A file that can be sought, by the path Spark names it with; with no buffer, to read it at once."""
     import pyarrow.fs as fs
 
     if place.startswith("file:"):
-        file = fs.LocalFileSystem().open_input_file("/" + place.removeprefix("file:").lstrip("/"))
+        file = fs.LocalFileSystem().open_input_file(local_path(place))
     else:
         system, inner = fs.FileSystem.from_uri(quote(place.replace("s3a://", "s3://"), safe=":/"))
         file = system.open_input_file(inner)
-    return io.BufferedReader(Sought(file), 1 << 20)
+    return io.BufferedReader(Sought(file), buffer) if buffer else Sought(file)
 
 
 def judge(extensions: Sequence[str], ignored: Sequence[str], max_bytes: int | None):
@@ -311,18 +400,47 @@ def decoded(content: Column) -> Column:
 def read_files(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Loose files below a folder as rows, with the same text an archive of them gives.
 
-    Paths start below the folder. Unwanted names and sizes are not read at all; the file
-    source passes over files of no length.
+    Paths start below the folder. Unwanted names and sizes are not read at all; files of no
+    length are passed over. Files are listed and read by the tasks, dealt by number and size;
+    where the file system cannot be opened from Python, Spark's file source does both.
     """
+    root = folder_in_tasks(spark, folder)
+    path, size = F.col("path"), F.col("length")
+    if root is not None:
+        kept = listed_files(spark, root).where(wanted(path, size, **options))
+        n, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        kept = kept.repartition(tasks_for(spark, n, max(1, n * SPLIT_BYTES // (total + n * FILE_COST))) if n else 1, "path")
+        return read_listed(kept, root).select(path, decoded(F.col("content")).alias("content"), size.alias("size_bytes"))
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
     source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     path = F.substring("path", F.lit(len(root.rstrip("/")) + 2), F.length("path"))
-    size = F.col("length")
     kept = source.where(wanted(path, size, **options))
     return kept.select(path.alias("path"), decoded(F.col("content")).alias("content"), size.alias("size_bytes"))
 
 
+def read_listed(files: DataFrame, root: str) -> DataFrame:
+    """(path, length) rows of files below ``root`` with their bytes as ``content``."""
+    import pyarrow as pa
+
+    names = ["path", "length", "content"]
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for path, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and held + length > _FLUSH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                    rows, held = [], 0
+                with opened(f"{root}/{path}", 0) as file:
+                    rows.append((path, length, file.read()))
+                held += length
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    return files.select("path", "length").mapInArrow(run, "path string, length bigint, content binary")
+
+
 def parse_batches(requests: DataFrame) -> DataFrame:
     """(batch_id, body) rows to one row per file; a batch without files keeps one empty row."""
     schema = "files array<struct<path:string,content:string>>"

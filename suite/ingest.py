@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import zipfile
 
 import pandas as pd
@@ -201,6 +202,27 @@ def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.rejected_files(files, drop_binary=True, limit=1500).select("path", "size_bytes", "reject_reason")
 
 
+def _store(root: str, joined: bool = False):
+    """Writes rows (path, content) as files below a folder; of rows with one path the last stays.
+
+    If they are to be ``joined``, rows of one path that follow one another share a file.
+    """
+
+    def write(rows):
+        import pyarrow.fs as fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        files = itertools.groupby(rows, key=lambda row: row[0]) if joined else ((row[0], [row]) for row in rows)
+        for path, same in files:
+            place = f"{base}/{path}"
+            system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(place) as out:
+                for row in same:
+                    out.write(bytes(row[1]))
+
+    return write
+
+
 def _stored_archives(files: DataFrame) -> DataFrame:
     """Files packed into zips of one source and at most 40 places of it each, so that no source is one group."""
     part = F.floor(F.col("entry_index") / 40).cast("string")
@@ -229,22 +251,9 @@ def stored_file_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     zips, loose = shared_folder(spark, "my archives"), shared_folder(spark, "loose+files")
     packed = _stored_archives(files)
 
-    def store(root: str, names: list[str]):
-        def write(rows):
-            import pyarrow.fs as fs
-
-            system, base = fs.FileSystem.from_uri(root)
-            for row in rows:
-                place = f"{base}/{row[names[0]]}"
-                system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(place) as out:
-                    out.write(bytes(row[names[1]]))
-
-        return write
-
-    packed.foreachPartition(store(zips, ["archive", "content"]))
+    packed.foreachPartition(_store(zips))
     loose_rows = files.select("path", F.encode("content", "UTF-8").alias("content"))
-    loose_rows.repartition(even_tasks(spark), "path").foreachPartition(store(loose, ["path", "content"]))
+    loose_rows.repartition(even_tasks(spark), "path").foreachPartition(_store(loose))
     columns = lambda source: [
         F.lit(source).alias("source"), "path", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest")
     ]

@@ -1,5 +1,6 @@
 """Readers, selection, results, snapshots and stores."""
 
+import hashlib
 import io
 import json
 import os
@@ -120,6 +121,30 @@ def test_loose_files_equal_archived_ones(spark, tmp_path):
     assert loose == archived and len(loose) == len(contents)
 
 
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The same files as Spark's own source, which lists them on the driver and plans over each."""
+    names = [
+        "a.php", "_a.php", "_a=b.php", ".b.php", "c.php._COPYING_", "_metadata.php", "empty.php", "é ü/d%20+.php", "_x/e.php", "_x=1/e.php",
+        ".y/f.php", "_metadata/g.php", "p/q/r/s/h.php", "p/q/i.js", "p/vendor/j.php", "[k]*/l.php", "z.zip", "p/y.zip", "p/y.ZIP", "_w.zip",
+    ]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(archive([("r/a.php", name.encode())]) if name.lower().endswith(".zip") else b"" if "empty" in name else name.encode())
+    (tmp_path / "none").mkdir()
+    (tmp_path / "linked").symlink_to(tmp_path / "p")
+    (tmp_path / "gone.php").symlink_to(tmp_path / "nowhere.php")
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    start = len(f"file:{tmp_path}") + 1
+    whole = {(r["path"][start:], r["content"].decode(), r["length"]) for r in source.where("path NOT ILIKE '%.zip'").collect()}
+    rows = A.read_files(spark, str(tmp_path))
+    got = {tuple(r) for r in rows.collect()}
+    assert got == {r for r in whole if "vendor" not in r[0] and not r[0].endswith("_COPYING_")}
+    assert len(got) > 8 and not any(str(tmp_path) in name for name in rows.inputFiles())
+    zips = {r["archive"] for r in A.read_archives(spark, str(tmp_path)).collect()}
+    assert zips == {r["path"] for r in source.where("path LIKE '%.zip'").collect()}
+    assert A.read_files(spark, str(tmp_path / "none")).collect() == A.read_archives(spark, str(tmp_path / "none")).collect() == []
+
+
 @pytest.mark.parametrize(
     "path, size, keep",
     [
