@@ -95,15 +95,18 @@ SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS size_bytes, md5(concat(html,
 def loose_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as one text file each (which ends in a newline), read back as files.
 
-    Pages are dealt to the tasks, since a file costs far more than its bytes, and each task moves
-    its own files into place (committer version 2), where version 1 leaves all to the driver.
+    Pages are dealt to the tasks, which write the files where they belong and list and read them:
+    a file costs far more than its bytes, so none is moved or known to the driver. Pages of
+    one id share a file.
     """
     from codegauge.sources.tables import read_table
 
     folder = shared_folder(spark, "loose")
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    dealt = pages.repartition(even_tasks(spark), "page_id")
-    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(folder)
+    pages = read_table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/page.txt"))
+    lines = pages.select(name.alias("path"), F.encode(F.concat(F.coalesce("html", F.lit("")), F.lit("\n")), "UTF-8").alias("content"))
+    dealt = lines.repartition(even_tasks(spark), "path").sortWithinPartitions("path")
+    dealt.foreachPartition(_store(folder, joined=True))
     files = A.read_files(spark, folder, extensions=(".txt",))
     return files.select(
         F.regexp_extract("path", r"^page_id=(\d+)/", 1).cast("long").alias("page_id"),

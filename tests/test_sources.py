@@ -145,6 +145,24 @@ def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
     assert A.read_files(spark, str(tmp_path / "none")).collect() == A.read_archives(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_a_stored_page_is_one_file(spark, tmp_path, monkeypatch):
+    """No file is written twice, moved or accompanied; pages of one id share a file, a null page is an empty line."""
+    from suite import ingest
+    from suite.registry import REGISTRY
+
+    pages = spark.createDataFrame([(k % 40, None if k == 7 else f"<p>{k % 40}é") for k in range(50)], "page_id long, html string")
+    pages.write.parquet(str(tmp_path / "in" / "pages.parquet"))
+    monkeypatch.setattr(ingest, "shared_folder", lambda spark, name: str(tmp_path / name))
+    got = {r["page_id"]: r for r in REGISTRY["loose_file_scan"].run(spark, str(tmp_path / "in")).collect()}
+    assert sorted(got) == list(range(40))
+    assert len([p for p in (tmp_path / "loose").rglob("*") if p.is_file()]) == 40
+    for k, r in got.items():
+        text = (("\n" if k == 7 else f"<p>{k}é\n") + (f"<p>{k}é\n" if k < 10 else "")).encode()
+        if k != 7:  # whose two texts come in either order
+            assert r["digest"] == hashlib.md5(text).hexdigest()
+        assert r["size_bytes"] == len(text)
+
+
 @pytest.mark.parametrize(
     "path, size, keep",
     [
