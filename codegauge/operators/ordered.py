@@ -1,9 +1,10 @@
 """Positions and neighbours in ordered groups of any size.
 
 A group may hold a large share of all rows, so no window runs over a whole
-group. Rows are cut into chunks that follow the order; windows run inside a
-chunk, and a small table with one row per chunk carries what a chunk must know
-about the ones before and after it.
+group that may have more than ``WHOLE_GROUP`` rows. Rows of those are cut into
+chunks that follow the order; windows run inside a chunk, and a small table with
+one row per chunk carries what a chunk must know about the ones before and
+after it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,26 @@ from pyspark.sql import functions as F
 
 from codegauge.workspace import shared_folder
 
+WHOLE_GROUP = 100_000  # rows that one window may hold
+COUNTERS = 1 << 16
+
+
+def in_large_groups(rows: DataFrame, keys: Sequence[str]) -> Column | None:
+    """Whether a row's group may have more than ``WHOLE_GROUP`` rows, or None if none has.
+
+    Rows are counted by a hash of their group in a table of fixed size, so what is shuffled does not
+    grow with the number of groups. Groups that share a counter are judged together.
+    """
+    counter = F.pmod(F.xxhash64(*keys), F.lit(COUNTERS)).cast("int")
+    counts = rows.select(counter.alias("__at")).groupBy("__at").agg(F.count(F.lit(1)).alias("__n"))
+    large = [r["__at"] for r in counts.where(F.col("__n") > WHOLE_GROUP).select("__at").collect()]  # at most COUNTERS
+    if not large:
+        return None
+    marks = bytearray(COUNTERS)
+    for at in large:
+        marks[at] = 1
+    return F.substring(F.lit(bytes(marks)), counter + 1, F.lit(1)) == F.lit(b"\x01")
+
 
 def with_neighbours(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column
@@ -24,8 +45,38 @@ def with_neighbours(
     ``order`` must be total within a group; ``chunk`` must not decrease along it
     and should hold some thousands of rows. Where many rows of a group share the
     first order column, a struct of it and a coarse form of the second one (a
-    prefix, a quotient) is a chunk too.
+    prefix, a quotient) is a chunk too. Rows without a key or a chunk are left out.
+
+    Groups are counted first. Rows of ordinary groups are shuffled once, for one window per
+    group; only those of large groups go through chunks.
     """
+    large = in_large_groups(rows, keys)
+    if large is None:
+        return _with_neighbours_in_groups(rows, keys, order, value, chunk)
+    ordinary = _with_neighbours_in_groups(rows.where(~large), keys, order, value, chunk)
+    return ordinary.unionByName(_with_neighbours_in_chunks(rows.where(large), keys, order, value, chunk))
+
+
+def _with_neighbours_in_groups(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column
+) -> DataFrame:
+    given = chunk.isNotNull()
+    for k in keys:
+        given &= F.col(k).isNotNull()
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.where(given).select(
+        *rows.columns,
+        F.row_number().over(inside).cast("long").alias("position"),
+        F.count(F.lit(1)).over(whole).alias("group_size"),
+        F.coalesce(F.lead(value).over(inside), F.first(value).over(whole)).alias(f"next_{value}"),
+        F.coalesce(F.lag(value).over(inside), F.last(value).over(whole)).alias(f"previous_{value}"),
+    )
+
+
+def _with_neighbours_in_chunks(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column
+) -> DataFrame:
     keys = list(keys)
     cut = rows.withColumn("__chunk", chunk)
     inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)

@@ -240,6 +240,27 @@ def test_neighbours_of_a_hot_group(spark):
         assert (r["next_id"], r["previous_id"]) == (ids[(at + 1) % len(ids)], ids[at - 1])
 
 
+def test_neighbours_of_ordinary_and_hot_groups(spark, monkeypatch):
+    """Ordinary groups are shuffled once for one window, hot ones are cut into chunks; both give the same."""
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(40)}", rng.choice([None, *range(50)]), i) for i in range(3000)]
+    frame = spark.createDataFrame([*rows, (None, 1, 9000), (None, 2, 9001)], "k string, line int, id int")
+    chunk = F.struct("line", F.floor(F.col("id") / 500))
+    plain = G.with_neighbours(frame, ["k"], ["line", "id"], "id", chunk)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    groups = {}
+    for k, _, i in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2])):
+        groups.setdefault(k, []).append(i)
+    want = [(i, at + 1, len(ids), ids[(at + 1) % len(ids)], ids[at - 1]) for ids in groups.values() for at, i in enumerate(ids)]
+    columns = ("id", "position", "group_size", "next_id", "previous_id")
+    assert sorted(map(tuple, plain.select(*columns).collect())) == sorted(want)
+    monkeypatch.setattr(G, "WHOLE_GROUP", 500)
+    cut = G.with_neighbours(frame, ["k"], ["line", "id"], "id", chunk)
+    assert [(f.name, f.dataType) for f in cut.schema] == [(f.name, f.dataType) for f in plain.schema]
+    assert "Join" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, cut.select(*columns).collect())) == sorted(want)
+
+
 def requests_of(seed):
     rng = random.Random(seed)
     rows, t = [], 0
