@@ -45,7 +45,8 @@ def with_neighbours(
     ``order`` must be total within a group; ``chunk`` must not decrease along it
     and should hold some thousands of rows. Where many rows of a group share the
     first order column, a struct of it and a coarse form of the second one (a
-    prefix, a quotient) is a chunk too. Rows without a key or a chunk are left out.
+    prefix, a quotient) is a chunk too. Rows without a key or a chunk are left out;
+    the latter count in their group.
 
     Groups are counted first. Rows of ordinary groups are shuffled once, for one window per
     group; only those of large groups go through chunks.
@@ -60,18 +61,20 @@ def with_neighbours(
 def _with_neighbours_in_groups(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column
 ) -> DataFrame:
-    given = chunk.isNotNull()
+    given = F.lit(True)
     for k in keys:
         given &= F.col(k).isNotNull()
     inside = Window.partitionBy(*keys).orderBy(*order)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.where(given).select(
+    placed = rows.where(given).select(
         *rows.columns,
+        chunk.isNotNull().alias("__stays"),
         F.row_number().over(inside).cast("long").alias("position"),
         F.count(F.lit(1)).over(whole).alias("group_size"),
         F.coalesce(F.lead(value).over(inside), F.first(value).over(whole)).alias(f"next_{value}"),
         F.coalesce(F.lag(value).over(inside), F.last(value).over(whole)).alias(f"previous_{value}"),
     )
+    return placed.where("__stays").drop("__stays")
 
 
 def _with_neighbours_in_chunks(
