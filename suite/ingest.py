@@ -103,10 +103,11 @@ def loose_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = shared_folder(spark, "loose")
     pages = read_table(spark, sf_dir, "pages")
-    name = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("/page.txt"))
-    lines = pages.select(name.alias("path"), F.encode(F.concat(F.coalesce("html", F.lit("")), F.lit("\n")), "UTF-8").alias("content"))
-    dealt = lines.repartition(even_tasks(spark), "path").sortWithinPartitions("path")
-    dealt.foreachPartition(_store(folder, joined=True))
+    own = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    lines = pages.select(own.alias("own"), F.encode(F.concat(F.coalesce("html", F.lit("")), F.lit("\n")), "UTF-8").alias("content"))
+    dealt = lines.repartition(even_tasks(spark), "own").sortWithinPartitions("own")
+    name = F.format_string("%s/part-%05d.txt", "own", F.spark_partition_id())
+    dealt.select(name.alias("path"), "content").foreachPartition(_store(folder, joined=True))
     files = A.read_files(spark, folder, extensions=(".txt",))
     return files.select(
         F.regexp_extract("path", r"^page_id=(\d+)/", 1).cast("long").alias("page_id"),
